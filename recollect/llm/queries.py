@@ -2,7 +2,8 @@
 
 from .bpe import op10_bpe
 from .packing import op1_best_fit_packing
+from .simhash import op8_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op8_simhash_near_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
