@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
 from .bpe import op10_bpe
+from .divergence import op6_quality_rules
 from .packing import op1_best_fit_packing
 from .simhash import op8_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op8_simhash_near_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_quality_rules, op8_simhash_near_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
