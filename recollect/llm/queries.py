@@ -4,8 +4,10 @@ from .bpe import op10_bpe
 from .divergence import op6_quality_rules
 from .packing import op1_best_fit_packing
 from .passages import OP7_SQL, op7_substring_dedup
+from .pii import op9_pii
+from .secrets import op2_secret_scans
 from .simhash import op8_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_pii, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL}
