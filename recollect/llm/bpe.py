@@ -176,7 +176,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     def of(kind: int) -> DataFrame:  # above the exchange, which both kinds then share
         return dealt.where(F.when(F.rand() >= 0, F.col("kind")) == kind)
 
-    ids = of(WORDS).sortWithinPartitions("bucket").drop("key").mapInArrow(_encode(vocab_path, cache_words), SCHEMA).withColumn("key", F.col("chunk")).repartition(n, "key")
+    ids = of(WORDS).sortWithinPartitions("bucket").mapInArrow(_encode(vocab_path, cache_words), SCHEMA).withColumn("key", F.col("chunk")).repartition(n, "key")
     return of(DOCS).groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(_join(vocab_path, buckets, wide), RESULT)
 
 
