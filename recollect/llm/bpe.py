@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk: its distinct words and their ids are held by one task.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 #: Buckets a chunk's words are dealt over for each GB of text; at least as many as MIN_BUCKETS.
 BUCKETS_PER_GB, MIN_BUCKETS = 24, 24
 ENCODE_BATCH = 2048
