@@ -1,5 +1,7 @@
-"""Named queries over the supplied tables and their SQL for DuckDB."""
+"""All queries over the supplied tables and their SQL for DuckDB."""
 
-FLAGSHIP = "hybrid_retrieve"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import temporal
+
+FLAGSHIP = "active_edges_recent"
+QUERIES = {**temporal.QUERIES}
+ORACLE_SQL = {**temporal.ORACLE_SQL}
