@@ -2,18 +2,19 @@
 
 1. Every window of words has an anchor: the least hash among the grams in it. Equal windows have equal anchors, so that
    only windows whose anchor is found twice can recur. Anchors are counted over the corpus, a few for each document.
-2. Windows of such anchors are counted; those found twice are confirmed. Each confirmed window is represented by one
-   document, and consecutive windows represented there form a passage.
-3. Passages are dealt over shards of a bounded number of words. A shard's automaton (Aho-Corasick over words) holds its
-   passages cut into blocks; any window of a passage holds a whole block. Documents are streamed through the shards that
-   share an anchor with them; each block found is extended word by word, and matches of a window's length cover words.
-   Shards that many documents go to are dealt over many tasks.
+2. Consecutive windows of one such anchor are a segment. All windows of a segment found twice recur; those of segments
+   found once are counted, and recur if they are found twice. Each is represented by one document, and consecutive
+   windows represented there form a passage: confirmed, and distinct but for overlaps.
+3. Documents that hold an anchor found twice are dealt over blocks of a bounded number of bytes. A block's automaton
+   (Aho-Corasick over words) holds the passages that share an anchor with its documents, cut into phrases so that any
+   window of a passage holds a whole one. The documents are streamed through it; each phrase found is extended word by
+   word, and matches of a window's length cover words. A passage goes to a block once, however many documents hold it.
 
-Windows are counted under two hashes of 64 bits; matches are compared word by word.
+Segments and windows are counted under two hashes of 64 bits; matches are compared word by word.
 
 Edge cases: null and empty texts have no words and stay empty; texts shorter than a window lose nothing; repeated rows,
 with equal ids or not, count as occurrences of each other; null doc_ids are kept; an empty table gives no rows; other
-columns are ignored by ``locate`` and kept by ``remove_passages``.
+columns are ignored by ``kept_digests`` and kept by ``remove_passages``.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, materialize
 
-WINDOW, GRAM, BLOCK = 35, 12, 18
-#: Words of passages in a shard, and bytes of documents a task streams through one.
-SHARD_WORDS, TASK_BYTES = 120_000, 16 << 20
+WINDOW, GRAM, PHRASE = 35, 12, 18
+#: Windows in a segment at most: less than a window has words, so that a segment's first and last window hold its text.
+SEGMENT = WINDOW - GRAM + 1
+#: Bytes of documents that one automaton is built for.
+BLOCK_BYTES = 6 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -96,8 +99,8 @@ def _texts(b: pa.RecordBatch, k: int) -> Iterator[tuple]:
 
 
 ANCHORS = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
-WINDOWS = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
-PASSAGES = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("anchors", pa.list_(pa.int64())), ("text", pa.string())])
+HASHES = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+PASSAGES = pa.schema([("id", pa.int64()), ("anchors", pa.list_(pa.int64())), ("text", pa.string())])
 FOUND = pa.schema([("key", pa.int64()), ("spans", pa.binary())])
 
 
@@ -120,46 +123,85 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(ANCHORS, *(np.concatenate(x) for x in rows))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows under anchors found twice, each once a batch, with their number and one of their documents."""
+def segments(anchors: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The start of each segment, and its hash."""
+    n = np.arange(len(anchors))
+    new = np.r_[True, anchors[1:] != anchors[:-1]]
+    starts = np.flatnonzero((n - np.maximum.accumulate(np.where(new, n, 0))) % SEGMENT == 0)
+    ends = np.r_[starts[1:], len(anchors)]
+    with np.errstate(over="ignore"):
+        first, last = windows[starts].view(np.uint64), windows[ends - 1].view(np.uint64)
+        return starts, _mixed(first * _M1 + last * _M2 + (ends - starts).astype(np.uint64)).view(np.int64)
+
+
+def _counted(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(anchor, hash, key) of a batch, equal hashes once: their number and the least key."""
+    a, w, k = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((k, a, w))
+    a, w, k = a[order], w[order], k[order]
+    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (a[1:] != a[:-1])]) if len(w) else np.zeros(0, np.int64)
+    return _batch(HASHES, a[first], w[first], k[first], np.diff(np.r_[first, len(w)]))
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments under anchors found twice."""
     for b in batches:
-        rows = [], [], []
+        rows = []
         for key, hot, text in _texts(b, 1):
             anchors, windows = window_hashes(split(text.as_py()))
-            own = np.isin(anchors, np.array(hot, np.int64))
-            for to, x in zip(rows, (anchors[own], windows[own], np.full(int(own.sum()), key)), strict=True):
-                to.append(x)
-        if rows[0]:
-            a, w, k = (np.concatenate(x) for x in rows)
-            order = np.lexsort((k, a, w))
-            a, w, k = a[order], w[order], k[order]
-            first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (a[1:] != a[:-1])]) if len(w) else np.zeros(0, np.int64)
-            yield _batch(WINDOWS, a[first], w[first], k[first], np.diff(np.r_[first, len(w)]))
+            if len(windows):
+                starts, own = segments(anchors, windows)
+                hit = np.isin(anchors[starts], np.array(hot, np.int64))
+                rows.append((anchors[starts][hit], own[hit], np.full(int(hit.sum()), key)))
+        if rows:
+            yield _counted(rows)
+
+
+def _members(anchors: np.ndarray, windows: np.ndarray, wanted: list[int]) -> np.ndarray:
+    """Which windows belong to wanted segments."""
+    starts, own = segments(anchors, windows)
+    return np.repeat(np.isin(own, np.array(wanted, np.int64)), np.diff(np.r_[starts, len(windows)]))
+
+
+def _lone_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of segments found once."""
+    for b in batches:
+        rows = []
+        for key, lone, text in _texts(b, 1):
+            anchors, windows = window_hashes(split(text.as_py()))
+            if len(windows):
+                hit = _members(anchors, windows, lone)
+                rows.append((anchors[hit], windows[hit], np.full(int(hit.sum()), key)))
+        if rows:
+            yield _counted(rows)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the windows that a document represents; each window at its first place only."""
+    """Runs of the windows that a document represents; each window at its first such place only."""
     for b in batches:
-        out = [], [], [], []
-        for key, represented, text in _texts(b, 1):
+        out = [], [], []
+        for key, whole, single, text in _texts(b, 1):
             words = split(text.as_py())
             anchors, windows = window_hashes(words)
-            first = np.unique(windows, return_index=True)[1]
-            at = np.sort(first[np.isin(windows[first], np.array(represented, np.int64))])
+            if not len(windows):
+                continue
+            hit = _members(anchors, windows, whole) | np.isin(windows, np.array(single or [], np.int64))
+            at = np.flatnonzero(hit)
+            at = np.sort(at[np.unique(windows[at], return_index=True)[1]])
             if not len(at):
                 continue
             starts = at[np.r_[True, np.diff(at) > 1]]
             ends = at[np.r_[np.diff(at) > 1, True]] + 1
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 own = words[s : e + WINDOW - 1]
-                for to, x in zip(out, (xxhash.xxh64_intdigest(b"%d %d" % (key, s)) >> 1, len(own), np.unique(anchors[s:e]), b" ".join(own).decode()), strict=True):
+                for to, x in zip(out, (xxhash.xxh64_intdigest(b"%d %d" % (key, s)) >> 1, np.unique(anchors[s:e]), b" ".join(own).decode()), strict=True):
                     to.append(x)
         if out[0]:
             yield _batch(PASSAGES, *out)
 
 
-class Shard:
-    """An automaton over the passages' blocks; words are numbered, exactly, within the shard."""
+class Automaton:
+    """An automaton over the passages' phrases; words are numbered, exactly, within it."""
 
     def __init__(self, passages: list[str]):
         import ahocorasick
@@ -167,17 +209,17 @@ class Shard:
         self.ids: dict[bytes, int] = {}
         put = self.ids.setdefault
         self.passages = [np.array([put(w, len(self.ids) + 1) for w in split(p)], np.int64) for p in passages]
-        blocks: dict[tuple, list[tuple[int, int]]] = {}
+        phrases: dict[tuple, list[tuple[int, int]]] = {}
         for k, p in enumerate(self.passages):
             own = p.tolist()
-            for at in range(0, len(own) - BLOCK + 1, BLOCK):
-                blocks.setdefault(tuple(own[at : at + BLOCK]), []).append((k, at))
+            for at in range(0, len(own) - PHRASE + 1, PHRASE):
+                phrases.setdefault(tuple(own[at : at + PHRASE]), []).append((k, at))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for block, places in blocks.items():
-            self.automaton.add_word(block, places)
-        if blocks:
+        for phrase, places in phrases.items():
+            self.automaton.add_word(phrase, places)
+        if phrases:
             self.automaton.make_automaton()
-        self.empty = not blocks
+        self.empty = not phrases
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int]]:
         if self.empty or len(words) < WINDOW:
@@ -188,12 +230,12 @@ class Shard:
             return []
         doc, out, done = np.array(own, np.int64), [], {}
         for end, places in self.automaton.iter(tuple(own)):
-            at = end - BLOCK + 1
+            at = end - PHRASE + 1
             for k, q in places:
                 if done.get((k, at - q), -1) >= end:
                     continue
                 p = self.passages[k]
-                right = BLOCK + _equal(doc[at + BLOCK :], p[q + BLOCK :])
+                right = PHRASE + _equal(doc[at + PHRASE :], p[q + PHRASE :])
                 left = _equal(doc[:at][::-1], p[:q][::-1])
                 done[k, at - q] = at + right - 1
                 if left + right >= WINDOW:
@@ -224,10 +266,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _stream(passages: pa.Table, docs: pa.Table) -> pa.Table:
     if not passages.num_rows or not docs.num_rows:
         return FOUND.empty_table()
-    shard = Shard(passages.column("text").to_pylist())
+    automaton = Automaton(passages.column("text").to_pylist())
     keys, spans = [], []
     for key, text in zip(docs.column("key").to_pylist(), docs.column("text"), strict=True):
-        if found := merged(shard.spans(split(text.as_py()))):
+        if found := merged(automaton.spans(split(text.as_py()))):
             keys.append(key)
             spans.append(np.array(found, "<i4").tobytes())
     return pa.table([pa.array(keys, pa.int64()), pa.array(spans, pa.binary())], schema=FOUND)
@@ -251,33 +293,29 @@ def locate(docs: DataFrame) -> DataFrame:
     twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n >= 2").select("anchor")
     hot = materialize(anchors.select("anchor", "key").join(twice, "anchor"))
     of_doc = materialize(hot.groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
-    candidates = _with(docs, of_doc, 8 * F.size("anchors") + 64).select("key", "text", "anchors").mapInArrow(_windows, "anchor long, window long, key long, n long")
-    confirmed = candidates.groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.min("key").alias("key")).where("n >= 2")
-    of_rep = materialize(confirmed.groupBy("key").agg(F.collect_set("window").alias("windows")))
-    passages = materialize(_with(docs, of_rep, 8 * F.size("windows") + 64).dropDuplicates(["key"]).select("key", "text", "windows").mapInArrow(_passages, "id long, n_words long, anchors array<long>, text string"))
-
-    total = passages.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).head()["n"]
-    shards = max(1, -(-total // SHARD_WORDS))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    to = passages.select(F.explode("anchors").alias("anchor"), "shard").distinct()
-    route = materialize(hot.join(to, "anchor").select("key", "shard").distinct())
-    streams = _with(docs, route, F.lit(48)).select("key", "shard", "text")
-    load = _loads(docs, route)
-    salted = streams.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "key"), "salts"))
-    copies = passages.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = (
-        copies.select("shard", "salt", "text").repartition(n, "shard", "salt").groupBy("shard", "salt")
-        .cogroup(salted.select("shard", "salt", "key", "text").repartition(n, "shard", "salt").groupBy("shard", "salt"))
-        .applyInArrow(_stream, "key long, spans binary")
-    )
-    return materialize(found.groupBy("key").agg(F.collect_set("spans").alias("spans")))
-
-
-def _loads(docs: DataFrame, route: DataFrame) -> DataFrame:
-    """Tasks for each shard, by the bytes of the documents that go to it."""
-    size = _with(docs.select("key", F.octet_length("text").alias("size")), route, F.lit(48))
-    return materialize(size.groupBy("shard").agg(F.ceil(F.sum("size") / F.lit(TASK_BYTES)).cast("long").alias("salts")).where("salts > 0"))
+
+    hashes = "anchor long, hash long, key long, n long"
+    counts = (F.sum("n").alias("n"), F.min("key").alias("key"))
+    found = _with(docs, of_doc, 8 * F.size("anchors") + 64).select("key", "text", "anchors").mapInArrow(_segments, hashes).groupBy("anchor", "hash").agg(*counts)
+    own = materialize(found.groupBy("key").agg(*(F.collect_set(F.when(c, F.col("hash"))).alias(k) for k, c in (("whole", F.col("n") > 1), ("lone", F.col("n") == 1)))))
+    lone = own.where(F.size("lone") > 0).select("key", "lone")
+    single = _with(docs, lone, 8 * F.size("lone") + 64).select("key", "text", "lone").mapInArrow(_lone_windows, hashes).groupBy("anchor", "hash").agg(*counts).where("n > 1")
+    single = single.groupBy("key").agg(F.collect_set("hash").alias("single"))
+    reps = materialize(own.select("key", "whole").join(single, "key", "left").where((F.size("whole") > 0) | F.col("single").isNotNull()))
+    size = 8 * F.size("whole") + 8 * F.coalesce(F.size("single"), F.lit(0)) + 64
+    passages = materialize(_with(docs, reps, size).select("key", "text", "whole", "single").dropDuplicates(["key"]).mapInArrow(_passages, "id long, anchors array<long>, text string"))
+
+    keys = of_doc.select("key")
+    streams = _with(docs, keys, F.lit(32)).select("key", "text")
+    total = streams.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(blocks))
+    of_anchor = passages.select("id", F.explode("anchors").alias("anchor"))
+    route = hot.select("anchor", block.alias("block")).distinct().join(of_anchor, "anchor").select("id", "block").distinct()
+    n = max(spark.sparkContext.defaultParallelism, blocks)
+    held = route.join(passages.select("id", "text"), "id").select("block", "text").repartition(n, "block")
+    spans = held.groupBy("block").cogroup(streams.withColumn("block", block).repartition(n, "block").groupBy("block")).applyInArrow(_stream, "key long, spans binary")
+    return materialize(spans.groupBy("key").agg(F.collect_set("spans").alias("spans")))
 
 
 def _key(id_col: str, text_col: str) -> Column:
