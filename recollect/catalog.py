@@ -1,7 +1,7 @@
 """All queries over the supplied tables and their SQL for DuckDB."""
 
-from .queries import temporal
+from .queries import facts, retrieval, temporal
 
-FLAGSHIP = "active_edges_recent"
-QUERIES = {**temporal.QUERIES}
-ORACLE_SQL = {**temporal.ORACLE_SQL}
+FLAGSHIP = "hybrid_retrieve"
+QUERIES = {**temporal.QUERIES, **retrieval.QUERIES, **facts.QUERIES}
+ORACLE_SQL = {**temporal.ORACLE_SQL, **retrieval.ORACLE_SQL, **facts.ORACLE_SQL}

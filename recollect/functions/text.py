@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import refdata as R
 
@@ -157,6 +158,6 @@ def similarity(a: str | None, b: str | None) -> float | None:
     return max(ratio(a, b), ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

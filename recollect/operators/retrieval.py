@@ -14,6 +14,10 @@ def tokens(x: Column) -> Column:
     return T.words(F.lower(x))
 
 
+def equals(t: str):
+    return lambda x: x == t
+
+
 def bm25(facts: DataFrame, query: str, tenant: list[str] | None = None, limit: int = R.SEARCH_LIMIT) -> DataFrame:
     """edge_id, score and rank (from 0) of each tenant's best facts; statistics are those of its rows.
 
@@ -34,7 +38,7 @@ def bm25(facts: DataFrame, query: str, tenant: list[str] | None = None, limit: i
     scored = docs.join(mean, keys)
     score = F.lit(0.0)
     for k, (t, times) in enumerate(terms.items()):
-        f = F.size(F.filter("tokens", lambda x, t=t: x == t))
+        f = F.size(F.filter("tokens", equals(t)))
         weight = F.when(F.col(f"i{k}") < 0, R.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col(f"i{k}"))
         part = weight * f * (R.BM25_K1 + 1) / (f + R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.size("tokens") / F.col("avgdl")))
         score = score + times * F.coalesce(part, F.lit(0.0))
