@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small, text_or_empty
-from .spans import NONE, SPANS, find_spans, listed, overlaps, redacted, span
+from .spans import SPANS, find_spans, listed, none, redacted, span
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: An expression starts at its run's first character, or where the match before ended, and never gives back.
@@ -58,10 +58,10 @@ def is_phone(value: Column) -> Column:
 def known(text: Column) -> Column:
     number = text.rlike("[0-9]")
     return F.concat(
-        F.when(F.contains(text, F.lit("@")), find_spans(text, EMAIL, 0)).otherwise(NONE),
-        F.when(number & F.contains(text, F.lit(".")), F.filter(find_spans(text, IP, 1), lambda x: x["value"].rlike(IP_VALID))).otherwise(NONE),
-        F.when(number, F.filter(find_spans(text, CARD, 2), lambda x: is_card(x["value"]))).otherwise(NONE),
-        F.when(F.contains(text, F.lit("+")), F.filter(find_spans(text, PHONE, 3), lambda x: is_phone(x["value"]))).otherwise(NONE),
+        F.when(F.contains(text, F.lit("@")), find_spans(text, EMAIL, 0)).otherwise(none()),
+        F.when(number & F.contains(text, F.lit(".")), F.filter(find_spans(text, IP, 1), lambda x: x["value"].rlike(IP_VALID))).otherwise(none()),
+        F.when(number, F.filter(find_spans(text, CARD, 2), lambda x: is_card(x["value"]))).otherwise(none()),
+        F.when(F.contains(text, F.lit("+")), F.filter(find_spans(text, PHONE, 3), lambda x: is_phone(x["value"]))).otherwise(none()),
     )
 
 
@@ -113,7 +113,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     named = mentions.where(~F.col("seed")).join(small(patterns, F.lit(32)), "pattern").select("__row", span(F.col("m.start"), F.col("m.end"), 4, F.col("m.value")).alias("x"))
     more = materialize(named.groupBy("__row").agg(F.collect_set("x").cast(SPANS).alias("more")).withColumnRenamed("__row", "__r"))
     more = small(more, F.aggregate("more", F.lit(64), lambda a, x: a + F.length(x["value"]) * 4 + 64))
-    return kept.join(more, kept["__row"] == more["__r"], "left").withColumn("more", F.coalesce("more", NONE)).drop("__mentions", "__r")
+    return kept.join(more, kept["__row"] == more["__r"], "left").withColumn("more", F.coalesce("more", none())).drop("__mentions", "__r")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,6 +137,3 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-__all__ = ["confident_patterns", "find", "is_card", "is_phone", "known", "luhn", "op9_pii", "overlaps", "redact", "report", "scan", "shape"]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .spans import NONE, find_spans, listed, overlaps, redacted, span
+from .spans import find_spans, listed, none, overlaps, redacted, span
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
@@ -64,11 +64,11 @@ def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALL
     named = F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("api"))
     assign = F.filter(find_spans(text, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 2)) >= 6)
     base = F.concat(
-        F.when(named, assign).otherwise(NONE),
-        F.when(F.contains(text, F.lit("AKIA")), find_spans(text, ACCESS, 1)).otherwise(NONE),
-        F.when(text.rlike("[0-9a-f]{24}"), find_spans(text, HEX, 2)).otherwise(NONE),
+        F.when(named, assign).otherwise(none()),
+        F.when(F.contains(text, F.lit("AKIA")), find_spans(text, ACCESS, 1)).otherwise(none()),
+        F.when(text.rlike("[0-9a-f]{24}"), find_spans(text, HEX, 2)).otherwise(none()),
     )
-    candidates = F.when(text.rlike(CANDIDATE), find_spans(text, CANDIDATE, 3)).otherwise(NONE)
+    candidates = F.when(text.rlike(CANDIDATE), find_spans(text, CANDIDATE, 3)).otherwise(none())
     out = docs.withColumns({"base": base, "__found": candidates})
 
     def no_secret(x: Column) -> Column:
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALL
 
     scored = F.transform(F.filter("__found", lambda x: ~no_secret(x)), lambda x: F.struct(x.alias("x"), window_entropy(x["value"], WINDOW, F.when(x["value"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(KEY_BITS)).alias("at")))
     more = F.transform(F.filter(scored, lambda y: y["at"]["first"].isNotNull()), lambda y: span(y["x"]["start"] + y["at"]["first"], y["x"]["start"] + y["at"]["last"] + WINDOW, 3, y["x"]["value"]))
-    return out.withColumn("more", F.when(F.size("__found") > 0, more).otherwise(NONE)).drop("__found")
+    return out.withColumn("more", F.when(F.size("__found") > 0, more).otherwise(none())).drop("__found")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, maybe_broadcast
@@ -47,12 +47,19 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * count > len(bits)).tobytes(), "big", signed=True)
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, a key of the id and the text, fp."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t.as_py()) for t in b.column(2)], pa.int64())], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,7 +181,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def link(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """(fp, low) of distinct fingerprints to (fp, component): the smallest low in the component."""
+    """(fp, low) of distinct fingerprints to (fp, root, component): the component's smallest fingerprint and smallest low."""
     fps = materialize(fps)
     total = fps.count()
     some = fps.select("fp").orderBy(F.xxhash64(F.lit(1), "fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64)
@@ -195,21 +202,34 @@ def link(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int =
     roots = maybe_broadcast(materialize(components(stars)), 64)
     named = materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     least = maybe_broadcast(materialize(named.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "r")), 64)
-    return named.join(least, named["root"] == least["r"]).select("fp", "component")
+    return named.join(least, named["root"] == least["r"]).select("fp", "root", "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint in hexadecimal, component_id."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
     own = materialize(fingerprints(docs, id_col, text_col))
     linked = materialize(link(own.groupBy("fp").agg(F.min("doc_id").alias("low")), radius).withColumnRenamed("fp", "f"))
-    linked = maybe_broadcast(linked, 64)
-    return own.join(linked, own["fp"] == linked["f"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    linked = maybe_broadcast(linked, 72)
+    return own, own.join(linked, own["fp"] == linked["f"])
 
 
-def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that with its smallest id; all columns are kept, rows with repeated ids count as one."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["doc_id"]), "left_semi").dropDuplicates([id_col])
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint in hexadecimal, component_id."""
+    return _grouped(docs, id_col, text_col, radius)[1].select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that with its smallest id, nulls last; all columns are kept."""
+    own, grouped = _grouped(docs, id_col, text_col, radius)
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("__k"))
+    first = maybe_broadcast(materialize(first), 32)
+    again = materialize(own.join(first, own["key"] == first["__k"], "left_semi").groupBy("key").count().where("count > 1").select(F.col("key").alias("__k")))
+    kept = docs.withColumn("__key", _key(id_col, text_col))
+    kept = kept.join(first, F.col("__key") == F.col("__k"), "left_semi")
+    if again.isEmpty():
+        return kept.drop("__key")
+    again = maybe_broadcast(again, 32)  # rows with the same id and text
+    once = kept.join(again, F.col("__key") == F.col("__k"), "left_semi").dropDuplicates(["__key"])
+    return kept.join(again, F.col("__key") == F.col("__k"), "left_anti").unionByName(once).drop("__key")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 SPANS = f"array<{SPAN}>"
-NONE = F.array().cast(SPANS)
+
+
+def none() -> Column:
+    return F.array().cast(SPANS)
 
 
 def span(start: Column, end: Column, kind: Column | int, value: Column) -> Column:
@@ -28,7 +31,7 @@ def find_spans(text: Column, pattern: str, kind: int) -> Column:
         found = F.concat(acc["out"], F.array(span(start, end, kind, x["match"])))
         return F.struct(F.coalesce(end, start).cast("int").alias("at"), F.when(x["match"].isNotNull(), found).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), NONE.alias("out")), add, lambda acc: acc["out"])
+    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none().alias("out")), add, lambda acc: acc["out"])
 
 
 def overlaps(x: Column, others: Column) -> Column:
