@@ -7,8 +7,8 @@
    windows represented there form a passage: confirmed, and distinct but for overlaps.
 3. Documents that hold an anchor found twice are dealt over blocks of a bounded number of bytes. A block's automaton
    (Aho-Corasick over words) holds the passages that share an anchor with its documents, cut into phrases so that any
-   window of a passage holds a whole one. The documents are streamed through it; each phrase found is extended word by
-   word, and matches of a window's length cover words. A passage goes to a block once, however many documents hold it.
+   window of a passage holds a whole one. The documents are streamed through it; windows around the phrases found are
+   looked up among the passages' and compared word by word. A passage goes to a block once, however many documents hold it.
 
 Segments and windows are counted under two hashes of 64 bits; matches are compared word by word.
 
@@ -201,56 +201,61 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Automaton:
-    """An automaton over the passages' phrases; words are numbered, exactly, within it."""
+    """An automaton over the passages' phrases, and their windows; words are numbered, exactly, within it.
+
+    A text's windows that hold a phrase found are looked up by a hash of their numbers and compared word by word with
+    the passage's. So a text costs its length, however many passages share a phrase, as runs of one word do.
+    """
 
     def __init__(self, passages: list[str]):
         import ahocorasick
 
         self.ids: dict[bytes, int] = {}
         put = self.ids.setdefault
-        self.passages = [np.array([put(w, len(self.ids) + 1) for w in split(p)], np.int64) for p in passages]
-        phrases: dict[tuple, list[tuple[int, int]]] = {}
-        for k, p in enumerate(self.passages):
-            own = p.tolist()
-            for at in range(0, len(own) - PHRASE + 1, PHRASE):
-                phrases.setdefault(tuple(own[at : at + PHRASE]), []).append((k, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, places in phrases.items():
-            self.automaton.add_word(phrase, places)
+        own = [[put(w, len(self.ids) + 1) for w in split(p)] for p in passages]
+        phrases = {tuple(p[at : at + PHRASE]) for p in own for at in range(0, len(p) - PHRASE + 1, PHRASE)}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for phrase in phrases:
+            self.automaton.add_word(phrase, 1)
         if phrases:
             self.automaton.make_automaton()
         self.empty = not phrases
+        self.code = np.random.default_rng(17).integers(0, 2**63, len(self.ids) + 1, np.uint64)
+        self.words = np.concatenate([np.array(p, np.int64) for p in own]) if own else np.zeros(0, np.int64)
+        starts = np.cumsum([0, *map(len, own)])
+        at = [np.arange(s, s + len(p) - WINDOW + 1) for s, p in zip(starts.tolist(), own, strict=False)]
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        hashes = self._hashes(self.words)[at] if len(at) else np.zeros(0, np.uint64)
+        self.hashes, first = np.unique(hashes, return_index=True)
+        self.at = at[first]
+
+    def _hashes(self, ids: np.ndarray) -> np.ndarray:
+        return _rolling(self.code[ids], WINDOW, _M2)
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int]]:
         if self.empty or len(words) < WINDOW:
             return []
         get = self.ids.get
         own = [get(w, 0) for w in words]
-        if sum(map(bool, own)) < WINDOW:
+        ends = np.fromiter((e for e, _ in self.automaton.iter(tuple(own))), np.int64)
+        if not len(ends):
+            return []
+        doc, n = np.array(own, np.int64), len(own) - WINDOW + 1
+        edge = np.zeros(n + 1, np.int64)  # windows that hold a phrase start at most as early as one that ends with it
+        np.add.at(edge, np.clip(ends + 1 - WINDOW, 0, n), 1)
+        np.add.at(edge, np.clip(ends + 2 - PHRASE, 0, n), -1)
+        at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        hashes = self._hashes(doc)[at]
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = self.hashes[place] == hashes
+        at, place = at[hit], self.at[place[hit]]
+        step = np.arange(WINDOW)
+        same = [(doc[at[i : i + 4096, None] + step] == self.words[place[i : i + 4096, None] + step]).all(axis=1) for i in range(0, len(at), 4096)]
+        at = at[np.concatenate(same)] if same else at
+        if not len(at):
             return []
-        doc, out, done = np.array(own, np.int64), [], {}
-        for end, places in self.automaton.iter(tuple(own)):
-            at = end - PHRASE + 1
-            for k, q in places:
-                if done.get((k, at - q), -1) >= end:
-                    continue
-                p = self.passages[k]
-                right = PHRASE + _equal(doc[at + PHRASE :], p[q + PHRASE :])
-                left = _equal(doc[:at][::-1], p[:q][::-1])
-                done[k, at - q] = at + right - 1
-                if left + right >= WINDOW:
-                    out.append((at - left, at + right))
-        return out
-
-
-def _equal(a: np.ndarray, b: np.ndarray) -> int:
-    """The length of the common start."""
-    n, at, step = min(len(a), len(b)), 0, 64
-    while at < n:
-        if len(miss := np.flatnonzero(a[at : min(n, at + step)] != b[at : min(n, at + step)])):
-            return at + int(miss[0])
-        at, step = at + step, 4 * step
-    return n
+        new = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+        return list(zip(at[new].tolist(), (at[np.r_[new[1:] - 1, len(at) - 1]] + WINDOW).tolist(), strict=True))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
