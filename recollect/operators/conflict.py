@@ -13,24 +13,29 @@ from ..functions import vectors as V
 from .temporal import OPEN, close, now_literal
 
 
-def same_object(new: Column, old: Column) -> Column:
-    return T.object_key(new) == T.object_key(old)
+def _key(x: dict[str, Column]) -> Column:
+    """The object's key, from a column if the row has it: a join compares many pairs of the same objects."""
+    return x["key"] if "key" in x else T.object_key(x["object"])
+
+
+def same_object(f: dict[str, Column], e: dict[str, Column]) -> Column:
+    return _key(f) == _key(e)
 
 
 def is_duplicate(f: dict[str, Column], e: dict[str, Column]) -> Column:
     """The same relation or the same slot, and the same object."""
     same = F.upper(f["relation"]) == F.upper(e["relation"])
-    return same_object(f["object"], e["object"]) & (same | F.coalesce(T.slot(f["relation"]) == T.slot(e["relation"]), F.lit(False)))
+    return same_object(f, e) & (same | F.coalesce(T.slot(f["relation"]) == T.slot(e["relation"]), F.lit(False)))
 
 
 def is_redundant(f: dict[str, Column], e: dict[str, Column]) -> Column:
     families = F.coalesce(T.family(f["relation"]) == T.family(e["relation"]), F.lit(False))
-    return same_object(f["object"], e["object"]) & (F.upper(f["relation"]) != F.upper(e["relation"])) & families
+    return same_object(f, e) & (F.upper(f["relation"]) != F.upper(e["relation"])) & families
 
 
 def invalidates(f: dict[str, Column], e: dict[str, Column], similarity: Column | None = None, threshold: float = R.CONFLICT_THRESHOLD) -> Column:
     """Whether storing f closes e; the similarity counts where nothing else decides."""
-    fr, er, same = F.upper(f["relation"]), F.upper(e["relation"]), same_object(f["object"], e["object"])
+    fr, er, same = F.upper(f["relation"]), F.upper(e["relation"]), same_object(f, e)
     out = (
         F.when((fr == er) & same, F.lit(False))
         .when(F.coalesce(T.slot(fr) == T.slot(er), F.lit(False)) & ~same, F.lit(True))
@@ -50,9 +55,11 @@ def contradicts(f: dict[str, Column], e: dict[str, Column]) -> Column:
 
 def pairs(new: DataFrame, old: DataFrame, on: list[str], condition) -> DataFrame:
     """Pairs of a new fact and an earlier edge with equal keys that meet a condition on both."""
-    e = old.select(*on, *(F.col(c).alias(f"old_{c}") for c in ("edge_id", "relation", "object", "valid_at")))
-    f = {c: F.col(c) for c in ("relation", "object")}
-    return new.join(e, on).where(F.col("old_valid_at") < F.col("valid_at")).where(condition(f, {c: F.col(f"old_{c}") for c in f}))
+    keyed = lambda df: df.withColumn("key", T.object_key(F.col("object")))
+    e = keyed(old).select(*on, *(F.col(c).alias(f"old_{c}") for c in ("edge_id", "relation", "object", "valid_at", "key")))
+    f = {c: F.col(c) for c in ("relation", "object", "key")}
+    out = keyed(new).join(e, on).where(F.col("old_valid_at") < F.col("valid_at")).where(condition(f, {c: F.col(f"old_{c}") for c in f}))
+    return out.drop("key", "old_key")
 
 
 def drop_duplicates(new: DataFrame, edges: DataFrame) -> DataFrame:

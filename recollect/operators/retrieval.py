@@ -21,8 +21,8 @@ def equals(t: str):
 def bm25(facts: DataFrame, query: str, tenant: list[str] | None = None, limit: int = R.SEARCH_LIMIT) -> DataFrame:
     """edge_id, score and rank (from 0) of each tenant's best facts; statistics are those of its rows.
 
-    Only terms of the query leave their rows; the vocabulary is counted once, for the mean idf that stands in for
-    negative ones.
+    Terms of the query are counted in place. The vocabulary is counted only where some term is so frequent that its idf
+    is negative: a share of the mean idf stands in for it.
     """
     keys = tenant or ["__all"]
     facts = facts if tenant else facts.withColumn("__all", F.lit(1))
@@ -30,11 +30,16 @@ def bm25(facts: DataFrame, query: str, tenant: list[str] | None = None, limit: i
     for t in query.lower().split():
         terms[t] = terms.get(t, 0) + 1
     docs = facts.select(*keys, "edge_id", tokens(F.col("fact_string")).alias("tokens"))
-    n_docs = docs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = docs.select(*keys, F.explode(F.array_distinct("tokens")).alias("t")).groupBy(*keys, "t").agg(F.count("*").alias("df"))
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    known = df.join(n_docs, keys).withColumn("idf", idf)
-    mean = known.groupBy(*keys).agg(F.avg("idf").alias("mean_idf"), *(F.max(F.when(F.col("t") == t, F.col("idf"))).alias(f"i{k}") for k, t in enumerate(terms)), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"))
+    idf = lambda df: F.log(F.col("n") - df + 0.5) - F.log(df + 0.5)
+    counts = (F.sum(F.array_contains("tokens", t).cast("int")) for t in terms)
+    stats = docs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"), *(c.alias(f"d{k}") for k, c in enumerate(counts)))
+    mean = stats.select(*keys, "n", "avgdl", *(F.when(F.col(f"d{k}") > 0, idf(F.col(f"d{k}"))).alias(f"i{k}") for k in range(len(terms))))
+    if mean.where(F.least(F.lit(0.0), *(F.col(f"i{k}") for k in range(len(terms)))) < 0).isEmpty():
+        mean = mean.withColumn("mean_idf", F.lit(0.0))  # nothing to stand in for
+    else:
+        df = docs.select(*keys, F.explode(F.array_distinct("tokens")).alias("t")).groupBy(*keys, "t").agg(F.count("*").alias("df"))
+        vocabulary = df.join(F.broadcast(stats.select(*keys, "n")) if not tenant else stats.select(*keys, "n"), keys).groupBy(*keys).agg(F.avg(idf(F.col("df"))).alias("mean_idf"))
+        mean = mean.join(vocabulary, keys)
     scored = docs.join(mean, keys)
     score = F.lit(0.0)
     for k, (t, times) in enumerate(terms.items()):

@@ -95,11 +95,11 @@ def _pairs(condition):
 
 
 def _slots(f, e):
-    return (T.slot(f["relation"]) == T.slot(e["relation"])) & ~conflict.same_object(f["object"], e["object"])
+    return (T.slot(f["relation"]) == T.slot(e["relation"])) & ~conflict.same_object(f, e)
 
 
 def _supersession(f, e):
-    return T.supersedes(f["relation"], e["relation"]) & conflict.same_object(f["object"], e["object"])
+    return T.supersedes(f["relation"], e["relation"]) & conflict.same_object(f, e)
 
 
 def legacy_contradictions(spark, sf_dir):
