@@ -26,7 +26,7 @@ from .training import fold, labelled_sample
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents learnt from, a class; terms chosen; letters of a stem; values of the hash.
 PER_CLASS, TERMS, STEMS, BITS = 5000, 2048, (4, 5), 30
-FACTORS, ROUNDS, RATE, PENALTY = 8, 200, 0.05, 2e-4
+FACTORS, ROUNDS, RATE, PENALTY = 8, 400, 0.05, 2e-5
 #: Likelihood-ratio statistic (chi-squared, one degree) below which a term is no evidence, and documents it needs.
 MIN_GAIN, MIN_DOCS = 25.0, 4
 CACHE_WORDS = 400_000
