@@ -52,7 +52,7 @@ class CoverTree:
         if last - first > self.leaf and d.max() > 0:
             reach, near, to = d.max() / 2, d.copy(), np.zeros(len(own), np.int64)
             centres = 1
-            while near.max() > reach and centres < 32:  # a net: the farthest row is the next centre
+            while near.max() > reach and centres < 256:  # a net: the farthest row is the next centre
                 e = np.sqrt(((self.rows[own] - self.rows[own[np.argmax(near)]]) ** 2).sum(axis=1))
                 to[e < near] = centres
                 near = np.minimum(near, e)
