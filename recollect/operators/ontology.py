@@ -12,6 +12,9 @@ from .. import refdata as R
 from ..functions import text as T
 from ..functions import vectors as V
 
+#: Phrases that fuzzy matching compares each distinct key with.
+MAX_PHRASES = 10_000
+
 
 def aliases(spark: SparkSession) -> DataFrame:
     """(phrase, relation, place): the phrases, then each relation's own name in words. A constant of some 100 rows."""
@@ -26,7 +29,12 @@ def match_exact(phrases: DataFrame, known: DataFrame, col: str = "phrase") -> Da
 
 
 def match_fuzzy(phrases: DataFrame, known: DataFrame, col: str = "phrase") -> DataFrame:
-    """The best known phrase of each distinct key, the first of equals; the constant list of phrases travels in each row."""
+    """The best known phrase of each distinct key, the first of equals; the list of phrases travels in each row.
+
+    The list is a constant with some learned phrases; beyond MAX_PHRASES it is refused rather than sent.
+    """
+    if known.limit(MAX_PHRASES + 1).count() > MAX_PHRASES:
+        raise ValueError(f"more than {MAX_PHRASES} phrases")
     table = [(r["phrase"], r["relation"]) for r in known.orderBy("place").collect()]
     options = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(r).alias("relation"), F.lit(k).alias("place")) for k, (p, r) in enumerate(table)))
     keys = phrases.select(T.alias_key(F.col(col)).alias("key")).where("key <> ''").distinct()
@@ -54,8 +62,8 @@ def normalize(phrases: DataFrame, known: DataFrame, col: str = "phrase", thresho
 def learned(normalized: DataFrame, known: DataFrame, col: str = "phrase") -> DataFrame:
     """known with the phrases that were matched fuzzily."""
     new = normalized.where("tier = 'fuzzy'").select(T.alias_key(F.col(col)).alias("phrase"), "relation").distinct()
-    last = known.agg(F.max("place").alias("n")).head()["n"]
-    return known.unionByName(new.withColumn("place", F.row_number().over(Window.orderBy("phrase")) + last))
+    after = F.lit(1 << 30) + F.pmod(F.xxhash64("phrase"), F.lit(1 << 30))  # behind the seeds, in an order without a global sort
+    return known.unionByName(new.withColumn("place", after.cast("int")))
 
 
 def match_meaning(phrases: DataFrame, described: list[tuple[str, list[float]]], threshold: float = R.SEMANTIC_THRESHOLD) -> DataFrame:
