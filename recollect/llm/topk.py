@@ -24,6 +24,8 @@ from .common import materialize
 SCALE, K, EVERY = 1024, 10, 100
 #: Vectors in a block of candidates and of queries, and in a leaf of a tree.
 BLOCK, QUERY_BLOCK, LEAF = 16_384, 2048, 64
+#: Blocks of queries that a task holds at once.
+QUERY_BLOCKS_A_TASK = 64
 
 RESULT = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -128,7 +130,7 @@ def integers(vector: Column, scale: int = SCALE) -> Column:
     return F.when(vector.isNotNull() & (F.size(v) > 0) & ~bad, F.transform(v, lambda x: F.floor(x * scale).cast("long")))
 
 
-def _packed(kind: int, size: int):
+def _packed(size: int):
     """Rows to blocks: ids, places and vectors as bytes, each row of a block in one array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,29 +172,31 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id
 
     def blocked(df: DataFrame, count: int, size: int) -> DataFrame:
         dealt = df.select(F.pmod(F.xxhash64("place"), F.lit(count)).alias("block"), "id", "place", "v").repartition(count, "block")
-        return dealt.mapInArrow(_packed(0, 2 * size), schema)
-
-    x = blocked(rows, blocks, block)
-    q = blocked(rows.where("q"), q_blocks, query_block).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = x.join(q.select(F.col("to").alias("block"), F.col("ids").alias("q_ids"), F.col("places").alias("q_places"), F.col("vectors").alias("q_vectors")), "block")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree, ids, places, data = None, None, None, None, None
-        for b in batches:
-            for r in b.to_pylist():
-                if at != (r["block"], r["places"][:16]):
-                    at = (r["block"], r["places"][:16])
-                    data = np.frombuffer(r["vectors"], "<i8").reshape(-1, width)
-                    ids, places, tree = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["places"], np.int64), CoverTree(data)
-                    nulls = np.frombuffer(r["nulls"], bool)
-                own = np.frombuffer(r["q_vectors"], "<i8").reshape(-1, width)
-                q_ids, q_places = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_places"], np.int64)
+        return dealt.mapInArrow(_packed(2 * size), schema)
+
+    def upto(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    # one task holds a block of candidates and at most so many blocks of queries
+    chunks = -(-q_blocks // QUERY_BLOCKS_A_TASK)
+    x = blocked(rows, blocks, block).withColumn("chunk", upto(chunks))
+    q = blocked(rows.where("q"), q_blocks, query_block).withColumn("chunk", F.col("block") % chunks).withColumn("block", upto(blocks))
+
+    def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        for r in candidates.to_pylist() if queries.num_rows else []:
+            data = np.frombuffer(r["vectors"], "<i8").reshape(-1, width)
+            ids, places, nulls, tree = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["places"], np.int64), np.frombuffer(r["nulls"], bool), CoverTree(data)
+            for o in queries.to_pylist():
+                own = np.frombuffer(o["vectors"], "<i8").reshape(-1, width)
+                q_ids, q_places = np.frombuffer(o["ids"], np.int64), np.frombuffer(o["places"], np.int64)
                 found = DualSearch(own, q_places, data, ids, places, k, tree=tree)
                 i, j = np.nonzero(found.place >= 0)
                 p = found.place[i, j]
-                yield pa.RecordBatch.from_arrays([pa.array(q_places[i]), pa.array(q_ids[i]), pa.array(ids[p], mask=nulls[p]), pa.array(found.score[i, j])], schema=RESULT)
+                out.append(pa.table([pa.array(q_places[i]), pa.array(q_ids[i]), pa.array(ids[p], mask=nulls[p]), pa.array(found.score[i, j])], schema=RESULT))
+        return pa.concat_tables(out) if out else RESULT.empty_table()
 
-    best = pairs.mapInArrow(search, "row long, query_id long, vec_id long, score long")
+    best = x.groupBy("block", "chunk").cogroup(q.groupBy("block", "chunk")).applyInArrow(search, "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
