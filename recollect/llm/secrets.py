@@ -30,13 +30,13 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]",
     r"^[A-Za-z]+[0-9]{1,4}$",
-    r"^[A-Za-z]*(?:[+/_=-]+[A-Za-z]*|[+/_=-]+[0-9]+)*$",
+    r"^[A-Za-z]*+(?:[+/_=-]++(?:[A-Za-z]++|[0-9]++)?+)*+$",
 )
 
 
-def window_entropy(value: Column, window: int, limit: Column) -> Column:
-    """(first, last): the starts of the first and the last window over the limit, from 0; null if none is."""
-    code = lambda i: F.ascii(F.substring(value, i, 1))
+def window_entropy(chars: Column, window: int, limit: Column) -> Column:
+    """(first, last): the starts of the first and the last window over the limit, from 0; null if none is. chars: an array of ASCII characters."""
+    code = lambda i: F.ascii(F.get(chars, i - 1))
     x_log = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
     def step(acc: Column, i: Column) -> Column:
@@ -54,7 +54,7 @@ def window_entropy(value: Column, window: int, limit: Column) -> Column:
         )
 
     zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: F.struct(acc["first"], acc["last"]))
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step, lambda acc: F.struct(acc["first"], acc["last"]))
 
 
 def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
@@ -77,7 +77,8 @@ def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALL
             hit = hit | x["value"].rlike(p)
         return hit
 
-    scored = F.transform(F.filter("__found", lambda x: ~no_secret(x)), lambda x: F.struct(x.alias("x"), window_entropy(x["value"], WINDOW, F.when(x["value"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(KEY_BITS)).alias("at")))
+    split = F.transform(F.filter("__found", lambda x: ~no_secret(x)), lambda x: F.struct(x.alias("x"), F.split(x["value"], "").alias("chars")))
+    scored = F.transform(split, lambda y: F.struct(y["x"].alias("x"), window_entropy(y["chars"], WINDOW, F.when(y["x"]["value"].rlike("^(?:[0-9a-f]++|[0-9A-F]++)$"), HEX_BITS).otherwise(KEY_BITS)).alias("at")))
     more = F.transform(F.filter(scored, lambda y: y["at"]["first"].isNotNull()), lambda y: span(y["x"]["start"] + y["at"]["first"], y["x"]["start"] + y["at"]["last"] + WINDOW, 3, y["x"]["value"]))
     return out.withColumn("more", F.when(F.size("__found") > 0, more).otherwise(none())).drop("__found")
 

@@ -153,7 +153,7 @@ def texts_from(parts, n, seed):
 
 def test_secrets(spark):
     parts = ["password", "Token", "secret", "=", ":", " ", '"', "AKIA", "ABCDEF0123456789", "abc123", "é", "😀", "0123456789abcdef", "deadbeef", "api_key", "x\n", "passwd="]
-    rows = texts_from(parts, 400, 4) + [(9004, "token=" + "a" * 100_000), (9005, "f" * 100_000)]
+    rows = texts_from(parts, 400, 4) + [(9004, "token=" + "a" * 100_000), (9005, "f" * 100_000), (9006, "x/" * 50_000 + "7"), (9007, "aB3/" * 30_000)]
     for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         t = dict(rows)[r["doc_id"]] or ""
         base = brute_secrets(t)
@@ -164,7 +164,7 @@ def test_secrets(spark):
 def test_entropy_windows(spark):
     r = random.Random(5)
     values = ["".join(r.choice("abcdef0123456789XYZ+/" if k % 2 else "aab1") for _ in range(r.randint(1, 45))) for k in range(60)]
-    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.window_entropy(F.col("v"), 20, F.lit(3.3)).alias("w"))
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.window_entropy(F.split("v", ""), 20, F.lit(3.3)).alias("w"))
     assert all((x["w"]["first"], x["w"]["last"]) == brute_entropy(x["v"], 20, 3.3) for x in df.collect())
 
 
