@@ -128,8 +128,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data replaced by its kind in square brackets; other texts, nulls included, stay."""
     own = docs.withColumn("__t", F.xxhash64(text_col))
-    spans = find(own.select(F.col("__t").alias("t"), F.col(text_col).alias("text")).dropDuplicates(["t"])).select("t", F.concat("base", "more").alias("__all")).where(F.size("__all") > 0)
-    spans = materialize(spans)
+    spans = find(own.select(F.col("__t").alias("t"), F.col(text_col).alias("text"))).select("t", F.concat("base", "more").alias("__all")).where(F.size("__all") > 0)
+    spans = materialize(spans.dropDuplicates(["t"]))  # few texts have any
     spans = small(spans, F.aggregate("__all", F.lit(64), lambda a, x: a + F.length(x["value"]) * 4 + 64))
     out = own.join(spans, F.col("__t") == F.col("t"), "left")
     return out.withColumn(text_col, F.when(F.col("__all").isNotNull(), redacted(F.col(text_col), F.col("__all"), KINDS)).otherwise(F.col(text_col))).select(*docs.columns)
