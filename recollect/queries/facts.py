@@ -78,7 +78,7 @@ def _reviewed(spark, sf_dir):
     both = d.join(S.table(spark, sf_dir, "labels"), "doc_id", "left")
     first = T.trim_object(F.col("text"))
     return both.select(
-        "doc_id", "lang", F.lit("USES").alias("relation"), F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(first).alias("object"), F.substring("text", 1, 200).alias("content"),
+        "doc_id", "lang", F.lit("USES").alias("relation"), F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(first).alias("object"), F.col("text").alias("content"),
         F.when(F.col("doc_id") % 7 == 0, F.lit("absent from the text")).otherwise(F.substring("text", 5, 20)).alias("source_span"),
         F.when(F.col("toxic") == 1, 0.1).when(F.col("quality") == 0, 0.5).when(F.col("quality") == 1, 0.9).otherwise(0.65).alias("confidence"),
         F.when(F.col("doc_id") % 5 == 0, "pending").otherwise("confirmed").alias("review_status"), F.when(F.col("doc_id") % 13 == 0, "future").otherwise("current").alias("temporal_status"),
@@ -252,7 +252,7 @@ _WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
 _REVIEWED = (
     "r AS (SELECT doc_id, 'USES' AS relation, CASE WHEN doc_id % 11 = 0 THEN '' ELSE array_to_string("
     + _WORDS.format("regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^[.,;:!?]+|[.,;:!?]+$', '', 'g')")
-    + "[1:3], ' ') END AS object, substr(text, 1, 200) AS content, CASE WHEN doc_id % 7 = 0 THEN 'absent from the text' ELSE substr(text, 5, 20) END AS span, "
+    + "[1:3], ' ') END AS object, text AS content, CASE WHEN doc_id % 7 = 0 THEN 'absent from the text' ELSE substr(text, 5, 20) END AS span, "
     "CASE WHEN toxic = 1 THEN 0.1 WHEN quality = 0 THEN 0.5 WHEN quality = 1 THEN 0.9 ELSE 0.65 END AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'pending' ELSE 'confirmed' END AS review_status, "
     "CASE WHEN doc_id % 13 = 0 THEN 'future' ELSE 'current' END AS tense FROM documents LEFT JOIN labels USING (doc_id))"
 )

@@ -73,7 +73,7 @@ def category_retract(spark, sf_dir):
 
 
 def retract_by_id(spark, sf_dir):
-    out = temporal.retract(_history(spark, sf_dir), [1, 2, 3, 5, 8, 13], NOW).where(F.col("edge_id") < 50)
+    out = temporal.retract(_history(spark, sf_dir), [1, 2, 3, 5, 8, 13], NOW)
     return _micros(out.select("edge_id", "invalid_at", "retracted_at"), "invalid_at", "retracted_at")
 
 
@@ -227,7 +227,7 @@ ORACLE_SQL = {
     "close_edges": "WITH retired AS (" + _RECONCILE + "IS NOT NULL), " + CONFLICTING_SQL + " SELECT user_id, relation, count(*) AS n, max(object) AS last_object FROM edges ANTI JOIN retired USING (edge_id) GROUP BY ALL",
     "as_of_snapshot": "WITH " + SCD_SQL + " SELECT edge_id, user_id, relation, object FROM hist WHERE valid_at <= TIMESTAMP '2024-01-10' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-10') AND valid_at <= TIMESTAMP '2024-01-20'",
     "category_retract": "WITH " + EDGES_SQL + ", u AS (SELECT * FROM edges WHERE relation = 'USES') SELECT edge_id, user_id, object FROM u WHERE NOT EXISTS (SELECT 1 FROM u k WHERE k.user_id = u.user_id AND k.object = u.object AND k.valid_at < TIMESTAMP '2024-01-08')",
-    "retract_by_id": "WITH " + SCD_SQL + " SELECT edge_id, epoch_us(CASE WHEN edge_id IN (1, 2, 3, 5, 8, 13) THEN greatest(TIMESTAMP '2024-06-01', valid_at + INTERVAL 1 MILLISECOND) ELSE invalid_at END) AS invalid_at, epoch_us(CASE WHEN edge_id IN (1, 2, 3, 5, 8, 13) THEN TIMESTAMP '2024-06-01' ELSE invalid_at END) AS retracted_at FROM hist WHERE edge_id < 50",
+    "retract_by_id": "WITH " + SCD_SQL + " SELECT edge_id, epoch_us(CASE WHEN edge_id IN (1, 2, 3, 5, 8, 13) THEN greatest(TIMESTAMP '2024-06-01', valid_at + INTERVAL 1 MILLISECOND) ELSE invalid_at END) AS invalid_at, epoch_us(CASE WHEN edge_id IN (1, 2, 3, 5, 8, 13) THEN TIMESTAMP '2024-06-01' ELSE invalid_at END) AS retracted_at FROM hist",
     "retention_cleanup": "WITH " + SCD_SQL + " SELECT edge_id, user_id, relation FROM hist WHERE invalid_at IS NULL OR invalid_at >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY",
     "supersession_pairs": _pair_sql(f"{_SUPERSEDES} AND fo = eo"), "slot_conflict_pairs": _pair_sql(f"{_FR} = {_ER} AND fo <> eo"), "redundant_pairs": _pair_sql(_REDUNDANT),
     "invalidation_pairs": _pair_sql(f"CASE WHEN fr = er AND fo = eo THEN false WHEN {_FR} = {_ER} AND fo <> eo THEN true WHEN fr = 'WORKS_AT' AND er IN ('WORKED_AT', 'SWITCHED_FROM', 'SWITCHED_TO') THEN true WHEN {_SUPERSEDES} AND fo = eo THEN true WHEN {_REDUNDANT} THEN true ELSE false END"),
