@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, tidy
+
 #: Bytes of text in a chunk: its distinct words and their ids are held by one task.
 CHUNK_BYTES = 12 << 20
 #: Buckets a chunk's words are dealt over for each GB of text; at least as many as MIN_BUCKETS.
@@ -71,6 +73,7 @@ def _split(buckets: int):
                 body = b"\n".join(own)
                 yield _rows([(WORDS, chunk, k, [], len(own).to_bytes(4, "little"), zstandard.ZstdCompressor(level=1).compress(body))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -110,6 +113,7 @@ def _split(buckets: int):
 def _encode(vocab_path: str, cache_words: int):
     """The words of a bucket to their ids, each distinct word once."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, known, at = tokenizer(vocab_path), {}, None
         for b in batches:
@@ -154,6 +158,8 @@ def _join(vocab_path: str, buckets: int, wide: bool):
                 s += size
                 raw, text = b"".join(map(ids_of.__getitem__, own)), b"".join(map(text_of.__getitem__, own))[:-1]
                 out.append((doc, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest()))
+        del ids_of, text_of
+        release()
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,28 @@ def small(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(df) if total <= limit else df
 
 
+def release() -> None:
+    """Give freed memory back: workers are kept for later stages, and would hold the most that any of them used."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """Wrap a function over a partition's batches: what it used is given back at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
-
-__all__ = ["BROADCAST_BYTES", "StorageLevel", "materialize", "maybe_broadcast", "scratch_root", "small", "text_or_empty"]

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Frequent function words of English, German, French and Spanish.
 COMMON = {
     "en": "the of and to in a is that it for on was with be as are this by at from or an not have which you were".split(),
@@ -87,6 +89,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """A row of counts for each language, over all documents."""
     width = len(CLASSES) + len(WORDS) + 1
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
@@ -133,6 +136,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs; the number of partitions follows the number of pieces.
 PIECES_PER_PARTITION = 60_000
 #: Words a worker remembers the ids of.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -47,7 +47,6 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -56,12 +55,20 @@ class ByteBpe:
         self.special = [t["content"] for t in spec["added_tokens"]]
         ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bpe = tiktoken.Encoding("file", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         self.cache: dict[str, bytes] = {}
 
+    def whole(self):
+        """The library's own tokenizer, read only where a text needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.split(" ")
         cache = self.cache
         try:
@@ -94,6 +101,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end
     """One row for each piece of at most capacity tokens; only the first piece of a longer document is shorter."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocab_path)
         for b in batches:

@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize
+from .common import BROADCAST_BYTES, materialize, release, tidy
 
 WINDOW, GRAM, PHRASE = 35, 12, 18
 #: Windows in a segment at most: less than a window has words, so that a segment's first and last window hold its text.
 SEGMENT = WINDOW - GRAM + 1
 #: Bytes of documents that one automaton is built for.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -104,6 +104,7 @@ PASSAGES = pa.schema([("id", pa.int64()), ("anchors", pa.list_(pa.int64())), ("t
 FOUND = pa.schema([("key", pa.int64()), ("spans", pa.binary())])
 
 
+@tidy
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each anchor of a document; n is 2 where the document itself repeats a window of it."""
     for b in batches:
@@ -143,6 +144,7 @@ def _counted(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Record
     return _batch(HASHES, a[first], w[first], k[first], np.diff(np.r_[first, len(w)]))
 
 
+@tidy
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments under anchors found twice."""
     for b in batches:
@@ -163,6 +165,7 @@ def _members(anchors: np.ndarray, windows: np.ndarray, wanted: list[int]) -> np.
     return np.repeat(np.isin(own, np.array(wanted, np.int64)), np.diff(np.r_[starts, len(windows)]))
 
 
+@tidy
 def _lone_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of segments found once."""
     for b in batches:
@@ -176,6 +179,7 @@ def _lone_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _counted(rows)
 
 
+@tidy
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of the windows that a document represents; each window at its first such place only."""
     for b in batches:
@@ -277,6 +281,8 @@ def _stream(passages: pa.Table, docs: pa.Table) -> pa.Table:
         if found := merged(automaton.spans(split(text.as_py()))):
             keys.append(key)
             spans.append(np.array(found, "<i4").tobytes())
+    del automaton
+    release()
     return pa.table([pa.array(keys, pa.int64()), pa.array(spans, pa.binary())], schema=FOUND)
 
 
@@ -349,6 +355,7 @@ def _located(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> D
 def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the words kept, joined by single spaces."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

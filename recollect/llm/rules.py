@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
 from .divergence import coded, histograms
 from .training import fold, labelled_sample
 
@@ -149,6 +150,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns = docs.columns
     at = columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [statistics(t.as_py()) for t in b.column(at)]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import materialize, maybe_broadcast, tidy
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints that the tree is fitted on, and those a leaf should hold.
@@ -54,6 +54,7 @@ def _key(id_col: str, text_col: str) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, a key of the id and the text, fp."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t.as_py()) for t in b.column(2)], pa.int64())], names=["doc_id", "key", "fp"])

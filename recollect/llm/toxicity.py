@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .training import fold, labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -109,6 +110,7 @@ def fit(documents: list[np.ndarray], label: np.ndarray, sizes: dict[int, int], s
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> FactorizationMachine:
     sample, sizes = labelled_sample(docs, labels, label_col, fold("id", FOLDS) != HELD_OUT, per_class, id_col, text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [np.array(sorted(terms(t.as_py())), "<u4").tobytes() for t in b.column(0)]
@@ -120,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         index = model.index
