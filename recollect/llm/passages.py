@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, materialize, release, tidy
 
-WINDOW, GRAM, PHRASE = 35, 12, 18
+WINDOW, GRAM, PHRASE = 35, 12, 8
+#: Words from one phrase of a passage to the next: any window then holds a whole phrase.
+STRIDE = WINDOW - PHRASE + 1
 #: Windows in a segment at most: less than a window has words, so that a segment's first and last window hold its text.
 SEGMENT = WINDOW - GRAM + 1
 #: Bytes of documents that one automaton is built for.
@@ -217,8 +219,12 @@ class Automaton:
         self.ids: dict[bytes, int] = {}
         put = self.ids.setdefault
         own = [[put(w, len(self.ids) + 1) for w in split(p)] for p in passages]
-        phrases = {tuple(p[at : at + PHRASE]) for p in own for at in range(0, len(p) - PHRASE + 1, PHRASE)}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.base = max(16, round((len(self.ids) + 1) ** (1 / 3)) + 1)
+        phrases = set()
+        for p in own:
+            text = self._spelled(np.array(p, np.int64))
+            phrases.update(text[3 * at : 3 * (at + PHRASE)] for at in range(0, len(p) - PHRASE + 1, STRIDE))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for phrase in phrases:
             self.automaton.add_word(phrase, 1)
         if phrases:
@@ -233,6 +239,13 @@ class Automaton:
         self.hashes, first = np.unique(hashes, return_index=True)
         self.at = at[first]
 
+    def _spelled(self, ids: np.ndarray) -> str:
+        """Three letters a word, each from its own alphabet: nodes have few children, and matches start at words."""
+        letters = np.empty(3 * len(ids), "<u4")
+        for k, own in enumerate((ids // self.base**2, ids // self.base % self.base, ids % self.base)):
+            letters[k::3] = 256 + k * self.base + own
+        return letters.tobytes().decode("utf-32-le")
+
     def _hashes(self, ids: np.ndarray) -> np.ndarray:
         return _rolling(self.code[ids], WINDOW, _M2)
 
@@ -241,10 +254,15 @@ class Automaton:
             return []
         get = self.ids.get
         own = [get(w, 0) for w in words]
-        ends = np.fromiter((e for e, _ in self.automaton.iter(tuple(own))), np.int64)
-        if not len(ends):
-            return []
         doc, n = np.array(own, np.int64), len(own) - WINDOW + 1
+        edge = np.flatnonzero(np.diff(np.r_[0, doc > 0, 0]))  # no match crosses a word that no passage holds
+        ends = []
+        for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if stop - start >= WINDOW:
+                ends += [start + e // 3 for e, _ in self.automaton.iter(self._spelled(doc[start:stop]))]
+        if not ends:
+            return []
+        ends = np.array(ends, np.int64)
         edge = np.zeros(n + 1, np.int64)  # windows that hold a phrase start at most as early as one that ends with it
         np.add.at(edge, np.clip(ends + 1 - WINDOW, 0, n), 1)
         np.add.at(edge, np.clip(ends + 2 - PHRASE, 0, n), -1)
