@@ -2,9 +2,11 @@
 
 Mentions are known entities and other strings with a digit or an at sign. A mention's pattern is the pair of words
 before it and its shape; its instance is its value. Entities of a known form are seeds with score 1. In each round a
-pattern's score is the share of its distinct instances' scores, smoothed, if enough distinct seeds support it, and an
-instance's score is that of its best pattern; so patterns that seeds induce name new instances, and these lend support
-to further patterns. A mention that is no known form is found where its pattern's last score reaches the limit.
+pattern's share is the sum of its distinct instances' scores by their number, smoothed, and its score that share times
+the logarithm of the sum: much evidence outweighs instances not yet known. A pattern whose score reaches the limit, and
+which enough distinct seeds or instances accepted before support, names its instances; these get the share of their best
+pattern as score and lend support to further patterns. A mention that is no known form is found where its pattern's last
+score reaches the limit.
 
 Edge cases: null and empty texts have no spans; null and repeated doc_ids are scanned row by row, and equal instances in
 many rows count once for a pattern; an empty table gives no rows; other columns are ignored.
@@ -28,7 +30,7 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 IP_VALID = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 #: A known form, or a string without white space that holds a digit or an at sign.
 MENTION = rf"{PHONE}|(?<![0-9])[0-9](?:[\x20-]?[0-9]){{13,}}+|(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
-#: Distinct seeds that a pattern needs, the score from which it names instances, its prior count, and the rounds.
+#: Distinct seeds or accepted instances that a pattern needs, the score from which it names instances, its prior count, and the rounds.
 SUPPORT, CONFIDENT, PRIOR, ROUNDS = 4, 0.8, 0.5, 3
 
 
@@ -91,14 +93,15 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SU
     """(pattern, score) of patterns at or over the limit; edges are distinct (pattern, instance, seed)."""
     instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for k in range(rounds):
-        weighed = edges.select("pattern", "instance", "seed").join(instances, "instance")
-        scores = weighed.groupBy("pattern").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = scores.where(F.col("seeds") >= support).select("pattern", (F.col("sum") / (F.col("n") + prior)).alias("score")).where(F.col("score") >= confident)
+        weighed = edges.select("pattern", "instance").join(instances, "instance")
+        sums = weighed.groupBy("pattern").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("accepted"))
+        share = F.col("sum") / (F.col("n") + prior)
+        patterns = sums.where(F.col("accepted") >= support).select("pattern", share.alias("share"), (share * F.log2("sum")).alias("score")).where(F.col("score") >= confident)
         patterns = materialize(patterns)
         if k + 1 < rounds:
-            best = edges.join(patterns.withColumnRenamed("score", "of"), "pattern", "left").groupBy("instance")
-            instances = materialize(best.agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("of"), F.lit(0.0))).alias("score")))
-    return patterns
+            best = edges.join(patterns.select("pattern", "share"), "pattern", "left").groupBy("instance")
+            instances = materialize(best.agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("share"), F.lit(0.0))).alias("score")))
+    return patterns.select("pattern", "score")
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -207,6 +207,16 @@ def test_contexts_name_unseen_identifiers(spark):
     assert masked[6] == "your member id [context] thanks" and masked[0] == "your member id [email] thanks" and masked[8] is None
 
 
+def test_contexts_outweigh_many_unseen_identifiers(spark):
+    seeds = [f"your member id a{k}@mail.com thanks" for k in range(30)]
+    unseen = [f"your member id zed{k}@localhost thanks" for k in range(30)]
+    hop = [f"old staff login zed{k}@localhost thanks" for k in range(6)] + ["old staff login new7@localhost thanks"]
+    rare = [f"the plain word b{k}@mail.com thanks" for k in range(4)] + [f"the plain word q{k}@corp thanks" for k in range(200)]
+    rows = list(enumerate(seeds + unseen + hop + rare))
+    out = {r["doc_id"]: r["n_context"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k] for k, t in rows] == [0] * 30 + [1] * 30 + [1] * 7 + [0] * 204
+
+
 # 3
 
 
