@@ -1,18 +1,23 @@
 """Sequential resolution: each fact sees the edges that facts before it left.
 
-Facts are folded a user at a time in the order of storing. Two deviations from the original: closing an edge that the
-same batch inserted closes the stored row, and a fact stored as retracted is no duplicate of later ones.
+Facts are folded a user at a time in the order of storing. Fact strings are compared by a provider's embeddings: a near
+duplicate of an open edge of its relation is skipped, one less near closes that edge. Two deviations from the original:
+closing an edge that the same batch inserted closes the stored row, and a fact stored as retracted is no duplicate of
+later ones.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from ..functions import text as T
+from ..providers import Offline, Provider
 
 RESULT = "edge_id string, user_id string, relation string, object string, valid_at timestamp_ntz, invalid_at timestamp_ntz, retracted_at timestamp_ntz"
 
@@ -34,24 +39,50 @@ def should_close(fr: str, fo: str, er: str, eo: str) -> bool:
     return fo == eo and (er in R.SUPERSEDES.get(fr, ()) or (fr != er and same_family))
 
 
-def fold(facts: list[dict]) -> list[dict]:
-    """Edges of one user's facts (edge_id, relation, object, valid_at, retraction), in order of storing."""
+def similarities(provider: Provider):
+    """A function of a fact string and others: their cosines. Each distinct string is embedded once."""
+    known: dict[str, np.ndarray] = {}
+
+    def unit(x: str) -> np.ndarray:
+        if x not in known:
+            v = np.asarray(provider.embed(x), float)
+            known[x] = v / (np.linalg.norm(v) or 1.0)
+        return known[x]
+
+    def compare(new: str, old: list[str]) -> list[float]:
+        mine = unit(new)
+        return [float(mine @ v) if v.shape == mine.shape else 0.0 for v in map(unit, old)]
+
+    return compare
+
+
+def fold(facts: list[dict], provider: Provider | None = None) -> list[dict]:
+    """Edges of one user's facts (edge_id, relation, object, valid_at, retraction, fact_string), in order of storing.
+
+    Without a provider only relations and objects decide.
+    """
     stored: list[dict] = []
     current: list[dict] = []
+    compare = provider and similarities(provider)
     for f in facts:
-        rel, obj = f["relation"].upper(), _key(f["object"])
+        rel, obj, said = f["relation"].upper(), _key(f["object"]), f.get("fact_string")
         if not f["retraction"]:
             if rel in R.PAST_EMPLOYMENT and any(e["relation"] == "WORKS_AT" for e in current):
                 continue
             slot = R.SLOTS.get(rel)
             if any(e["key"] == obj and (e["relation"] == rel or (slot and R.SLOTS.get(e["relation"]) == slot)) for e in current):
                 continue
+            alike = [e for e in current if e["relation"] == rel] if compare else []
+            near = compare(said, [e["said"] for e in alike]) if alike else []
+            if any(s > R.DEDUP_THRESHOLD or (s >= R.DEDUP_MODEL_THRESHOLD and provider.same_fact(said, e["said"])) for e, s in zip(alike, near, strict=True)):
+                continue
+            conflicting = {id(e) for e, s in zip(alike, near, strict=True) if s >= R.CONFLICT_THRESHOLD and e["key"] != obj}
             for e in current:
-                if should_close(rel, obj, e["relation"], e["key"]):
+                if id(e) in conflicting or should_close(rel, obj, e["relation"], e["key"]):
                     e["invalid_at"] = max(f["valid_at"], e["valid_at"] + pd.Timedelta(milliseconds=1))
                     e["retracted_at"] = f["valid_at"]
             current = [e for e in current if e["invalid_at"] is None]
-        row = {"edge_id": f["edge_id"], "user_id": f["user_id"], "relation": rel, "object": f["object"], "key": obj, "valid_at": f["valid_at"], "invalid_at": None, "retracted_at": None}
+        row = {"edge_id": f["edge_id"], "user_id": f["user_id"], "relation": rel, "object": f["object"], "key": obj, "said": said, "valid_at": f["valid_at"], "invalid_at": None, "retracted_at": None}
         if f["retraction"]:
             row["invalid_at"], row["retracted_at"] = f["valid_at"] + pd.Timedelta(milliseconds=1), f["valid_at"]
         else:
@@ -66,12 +97,18 @@ def ordered(rows: pd.DataFrame) -> list[dict]:
     return rows.sort_values(["valid_at", "p", "ordinal"], kind="stable").to_dict("records")
 
 
-def _fold_group(rows: pd.DataFrame) -> pd.DataFrame:
-    out = pd.DataFrame(fold(ordered(rows)), columns=["edge_id", "user_id", "relation", "object", "valid_at", "invalid_at", "retracted_at"])
-    return out.astype({c: "datetime64[us]" for c in ("valid_at", "invalid_at", "retracted_at")})
+def resolve(facts: DataFrame, provider: Provider | None = Offline()) -> DataFrame:  # noqa: B008
+    """facts: edge_id, user_id, relation, object, valid_at, ordinal, retraction, perhaps fact_string. One shuffle on user_id.
+
+    Without a fact string the user's own is made of relation and object; without a provider no similarity counts.
+    """
 
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(fold(ordered(rows), provider), columns=["edge_id", "user_id", "relation", "object", "valid_at", "invalid_at", "retracted_at"])
+        return out.astype({c: "datetime64[us]" for c in ("valid_at", "invalid_at", "retracted_at")})
 
-def resolve(facts: DataFrame) -> DataFrame:
-    """facts: edge_id, user_id, relation, object, valid_at, ordinal, retraction. One shuffle on user_id."""
-    own = facts.select(F.col("edge_id").cast("string"), F.col("user_id").cast("string"), "relation", "object", "valid_at", F.col("ordinal").cast("long"), F.col("retraction"))
-    return own.groupBy("user_id").applyInPandas(_fold_group, RESULT)
+    said = F.col("fact_string") if "fact_string" in facts.columns else T.fact_string(F.lit("user"), F.col("relation"), F.col("object"))
+    own = facts.select(
+        F.col("edge_id").cast("string"), F.col("user_id").cast("string"), "relation", "object", "valid_at", F.col("ordinal").cast("long"), F.col("retraction"), said.alias("fact_string")
+    )
+    return own.groupBy("user_id").applyInPandas(group, RESULT)

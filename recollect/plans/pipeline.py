@@ -84,7 +84,7 @@ def ingest(episodes: DataFrame, provider: P.Provider, now: dt.datetime) -> tuple
         F.sha2(F.concat_ws("\u0001", "episode_id", "subject", "relation", "object"), 256).alias("edge_id"), "user_id", "subject", "relation", "object", "fact_string",
         now_literal(now).alias("valid_at"), F.col("position").alias("ordinal"), F.col("retraction_signal").alias("retraction"), "confidence", "review_status", "episode_id",
     )
-    edges = resolve.resolve(facts).join(facts.select("edge_id", "subject", "fact_string", "confidence", "review_status", "episode_id"), "edge_id")
+    edges = resolve.resolve(facts, provider).join(facts.select("edge_id", "subject", "fact_string", "confidence", "review_status", "episode_id"), "edge_id")
     edges = conflict.reconciled(edges, now)
     return edges, review, profile.sync(edges)
 

@@ -153,9 +153,9 @@ def resolve_fold(spark, sf_dir):
 
 
 def resolve_single_slot(spark, sf_dir):
-    """The fold restricted to one slot a user, which is the slot's history."""
+    """The fold restricted to one slot a user, which is the slot's history; its SQL knows no embeddings, and so no similarity counts."""
     e = S.edges(spark, sf_dir).where("relation = 'LIVES_IN'").select("edge_id", "user_id", "relation", "object", "valid_at", F.col("edge_id").alias("ordinal"), F.lit(False).alias("retraction"))
-    out = resolve.resolve(e).select(F.col("edge_id").cast("long"), F.col("user_id").cast("long"), "object", "invalid_at")
+    out = resolve.resolve(e, None).select(F.col("edge_id").cast("long"), F.col("user_id").cast("long"), "object", "invalid_at")
     return _micros(out, "invalid_at")
 
 

@@ -105,4 +105,6 @@ PROMOTE_COUNT, PROMOTE_CONFIDENCE = 20, 0.7
 STORE_THRESHOLD, REVIEW_THRESHOLD, HIGH_CONFIDENCE = 0.7, 0.4, 0.8
 CONFIDENCE_STORE_THRESHOLD = 0.6
 DEDUP_THRESHOLD, CONFLICT_THRESHOLD = 0.95, 0.9
+#: From here up to DEDUP_THRESHOLD a model says whether two facts are the same.
+DEDUP_MODEL_THRESHOLD = 0.85
 TOKEN_BUDGET, RETENTION_DAYS = 2000, 30

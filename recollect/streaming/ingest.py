@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.resolve import resolve
+from ..providers import Offline, Provider
 
 FACTS = "edge_id string, user_id string, relation string, object string, valid_at timestamp_ntz, ordinal long, retraction boolean"
 
@@ -17,7 +18,7 @@ def fact_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> Dat
     return spark.readStream.schema(FACTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest_stream(facts: DataFrame, log: str, root: str, checkpoint: str) -> StreamingQuery:
+def ingest_stream(facts: DataFrame, log: str, root: str, checkpoint: str, provider: Provider | None = Offline()) -> StreamingQuery:  # noqa: B008
     """Append each batch to the log under its number and resolve the log's users that the batch touches.
 
     A batch that runs again overwrites its own part, so that a restart stores nothing twice. Only users with new facts
@@ -30,7 +31,7 @@ def ingest_stream(facts: DataFrame, log: str, root: str, checkpoint: str) -> Str
         users = batch.select("user_id").distinct()
         known = spark.read.option("basePath", log).parquet(f"{log}/part=*").where(F.col("part") <= number).drop("part", "batch")
         touched = known.join(users, "user_id", "left_semi")
-        resolve(touched).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/part={number}")
+        resolve(touched, provider).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/part={number}")
 
     return facts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -100,6 +100,27 @@ def test_fold_matches_model(rows):
     assert all(e["invalid_at"] is None or e["invalid_at"] > e["valid_at"] for e in got)
 
 
+def test_fold_skips_and_closes_by_similarity(spark):
+    class Near(P.Offline):
+        """Vectors by the last word of a fact string; a and b are near, a and c in the middle band, a and d conflict."""
+
+        def embed(self, text):
+            x = {"a": 1.0, "b": 0.96, "c": 0.87, "d": 0.92}.get(text.split()[-1], 0.0)
+            return [x, (1 - x * x) ** 0.5]
+
+        def same_fact(self, new, old):
+            return (new, old) == ("user uses c", "user uses a")
+
+    cases = [("b", ["a"]), ("c", ["a"]), ("d", ["d"]), ("e", ["a", "e"])]
+    rows = [(f"{u}{k}", u, "USES", o, DAY + dt.timedelta(minutes=k), k, False) for u, _ in cases for k, o in enumerate(["a", u])]
+    facts = spark.createDataFrame(rows, "edge_id string, user_id string, relation string, object string, valid_at timestamp_ntz, ordinal long, retraction boolean")
+    out = resolve.resolve(facts, Near()).collect()
+    open_ = {u: sorted(r["object"] for r in out if r["user_id"] == u and r["invalid_at"] is None) for u, _ in cases}
+    assert open_ == dict(cases)
+    assert [(r["object"], r["invalid_at"]) for r in out if r["user_id"] == "d" and r["invalid_at"]] == [("a", DAY + dt.timedelta(minutes=1))]
+    assert sum(r["user_id"] in "bc" for r in out) == 2
+
+
 def test_resolve_distributed(spark):
     random.seed(5)
     rows = [(str(k), f"u{k % 3}", random.choice(["WORKS_AT", "WORKED_AT", "LIVES_IN", "USES", "IS"]), random.choice("abc"), DAY + dt.timedelta(minutes=k), k, False) for k in range(90)]
