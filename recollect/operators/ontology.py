@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..functions import text as T
 from ..functions import vectors as V
+from ..providers import Provider, embedded, picked
 
 #: Phrases that fuzzy matching compares each distinct key with.
 MAX_PHRASES = 10_000
@@ -73,6 +74,21 @@ def match_meaning(phrases: DataFrame, described: list[tuple[str, list[float]]],
     return best.withColumns({"relation": F.when(F.col("__b.score") >= threshold, F.col("__b.relation")), "match_score": F.round(F.col("__b.score"), 3)}).drop("__b")
 
 
+def by_meaning(normalized: DataFrame, provider: Provider, col: str = "phrase") -> DataFrame:
+    """normalized phrases, those that no alias matched by meaning, or else by the model's pick; the rest stay unknown."""
+    raw = T.strip(F.col(col))
+    unmatched = (F.col("tier") == "unknown") | ((F.col("tier") == "reject") & (F.col("match_score") < R.FUZZY_THRESHOLD))
+    phrases = normalized.where(unmatched).select(raw.alias("__raw")).where("__raw <> ''").distinct()
+    vectors = embedded(phrases.withColumn("__words", F.replace("__raw", F.lit("_"), F.lit(" "))), provider, "__words")
+    found = match_meaning(vectors, [(r, provider.embed(d)) for r, d in R.DESCRIPTIONS.items()])
+    pick = found.where("relation IS NULL").select("__raw", picked(F.col("__raw"), provider).alias("__pick"))
+    found = found.join(pick, "__raw", "left").select("__raw", F.coalesce("relation", "__pick").alias("__found"), F.col("match_score").alias("__score")).where("__found IS NOT NULL")
+    out = normalized.withColumn("__raw", F.when(unmatched, raw)).join(found, "__raw", "left")
+    hit = F.col("__found").isNotNull()
+    out = out.withColumns({"relation": F.coalesce("__found", "relation"), "match_score": F.coalesce("__score", "match_score"), "tier": F.when(hit, "confirmed").otherwise(F.col("tier"))})
+    return out.withColumn("behavior", T.behavior(F.col("relation"))).drop("__raw", "__found", "__score")
+
+
 def unknown_statistics(sightings: DataFrame) -> DataFrame:
     """relation, count and mean confidence; combines by sums."""
     return sightings.groupBy("relation").agg(F.count("*").alias("count"), F.avg("confidence").alias("avg_confidence"))

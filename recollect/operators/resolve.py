@@ -9,6 +9,7 @@ later ones.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -59,28 +60,39 @@ def similarities(provider: Provider):
 def fold(facts: list[dict], provider: Provider | None = None) -> list[dict]:
     """Edges of one user's facts (edge_id, relation, object, valid_at, retraction, fact_string), in order of storing.
 
-    Without a provider only relations and objects decide.
+    Without a provider only relations and objects decide. Rows marked as stored are edges from before; an episode's
+    retract_category closes the open edges of that category (USES alone) which the episode's facts do not name.
     """
     stored: list[dict] = []
     current: list[dict] = []
     compare = provider and similarities(provider)
-    for f in facts:
+
+    def close(e: dict, at: pd.Timestamp) -> None:
+        e["invalid_at"], e["retracted_at"] = max(at, e["valid_at"] + pd.Timedelta(milliseconds=1)), at
+
+    def store(f: dict) -> None:
+        nonlocal current
         rel, obj, said = f["relation"].upper(), _key(f["object"]), f.get("fact_string")
+        if f.get("stored"):
+            ends = {c: None if pd.isna(f[c]) else f[c] for c in ("invalid_at", "retracted_at")}
+            stored.append({"edge_id": f["edge_id"], "user_id": f["user_id"], "relation": rel, "object": f["object"], "key": obj, "said": said, "valid_at": f["valid_at"], **ends})
+            if ends["invalid_at"] is None:
+                current.append(stored[-1])
+            return
         if not f["retraction"]:
             if rel in R.PAST_EMPLOYMENT and any(e["relation"] == "WORKS_AT" for e in current):
-                continue
+                return
             slot = R.SLOTS.get(rel)
             if any(e["key"] == obj and (e["relation"] == rel or (slot and R.SLOTS.get(e["relation"]) == slot)) for e in current):
-                continue
+                return
             alike = [e for e in current if e["relation"] == rel] if compare else []
             near = compare(said, [e["said"] for e in alike]) if alike else []
             if any(s > R.DEDUP_THRESHOLD or (s >= R.DEDUP_MODEL_THRESHOLD and provider.same_fact(said, e["said"])) for e, s in zip(alike, near, strict=True)):
-                continue
+                return
             conflicting = {id(e) for e, s in zip(alike, near, strict=True) if s >= R.CONFLICT_THRESHOLD and e["key"] != obj}
             for e in current:
                 if id(e) in conflicting or should_close(rel, obj, e["relation"], e["key"]):
-                    e["invalid_at"] = max(f["valid_at"], e["valid_at"] + pd.Timedelta(milliseconds=1))
-                    e["retracted_at"] = f["valid_at"]
+                    close(e, f["valid_at"])
             current = [e for e in current if e["invalid_at"] is None]
         row = {"edge_id": f["edge_id"], "user_id": f["user_id"], "relation": rel, "object": f["object"], "key": obj, "said": said, "valid_at": f["valid_at"], "invalid_at": None, "retracted_at": None}
         if f["retraction"]:
@@ -88,27 +100,49 @@ def fold(facts: list[dict], provider: Provider | None = None) -> list[dict]:
         else:
             current.append(row)
         stored.append(row)
+
+    for (at, _), batch in groupby(facts, lambda f: (f["valid_at"], f.get("episode_id"))):
+        own = list(batch)
+        for f in own:
+            store(f)
+        if any(str(f.get("retract_category")).upper() == "USES" for f in own):
+            keep = {f["object"].strip().lower() for f in own if f["relation"].upper() == "USES" and not f["retraction"]}
+            for e in current:
+                if e["relation"] == "USES" and e["object"].strip().lower() not in keep:
+                    close(e, at)
+            current = [e for e in current if e["invalid_at"] is None]
     return stored
 
 
 def ordered(rows: pd.DataFrame) -> list[dict]:
-    """By batch (time), then the priority of the relation, then place in the batch."""
-    rows = rows.assign(p=[R.STORE_PRIORITY.get(r.upper(), R.DEFAULT_PRIORITY) for r in rows["relation"]])
-    return rows.sort_values(["valid_at", "p", "ordinal"], kind="stable").to_dict("records")
+    """Stored edges, then by batch (time, and the episode if it is told), the priority of the relation, the place in the batch."""
+    rows = rows.assign(p=[R.STORE_PRIORITY.get(r.upper(), R.DEFAULT_PRIORITY) for r in rows["relation"]], fresh=~rows["stored"].astype(bool))
+    return rows.sort_values(["fresh", "valid_at", "episode_id", "p", "ordinal"], kind="stable").to_dict("records")
 
 
-def resolve(facts: DataFrame, provider: Provider | None = Offline()) -> DataFrame:  # noqa: B008
-    """facts: edge_id, user_id, relation, object, valid_at, ordinal, retraction, perhaps fact_string. One shuffle on user_id.
+def resolve(facts: DataFrame, provider: Provider | None = Offline(), stored: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """facts: edge_id, user_id, relation, object, valid_at, ordinal, retraction, perhaps fact_string, episode_id and retract_category.
 
-    Without a fact string the user's own is made of relation and object; without a provider no similarity counts.
+    One shuffle on user_id. Without a fact string the user's own is made of relation and object; without a provider no
+    similarity counts. The result holds the stored edges too, closed where facts close them; facts stored before are not stored again.
     """
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(fold(ordered(rows), provider), columns=["edge_id", "user_id", "relation", "object", "valid_at", "invalid_at", "retracted_at"])
         return out.astype({c: "datetime64[us]" for c in ("valid_at", "invalid_at", "retracted_at")})
 
-    said = F.col("fact_string") if "fact_string" in facts.columns else T.fact_string(F.lit("user"), F.col("relation"), F.col("object"))
-    own = facts.select(
-        F.col("edge_id").cast("string"), F.col("user_id").cast("string"), "relation", "object", "valid_at", F.col("ordinal").cast("long"), F.col("retraction"), said.alias("fact_string")
-    )
-    return own.groupBy("user_id").applyInPandas(group, RESULT)
+    def column(df: DataFrame, name: str, kind: str):
+        return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+
+    def rows(df: DataFrame, old: bool) -> DataFrame:
+        said = F.col("fact_string") if "fact_string" in df.columns else T.fact_string(F.lit("user"), F.col("relation"), F.col("object"))
+        ends = [F.col(c) if old else F.lit(None).cast("timestamp_ntz").alias(c) for c in ("invalid_at", "retracted_at")]
+        own = [F.lit(0).cast("long").alias("ordinal"), F.lit(False).alias("retraction")] if old else [F.col("ordinal").cast("long"), F.col("retraction")]
+        batch = [F.lit(None).cast("string").alias(c) for c in ("episode_id", "retract_category")] if old else [column(df, c, "string") for c in ("episode_id", "retract_category")]
+        return df.select(F.col("edge_id").cast("string"), F.col("user_id").cast("string"), "relation", "object", "valid_at", *own, said.alias("fact_string"), *batch, F.lit(old).alias("stored"), *ends)
+
+    every = rows(facts, False)
+    if stored is not None:
+        again = stored.select(F.col("edge_id").cast("string"), F.col("user_id").cast("string"))
+        every = rows(stored, True).unionByName(every.join(again, ["edge_id", "user_id"], "left_anti"))
+    return every.groupBy("user_id").applyInPandas(group, RESULT)

@@ -1,18 +1,33 @@
-"""From episodes to facts, and from facts to edges and profiles, as one lazy plan."""
+"""From episodes to facts, and from facts to edges and profiles.
+
+Steps that are read several times are written as Parquet to the shared folder, so that plans stay short and a model is
+asked once for each text.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import providers as P
+from .. import refdata as R
 from ..functions import text as T
 from ..operators import conflict, ontology, profile, resolve, routing
 from ..operators.temporal import now_literal
 
 
+def written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-")
+    path = f"{root}/recollect/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def first_messages(episodes: DataFrame) -> DataFrame:
     """The first message of each user's turn, whatever its role: what is extracted from."""
     others = F.struct("pos", "role", "content")
@@ -40,34 +55,62 @@ def located_clauses(texts: DataFrame, key: str, text: str, provider: P.Provider)
 
 
 def candidate_facts(episodes: DataFrame, provider: P.Provider) -> DataFrame:
-    """Facts of the local extractor: pairs with both sides, the lesser confidence, the first of equal ones."""
-    found = P.extracted(episodes, provider).select("episode_id", "user_id", "content", F.posexplode("candidates").alias("ordinal", "c"))
+    """Facts of the local extractor and, for episodes with a doubtful candidate or none, of the model.
+
+    Local: pairs with both sides, the lesser confidence, the first of equal ones. The model's: all but those to discard.
+    hint names a category that the model found listed in full.
+    """
+    low = lambda c: F.round(T.pair_confidence(c["head_confidence"], c["tail_confidence"]), 3) < R.HIGH_CONFIDENCE
+    whole = F.filter("candidates", lambda c: (F.trim(c["head"]) != "") & (F.trim(c["tail"]) != ""))
+    needed = (T.strip(F.col("content")) != "") & ((F.size(whole) <= 0) | F.exists(whole, low))
+    own = P.structured(P.extracted(episodes, provider), provider, needed)
+    own = own.withColumn("hint", F.array_max(F.transform("structured", lambda x: x["retract_category"])))
+    own = written(own.select("episode_id", "user_id", "content", "hint", "candidates", "structured"))
+    found = own.select("episode_id", "user_id", "content", "hint", F.posexplode("candidates").alias("ordinal", "c"))
     found = found.where("trim(c.head) <> '' AND trim(c.tail) <> ''")
-    return found.select(
-        "episode_id", "user_id", "content", "ordinal", T.subject(F.col("c.head")).alias("subject"), F.col("c.label").alias("relation_raw"),
+    local = found.select(
+        "episode_id", "user_id", "content", "hint", "ordinal", T.subject(F.col("c.head")).alias("subject"), F.col("c.label").alias("relation_raw"),
         T.trim_object(F.col("c.tail")).alias("object"), F.round(T.pair_confidence(F.col("c.head_confidence"), F.col("c.tail_confidence")), 3).alias("confidence"),
         F.col("c.span").alias("source_span"), F.lit("local").alias("source"), F.lit("unspecified").alias("temporal_status"), F.lit(False).alias("retraction_signal"),
     )
+    told = own.select("episode_id", "user_id", "content", "hint", F.size("candidates").alias("__after"), F.posexplode("structured").alias("__n", "m"))
+    told = told.where("trim(m.relation) <> '' AND trim(m.object) <> ''")
+    model = told.select(
+        "episode_id", "user_id", "content", "hint", (F.col("__after") + F.col("__n")).alias("ordinal"), T.subject(F.coalesce("m.subject", F.lit("user"))).alias("subject"),
+        F.col("m.relation").alias("relation_raw"), T.trim_object(F.col("m.object")).alias("object"), F.coalesce("m.confidence", F.lit(1.0)).alias("confidence"),
+        F.col("m.source_span").alias("source_span"), F.lit("llm").alias("source"),
+        F.coalesce(F.lower("m.temporal_status"), F.lit("unspecified")).alias("temporal_status"), F.coalesce("m.retraction_signal", F.lit(False)).alias("retraction_signal"),
+    )
+    model = model.where(routing.judge(F.col("confidence")) != "discard")
+    return written(routing.prefer_model(local.unionByName(model)))
 
 
 def extract_facts(episodes: DataFrame, provider: P.Provider) -> DataFrame:
-    """Normalized facts with spans, tense and signals, and the content they come from; rejected and unknown relations go."""
+    """Normalized facts with spans, tense and signals, and the content they come from; rejected and unknown relations go.
+
+    A phrase that no alias matches is sought by meaning, then picked by the model. retract_category names the category
+    that the episode lists in full, if any.
+    """
     facts = candidate_facts(episodes, provider)
     known = ontology.aliases(episodes.sparkSession)
-    named = ontology.normalize(facts, known, "relation_raw").where("tier IN ('confirmed', 'fuzzy')")
+    named = ontology.by_meaning(written(ontology.normalize(facts, known, "relation_raw")), provider, "relation_raw").where("tier IN ('confirmed', 'fuzzy')")
     named = named.withColumn("relation", routing.pet_relation(F.col("relation"), F.col("source_span"))).withColumn("review_status", F.col("tier"))
     named = routing.judged(routing.merge(named, ["episode_id"]).withColumn("ordinal", F.col("position")).drop("position"))
     named = named.withColumns({
         "fact_string": T.fact_string(F.col("subject"), F.col("relation"), F.col("object")),
         "source_span": routing.inferred_span(F.col("content"), F.col("source_span"), F.col("object")),
     })
+    named = written(named)
     clauses = located_clauses(episodes, "episode_id", "content", provider)
     at = F.instr(F.lower("content"), F.lower("source_span")) - 1
     spans = named.select("episode_id", F.col("ordinal").alias("fact"), F.col("source_span").alias("span"), at.alias("start"), (at + F.length("source_span")).alias("end"))
     status = routing.clause_status(spans, clauses, ["episode_id"]).select("episode_id", F.col("fact").alias("ordinal"), F.col("temporal_status").alias("__found"))
     timed = routing.with_temporal(named.join(status, ["episode_id", "ordinal"], "left"), F.coalesce("__found", F.lit("unspecified"))).drop("__found")
     signal = routing.retraction_signal(F.col("content"), F.col("relation"), F.col("object"), F.col("temporal_status"), F.col("retraction_signal"))
-    return timed.withColumn("retraction_signal", signal)
+    timed = timed.withColumn("retraction_signal", signal)
+    uses = F.bool_or((F.upper("relation") == "USES") & ~F.col("retraction_signal")).over(Window.partitionBy("episode_id"))
+    timed = timed.withColumn("__uses", uses)
+    return written(timed.withColumn("retract_category", routing.category_signal(F.col("content"), F.col("__uses"), F.col("hint"))).drop("__uses", "hint"))
 
 
 def storable(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,16 +120,25 @@ def storable(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return routing.dedupe_batch(gated.where("route = 'store'").drop("route"), ["episode_id"], "content"), review
 
 
-def ingest(episodes: DataFrame, provider: P.Provider, now: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges, facts for review, and profiles of a batch of episodes (episode_id, user_id, content)."""
+def ingest(
+    episodes: DataFrame, provider: P.Provider, now: dt.datetime, stored: DataFrame | None = None, profiles: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, facts for review, and profiles of a batch of episodes (episode_id, user_id, content) in the order of their ids.
+
+    stored are the edges, and profiles the profiles, that earlier batches left; the edges returned hold the stored ones.
+    """
     kept, review = storable(extract_facts(episodes, provider))
     facts = kept.select(
         F.sha2(F.concat_ws("\u0001", "episode_id", "subject", "relation", "object"), 256).alias("edge_id"), "user_id", "subject", "relation", "object", "fact_string",
-        now_literal(now).alias("valid_at"), F.col("position").alias("ordinal"), F.col("retraction_signal").alias("retraction"), "confidence", "review_status", "episode_id",
+        now_literal(now).alias("valid_at"), F.col("position").alias("ordinal"), F.col("retraction_signal").alias("retraction"), "confidence", "review_status", "episode_id", "retract_category",
     )
-    edges = resolve.resolve(facts, provider).join(facts.select("edge_id", "subject", "fact_string", "confidence", "review_status", "episode_id"), "edge_id")
-    edges = conflict.reconciled(edges, now)
-    return edges, review, profile.sync(edges)
+    facts = written(facts)
+    about = facts.select("edge_id", "subject", "fact_string", "confidence", "review_status", "episode_id")
+    if stored is not None:
+        about = stored.select(*about.columns).unionByName(about.join(stored.select("edge_id"), "edge_id", "left_anti"))
+    edges = written(resolve.resolve(facts, provider, stored).join(about, "edge_id"))
+    edges = written(conflict.reconciled(edges, now))
+    return edges, review, profile.sync(edges, profiles)
 
 
 __all__ = ["candidate_facts", "extract_facts", "first_messages", "ingest", "located_clauses", "storable"]

@@ -19,6 +19,9 @@ STATUSES = ("PAST", "CURRENT", "FUTURE", "UNSPECIFIED")
 
 
 class Provider(Protocol):
+    """extract_structured gives facts (subject, relation, object, confidence, source_span, temporal_status, retraction_signal),
+    of which only relation and object are needed; retract_category in any of them names a category listed in full."""
+
     def embed(self, text: str) -> list[float]: ...
     def extract(self, text: str) -> list[dict]: ...
     def extract_structured(self, text: str, candidates: list[dict]) -> list[dict]: ...
@@ -99,6 +102,32 @@ def extracted(df: DataFrame, provider: Provider, text: str = "content", out: str
     return df.withColumn(out, run(F.col(text)))
 
 
+STRUCTURED = "array<struct<subject:string,relation:string,object:string,confidence:double,source_span:string,temporal_status:string,retraction_signal:boolean,retract_category:string>>"
+_FIELDS = {k.split(":")[0]: None for k in STRUCTURED[13:-2].split(",")}
+
+
+def structured(df: DataFrame, provider: Provider, needed: Column, text: str = "content", candidates: str = "candidates", out: str = "structured") -> DataFrame:
+    """The model's facts of the rows that need them; others have none, and the model isn't called for them."""
+
+    @F.pandas_udf(STRUCTURED)
+    def run(x: pd.Series, c: pd.Series, need: pd.Series) -> pd.Series:
+        ask = lambda t, own: [{k: f.get(k) for k in _FIELDS} for f in provider.extract_structured(t, [dict(o) for o in own])]
+        return pd.Series([ask(t, own) if n else [] for t, own, n in zip(x, c, need, strict=True)], dtype=object)
+
+    return df.withColumn(out, run(F.col(text), F.col(candidates), F.coalesce(needed, F.lit(False))))
+
+
+def picked(phrase: Column, provider: Provider) -> Column:
+    """The model's choice among the described relations; null if it has none."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        each = ((provider.pick_relation(p) or "").upper() for p in x)
+        return pd.Series([r if r in R.DESCRIPTIONS else None for r in each], dtype=object)
+
+    return run(phrase)
+
+
 def classified(sentence: Column, provider: Provider) -> Column:
     @F.pandas_udf("array<struct<clause:string,status:string>>")
     def run(x: pd.Series) -> pd.Series:

@@ -14,6 +14,7 @@ from recollect import refdata as R
 from recollect.functions import text as T
 from recollect.functions import vectors as V
 from recollect.operators import conflict, ontology, profile, resolve, retrieval, routing, temporal
+from recollect.plans import pipeline
 from recollect.sources import snapshots
 
 DAY = dt.datetime(2026, 7, 21, 7, 0)
@@ -226,6 +227,29 @@ def test_classifier_answers():
     assert p.embed("") == [0.0] * 768 and p.embed("a b") == p.embed("a b")
 
 
+def test_ingest_calls_models_and_closes_what_a_list_leaves_out(spark):
+    class Model(P.Offline):
+        def extract_structured(self, text, candidates):
+            return [{"relation": "is paid by", "object": "Slice", "source_span": text}, {"relation": "bills hours through", "object": "Slice"}, {"relation": "zzz", "object": "Slice"}] if "Slice" in text else []
+
+        def embed(self, text):
+            return [1.0, 0.0] if text in ("is paid by", R.DESCRIPTIONS["WORKS_AT"]) else [0.0, 1.0] if text == R.DESCRIPTIONS["USES"] else [0.0, 0.0]
+
+        def pick_relation(self, phrase):
+            return {"bills hours through": "works_at", "zzz": "NO_SUCH"}.get(phrase)
+
+    frame = lambda *rows: spark.createDataFrame(rows, "episode_id string, user_id string, content string")
+    facts = pipeline.extract_facts(frame(("e1", "u", "Slice pays for it all"), ("e2", "u", "Nothing here")), Model())
+    assert [(r["relation"], r["object"], r["source"]) for r in facts.collect()] == [("WORKS_AT", "Slice", "llm")]
+    phrases = spark.createDataFrame([("is paid by",), ("bills hours through",), ("zzz",), ("uses",)], "phrase string")
+    named = ontology.by_meaning(ontology.normalize(phrases, ontology.aliases(spark)), Model())
+    assert {r["phrase"]: r["relation"] for r in named.where("tier = 'confirmed'").collect()} == {"is paid by": "WORKS_AT", "bills hours through": "WORKS_AT", "uses": "USES"}
+    first, _, _ = pipeline.ingest(frame(("a", "u", "I uses Python."), ("b", "v", "I uses Go.")), P.Offline(), DAY)
+    second, _, _ = pipeline.ingest(frame(("c", "u", "I only use Rust. I uses Rust.")), P.Offline(), DAY + dt.timedelta(days=1), first)
+    got = {(r["user_id"], r["object"]): r["invalid_at"] for r in second.collect()}
+    assert got == {("u", "Python"): DAY + dt.timedelta(days=1), ("u", "Rust"): None, ("v", "Go"): None}
+
+
 def test_stream_restart_stores_once(spark, tmp_path):
     from recollect.streaming import ingest
 
