@@ -71,6 +71,16 @@ def drop_duplicates(new: DataFrame, edges: DataFrame) -> DataFrame:
     return f.join(by_relation, ["user_id", "__key", "__relation"], "left_anti").join(by_slot, ["user_id", "__key", "__slot"], "left_anti").select(*new.columns)
 
 
+def without_earlier_duplicate(edges: DataFrame) -> DataFrame:
+    """Rows that no open edge of the user with a smaller id duplicates: each row is held against all before it, by two aggregates."""
+    key = {"__key": T.object_key(F.col("object")), "__relation": F.upper("relation"), "__slot": T.slot(F.col("relation"))}
+    f = edges.withColumns(key)
+    first = lambda by: f.where(OPEN).groupBy("user_id", "__key", by).agg(F.min("edge_id").alias(f"__first{by}"))
+    both = f.join(first("__relation"), ["user_id", "__key", "__relation"], "left").join(first("__slot").where("__slot IS NOT NULL"), ["user_id", "__key", "__slot"], "left")
+    earlier = F.least("__first__relation", "__first__slot") < F.col("edge_id")
+    return both.where(~F.coalesce(earlier, F.lit(False))).select(*edges.columns)
+
+
 def near_duplicates(new: DataFrame, edges: DataFrame, on: list[str], threshold: float = R.DEDUP_THRESHOLD) -> DataFrame:
     """New rows (edge_id, vector) for which an edge with equal keys is as similar as the threshold."""
     e = edges.select(*on, F.col("vector").alias("old_vector"), F.col("edge_id").alias("old_id"))

@@ -82,6 +82,13 @@ def near_duplicate_skip(spark, sf_dir):
     return new.join(near, "edge_id", "left_anti").select("edge_id", "tenant")
 
 
+def near_duplicate_first(spark, sf_dir):
+    """All vectors that none of their tenant with a smaller id is near to: near_duplicate_skip for the whole table."""
+    v = S.vectors(spark, sf_dir)
+    near = conflict.near_duplicates(v, v, ["tenant"], 0.5).where("old_id < edge_id").select("edge_id").distinct()
+    return v.join(near, "edge_id", "left_anti").select("edge_id", "tenant")
+
+
 def missing_vectors(spark, sf_dir):
     """Documents without a vector: what a repair embeds."""
     return S.corpus(spark, sf_dir).join(S.vectors(spark, sf_dir).select("edge_id"), "edge_id", "left_anti").select("edge_id", "tenant")
@@ -100,7 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_budget_prefix, bm25_topk, bm25_per_tenant, vector_topk, vector_topk_per_tenant, rrf_hybrid, hybrid_retrieve, audit_search, blank_query,
-        paraphrase_conflicts, near_duplicate_skip, missing_vectors, repaired_vectors,
+        paraphrase_conflicts, near_duplicate_skip, near_duplicate_first, missing_vectors, repaired_vectors,
     )
 }
 
@@ -145,6 +152,7 @@ ORACLE_SQL = {
     "audit_search": "WITH " + _bm25_sql("with the was", False, 10) + " SELECT edge_id, score, rank FROM bm",
     "blank_query": "WITH " + S.EDGES_SQL + ", l AS (SELECT edge_id, 'user ' || lower(replace(relation, '_', ' ')) || ' ' || object AS fact, row_number() OVER (ORDER BY valid_at DESC, edge_id) - 1 AS position FROM edges WHERE relation <> 'SWITCHED_FROM' ORDER BY valid_at DESC, edge_id LIMIT 50), t AS (SELECT *, greatest(1, length(fact) // 4) AS tokens FROM l) SELECT * FROM (SELECT *, CAST(sum(tokens) OVER (ORDER BY position) AS BIGINT) AS total_tokens FROM t) WHERE total_tokens <= 100",
     "paraphrase_conflicts": f"SELECT a.label AS tenant, a.vec_id AS edge_id, b.vec_id AS old_id, round({_PAIR}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id WHERE {_PAIR} >= 0.5",
+    "near_duplicate_first": f"SELECT vec_id AS edge_id, label AS tenant FROM embeddings a WHERE NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.label = a.label AND b.vec_id < a.vec_id AND {_PAIR} >= 0.5)",
     "near_duplicate_skip": f"SELECT vec_id AS edge_id, label AS tenant FROM embeddings a WHERE vec_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.label = a.label AND b.vec_id % 2 = 0 AND {_PAIR} >= 0.5)",
     "missing_vectors": "SELECT doc_id AS edge_id, lang AS tenant FROM documents ANTI JOIN embeddings ON vec_id = doc_id",
     "repaired_vectors": "SELECT doc_id AS edge_id, CAST(768 AS INT) AS width, 1.0 AS norm FROM documents ANTI JOIN embeddings ON vec_id = doc_id WHERE text <> ''",

@@ -112,6 +112,11 @@ def exact_duplicate_drop(spark, sf_dir):
     return conflict.drop_duplicates(e.where("edge_id % 2 = 1"), e.where("edge_id % 2 = 0")).select("edge_id", "user_id", "relation", "object")
 
 
+def exact_duplicate_first(spark, sf_dir):
+    """All facts that no edge of a smaller id duplicates: exact_duplicate_drop for the whole table."""
+    return conflict.without_earlier_duplicate(S.conflicting_edges(spark, sf_dir)).select("edge_id", "user_id", "relation", "object")
+
+
 def _subject_edges(spark, sf_dir):
     relation = T.lookup(F.col("event_type"), {"signup": "LIVES_IN", "purchase": "WORKS_AT", "view": "USES", "click": "IS", "error": "WORKS_ON"})
     return S.edges(spark, sf_dir).join(S.table(spark, sf_dir, "events").select(F.col("event_id").alias("edge_id"), "event_type"), "edge_id").withColumn("relation", relation)
@@ -189,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         active_edges_recent, scd2_slot_history, multi_first_seen, as_of_snapshot, category_retract, retract_by_id, retention_cleanup, close_edges, legacy_contradictions,
-        exact_duplicate_drop, profile_latest, profile_list, profile_last_updated, profile_upsert_merge, resolve_fold, resolve_single_slot, event_windows, stream_ingest,
+        exact_duplicate_drop, exact_duplicate_first, profile_latest, profile_list, profile_last_updated, profile_upsert_merge, resolve_fold, resolve_single_slot, event_windows, stream_ingest,
     )
 } | {
     "reconcile_full": _rule(0), "reconcile_transitions": _rule(1), "reconcile_same_place": _rule(2), "reconcile_slots": _rule(3), "reconcile_past_employment": _rule(4),
@@ -233,6 +238,7 @@ ORACLE_SQL = {
     "invalidation_pairs": _pair_sql(f"CASE WHEN fr = er AND fo = eo THEN false WHEN {_FR} = {_ER} AND fo <> eo THEN true WHEN fr = 'WORKS_AT' AND er IN ('WORKED_AT', 'SWITCHED_FROM', 'SWITCHED_TO') THEN true WHEN {_SUPERSEDES} AND fo = eo THEN true WHEN {_REDUNDANT} THEN true ELSE false END"),
     "legacy_contradictions": _pair_sql("fr IN (" + ", ".join(f"'{r}'" for r in R.SINGULAR) + ") AND fo <> eo"),
     "exact_duplicate_drop": "WITH " + CONFLICTING_SQL + f" SELECT edge_id, user_id, relation, object FROM edges f WHERE edge_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.edge_id % 2 = 0 AND e.user_id = f.user_id AND e.object = f.object AND (e.relation = f.relation OR {SLOT_SQL.format('e.relation')} = {SLOT_SQL.format('f.relation')}))",
+    "exact_duplicate_first": "WITH " + CONFLICTING_SQL + f" SELECT edge_id, user_id, relation, object FROM edges f WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.edge_id < f.edge_id AND e.user_id = f.user_id AND e.object = f.object AND (e.relation = f.relation OR {SLOT_SQL.format('e.relation')} = {SLOT_SQL.format('f.relation')}))",
     "profile_latest": "WITH " + PROFILE_EDGES_SQL + ", k AS (SELECT *, CASE relation WHEN 'IS' THEN 'role' WHEN 'WORKS_AT' THEN 'company' WHEN 'LIVES_IN' THEN 'location' END AS key FROM edges), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY valid_at DESC, edge_id) AS n FROM k WHERE key IS NOT NULL) SELECT user_id, key, object AS value, epoch_us(valid_at) AS updated_at FROM n WHERE n = 1",
     "profile_list": "WITH " + PROFILE_EDGES_SQL + ", k AS (SELECT *, CASE relation WHEN 'WORKS_ON' THEN 'current_project' WHEN 'USES' THEN 'current_stack' END AS key FROM edges), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, key, object ORDER BY valid_at DESC, edge_id) AS n FROM k WHERE key IS NOT NULL) SELECT user_id, key, '[' || string_agg('\"' || object || '\"', ',' ORDER BY valid_at DESC, edge_id) || ']' AS value FROM n WHERE n = 1 GROUP BY user_id, key",
     "profile_last_updated": "WITH " + PROFILE_EDGES_SQL + " SELECT user_id, CAST(count(DISTINCT relation) AS INT) AS n_keys, arg_max(object, valid_at) FILTER (relation = 'WORKS_AT') AS company, epoch_us(max(valid_at)) AS last_updated FROM edges GROUP BY user_id",

@@ -67,6 +67,12 @@ def test_conflict_examples(spark):
     assert all(resolve.should_close(r[0], resolve._key(r[1]), r[2], resolve._key(r[3])) == bool(g["c"]) for r, g in zip(rows, got, strict=True))
 
 
+def test_each_row_meets_all_before_it(spark):
+    rows = [("1", "USES", "Go", 0), ("2", "USES", "Rust", 1), ("3", "USES", "go!", 2), ("4", "HAS_ROLE", "chef", 3), ("6", "IS", "Chef", 4), ("8", "USES", "rust", 5)]
+    out = conflict.without_earlier_duplicate(edges(spark, rows))
+    assert sorted(r["edge_id"] for r in out.collect()) == ["1", "2", "4"]
+
+
 def test_similarity_arm(spark):
     df = spark.createDataFrame([("USES", "a", "USES", "b")], "fr string, fo string, er string, eo string")
     f, e = {"relation": F.col("fr"), "object": F.col("fo")}, {"relation": F.col("er"), "object": F.col("eo")}
