@@ -31,8 +31,8 @@ WORDS = list(dict.fromkeys(w for own in COMMON.values() for w in own))
 CLASSES = ("space", "lower", "upper", "digit", "point", "symbol", "other", "beyond ASCII")
 #: Words a document needs for a verdict by classes and by common words, and the distances (0 to 1) beyond which it fails.
 MIN_WORDS, MIN_WORDS_FOR_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 50, 120, 0.28, 0.33
-#: Languages with the most words that references are kept for: a bound on what is sent to tasks.
-MAX_LANGUAGES = 256
+#: Words that a label needs for a reference of its own: below, labels are pooled, so that none vouches for itself.
+MIN_REFERENCE_WORDS = 2000
 WINDOW, MIN_BASE_WORDS, MAX_REPEATED = 8, 20, 30
 
 _CLASS = np.full(256, 7, np.uint8)
@@ -85,8 +85,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.clip((part(np.broadcast_to(p, q.shape)) + part(q)) / 2, 0, 1))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit: int = MAX_LANGUAGES) -> tuple[np.ndarray, np.ndarray]:
-    """A row of counts for each language, over all documents."""
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = MIN_REFERENCE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """A row of counts for each language, over all documents; small ones share a row if together they reach the limit or no others are there."""
     width = len(CLASSES) + len(WORDS) + 1
 
     @tidy
@@ -108,7 +108,11 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     counts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, counts array<long>")
     summed = counts.groupBy("lang").agg(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)))
-    rows = summed.orderBy(F.col(f"c{width - 1}").desc(), "lang").limit(limit).collect()
+    words = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 1, width)), F.col(f"c{len(CLASSES)}"))
+    pooled = summed.withColumn("lang", F.when(words >= least, F.col("lang"))).groupBy("lang").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(width)))
+    rows = pooled.orderBy("lang").collect()
+    large = [r for r in rows if r["lang"] is not None or sum(r[1 + len(CLASSES) :]) >= least]
+    rows = large or rows
     table = np.array([r[1:] for r in rows], np.float64).reshape(len(rows), width)
     return table[:, : len(CLASSES)], table[:, len(CLASSES) :]
 

@@ -341,6 +341,14 @@ def test_quality_counts(docs, rows, empty):
     assert all(not r["kept"] for r in out if r["base_failed"]) and divergence.judge(empty).isEmpty()
 
 
+def test_references_of_many_and_of_small_languages(spark):
+    plain = " ".join(f"the and of w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(520))
+    rows = [(k, plain, f"l{k}") for k in range(300)] + [(300, " ".join(f"#{k}$%&|" for k in range(130)), "und")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(divergence.references(docs)[0]) == 300
+    assert not divergence.judge(docs).where("doc_id = 300").head()["kept"]
+
+
 def test_divergence(spark):
     r = random.Random(10)
     prose = lambda: " ".join(r.choice(["the", "of", "and", "to", "in", *("".join(r.choice("etaoin") for _ in range(5)) for _ in range(8))]) for _ in range(200))
