@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 
@@ -16,22 +17,57 @@ BROADCAST_BYTES = 48 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and Spark is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="recollect-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def _place(spark: SparkSession, path: str):
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
-    The files are replicated as that folder is, so that a lost executor costs no recomputation.
+    The files are replicated as that folder is, so that a lost executor costs no recomputation. They go by ``discard``, or
+    when the driver ends.
     """
-    path = f"{scratch_root(df.sparkSession)}/recollect/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/recollect/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, own = _place(spark, path)
+    files.deleteOnExit(own)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that no later step reads: what was made of them is itself written."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            files, own = _place(t.sparkSession, path)
+            files.delete(own, True)
+            files.cancelDeleteOnExit(own)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def row_hashes(*columns: Column) -> list[Column]:
+    """Two hashes of 64 bits under different seeds: equal in both only for equal values."""
+    return [F.xxhash64(F.lit(seed), *columns) for seed in (11, 23)]
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -1,24 +1,30 @@
 """Personal data: known forms, and identifiers discovered by bootstrapped contexts, by DataFrame functions alone.
 
-Mentions are known entities and other strings with a digit or an at sign. A mention's pattern is the pair of words
-before it and its shape; its instance is its value. Entities of a known form are seeds with score 1. In each round a
-pattern's share is the sum of its distinct instances' scores by their number, smoothed, and its score that share times
-the logarithm of the sum: much evidence outweighs instances not yet known. A pattern whose score reaches the limit, and
-which enough distinct seeds or instances accepted before support, names its instances; these get the share of their best
-pattern as score and lend support to further patterns. A mention that is no known form is found where its pattern's last
-score reaches the limit.
+Mentions are known entities and other strings with a digit or an at sign. A mention's patterns are the two and three
+words before it, those after it, and one on each side; the word next to it is a word, not another mention or an end of the
+text. Its instance is its value. Values that hold a known form are seeds of that kind with score 1. In each round a
+pattern's share, for each shape of mentions, is the sum of its distinct instances' scores by their number, smoothed, and
+its score that share times the logarithm of the sum: much evidence outweighs instances not yet known. Words that stand
+beside anything, as frequent ones do, tell nothing: the kinds of a pattern's instances must differ from those of all seeds
+by more than chance gives among so many patterns (a likelihood ratio; where all seeds are of one kind it isn't asked). A pattern whose share, score and ratio reach their
+limits, and which enough distinct seeds or instances accepted before support, names its instances of that shape; these get
+the share and the kind of their best pattern and lend support to further patterns. A mention that is no known form is found
+where one of its patterns reaches the limits in the last round.
 
 Edge cases: null and empty texts have no spans; null and repeated doc_ids are scanned row by row, and equal instances in
-many rows count once for a pattern; an empty table gives no rows; other columns are ignored.
+many rows count once for a pattern; an empty table gives no rows; words of any length count whole; time grows with a text's
+length; other columns are ignored by ``report`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, text_or_empty
-from .spans import SPANS, find_spans, listed, none, redacted, span
+from .common import discard, fresh, materialize, row_hashes, small, text_or_empty
+from .spans import SPANS, find_spans, let, listed, none, redacted, span, split_by
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: An expression starts at its run's first character, or where the match before ended, and never gives back.
@@ -30,8 +36,13 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 IP_VALID = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 #: A known form, or a string without white space that holds a digit or an at sign.
 MENTION = rf"{PHONE}|(?<![0-9])[0-9](?:[\x20-]?[0-9]){{13,}}+|(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
-#: Distinct seeds or accepted instances that a pattern needs, the score from which it names instances, its prior count, and the rounds.
-SUPPORT, CONFIDENT, PRIOR, ROUNDS = 4, 0.8, 0.5, 3
+#: Words of a pattern at most; in their place another mention, the text's start and its end.
+WORDS, MENTIONED, START, END = 3, "#", "^", "$"
+SHAPES = 3
+#: Distinct seeds or accepted instances that a pattern needs, the share and the score from which it names instances, its prior count, and the rounds.
+SUPPORT, SHARE, CONFIDENT, PRIOR, ROUNDS = 4, 0.3, 0.8, 0.5, 3
+#: What the likelihood ratio must exceed twice the logarithm of the number of patterns by; seeds of each kind that count beforehand.
+MARGIN, EVEN = 6.0, 1.0
 
 
 def digits(value: Column) -> Column:
@@ -67,60 +78,106 @@ def known(text: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with base (spans of known forms) and __mentions: (start, end, value, left), left being the two words before."""
-    text = text_or_empty(text_col)
-    both = F.arrays_zip(F.split(text, MENTION, -1).alias("part"), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)).alias("match"))
-    kind = "array<struct<start:int,end:int,value:string,left:string>>"
+MENTIONS = "array<struct<start:int,end:int,value:string,left:array<string>,right:array<string>>>"
+
+
+def mentions(text: Column) -> Column:
+    """start, end, value, and the words before and after, nearest last and first: of up to WORDS words those with letters or digits, lower-case, without points at their ends."""
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["part"])
-        end = start + F.length(x["match"])
-        left = F.regexp_extract(F.lower(F.right(x["part"], F.lit(200))), r"([^\s]+\s+[^\s]+)\s+$", 1)
-        found = F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["match"].alias("value"), left.alias("left"))))
-        return F.struct(F.coalesce(end, start).cast("int").alias("at"), F.when(x["match"].isNotNull(), found).otherwise(acc["out"]).alias("out"))
+    def plain(w: Column) -> Column:
+        return F.filter(F.transform(w, lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")), lambda x: x != "")
 
-    mentions = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
-    return docs.withColumns({"base": known(text), "__mentions": F.when(text.rlike("[0-9@]"), mentions).otherwise(F.array().cast(kind))})
+    def words(part: Column) -> Column:
+        near = lambda w: F.struct(plain(F.slice(w, 1, WORDS)).alias("first"), plain(F.slice(w, F.greatest(F.size(w) - WORDS + 1, F.lit(1)), WORDS)).alias("last"))
+        return let(F.filter(F.split(part, r"\s+"), lambda w: w != ""), near)
+
+    def each(v: Column) -> Column:
+        def one(m: Column, k: Column) -> Column:
+            left = F.concat(F.array(F.when(k == 0, START).otherwise(MENTIONED)), F.get(v["ends"], k)["last"])
+            right = F.concat(F.get(v["ends"], k + 1)["first"], F.array(F.when(k == F.size(v["match"]) - 1, END).otherwise(MENTIONED)))
+            at = F.get(v["at"], k)
+            return F.struct(at.alias("start"), (at + F.length(m)).cast("int").alias("end"), m.alias("value"), left.alias("left"), right.alias("right"))
+
+        return F.transform(v["match"], one)
+
+    split = let(split_by(text, MENTION), lambda v: F.struct(v["match"].alias("match"), v["at"].alias("at"), F.transform(v["part"], words).alias("ends")))
+    return F.when(text.rlike("[0-9@]"), let(split, each)).otherwise(F.array().cast(MENTIONS)).cast(MENTIONS)
 
 
 def shape(value: Column) -> Column:
-    """The kind of a mention's characters, wide enough to hold known forms and their unseen kin."""
-    return F.when(F.contains(value, F.lit("@")), "address").when(value.rlike("^[0-9 ().+:/-]+$"), "number").otherwise("mixed")
-
-
-def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT, prior: float = PRIOR) -> DataFrame:
-    """(pattern, score) of patterns at or over the limit; edges are distinct (pattern, instance, seed)."""
-    instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for k in range(rounds):
-        weighed = edges.select("pattern", "instance").join(instances, "instance")
-        sums = weighed.groupBy("pattern").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("accepted"))
-        share = F.col("sum") / (F.col("n") + prior)
-        patterns = sums.where(F.col("accepted") >= support).select("pattern", share.alias("share"), (share * F.log2("sum")).alias("score")).where(F.col("score") >= confident)
-        patterns = materialize(patterns)
-        if k + 1 < rounds:
-            best = edges.join(patterns.select("pattern", "share"), "pattern", "left").groupBy("instance")
-            instances = materialize(best.agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("share"), F.lit(0.0))).alias("score")))
-    return patterns.select("pattern", "score")
-
-
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with base (spans of known forms) and more (spans that contexts name)."""
-    found = scan(docs, text_col).withColumn("__row", F.xxhash64(*(F.col(c) for c, k in docs.dtypes if not k.startswith("map"))))
-    kept = materialize(found.drop(text_col) if text_col in docs.columns else found)
-    mentions = kept.where(F.size("__mentions") > 0).select("__row", "base", F.explode("__mentions").alias("m")).select(
-        "__row", "m", F.xxhash64(F.col("m.left"), shape(F.col("m.value"))).alias("pattern"), F.xxhash64(F.lit(1), F.col("m.value")).alias("instance"),
-        F.exists("base", lambda y: (y["start"] < F.col("m.end")) & (F.col("m.start") < y["end"])).alias("seed"),
-    ).where(F.col("m.left") != "")
-    patterns = confident_patterns(materialize(mentions.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))))
-    named = mentions.where(~F.col("seed")).join(small(patterns, F.lit(32)), "pattern").select("__row", span(F.col("m.start"), F.col("m.end"), 4, F.col("m.value")).alias("x"))
-    more = materialize(named.groupBy("__row").agg(F.collect_set("x").cast(SPANS).alias("more")).withColumnRenamed("__row", "__r"))
-    more = small(more, F.aggregate("more", F.lit(64), lambda a, x: a + F.length(x["value"]) * 4 + 64))
-    return kept.join(more, kept["__row"] == more["__r"], "left").withColumn("more", F.coalesce("more", none())).drop("__mentions", "__r")
+    """The kind of a mention's characters, wide enough to hold known forms and their unseen kin: 0 an address, 1 a number, 2 others."""
+    return F.when(F.contains(value, F.lit("@")), 0).when(value.rlike("^[0-9 ().+:/-]+$"), 1).otherwise(2)
+
+
+def patterns_of(m: Column) -> Column:
+    """A digest of the nearest words: two to WORDS of each side, and one on both."""
+    before, after = F.element_at(m["left"], -1), F.element_at(m["right"], 1)
+    word = lambda x: ~x.isin(MENTIONED, START, END)
+    digest = lambda name, words: F.md5(F.concat_ws("\x01", F.lit(name), words))
+    sizes = range(2, WORDS + 1)
+    left = [F.when(word(before) & (F.size(m["left"]) >= k), digest("left", F.slice(m["left"], -k, k))) for k in sizes]
+    right = [F.when(word(after) & (F.size(m["right"]) >= k), digest("right", F.slice(m["right"], 1, k))) for k in sizes]
+    return F.array_compact(F.array(*left, *right, F.when(word(before) & word(after), digest("both", F.array(before, after)))))
+
+
+def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = SHARE, confident: float = CONFIDENT, prior: float = PRIOR, margin: float = MARGIN) -> DataFrame:
+    """(pattern, shape) at or over the limits; edges are distinct (pattern, instance, shape, kind), kind being null but for seeds."""
+    seeds = materialize(edges.where("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score")))
+    kinds = len(KINDS) - 1
+    sizes = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}  # at most a row a kind
+    usual = [(sizes.get(k, 0) + EVEN) / (sum(sizes.values()) + kinds * EVEN) for k in range(kinds)]
+    instances = seeds
+    for r in range(rounds):
+        scored = instances.select(F.col("instance").alias("i"), F.col("kind").alias("k"), "score")
+        weighed = edges.select("pattern", "instance", "shape").join(scored, F.col("instance") == F.col("i"), "left")
+        of = lambda c: F.sum(F.when(c, F.coalesce("score", F.lit(0.0))).otherwise(0.0))
+        by_shape = (F.struct(F.lit(s).alias("shape"), of(F.col("shape") == s).alias("sum"), F.count_if(F.col("shape") == s).alias("n"), F.count_if((F.col("shape") == s) & F.col("k").isNotNull()).alias("accepted")) for s in range(SHAPES))
+        sums = weighed.groupBy("pattern").agg(F.array(*by_shape).alias("shapes"), F.array(*(of(F.col("k") == k) for k in range(kinds))).alias("kinds"))
+        whole = F.aggregate("kinds", F.lit(0.0), lambda a, x: a + x)
+        ratio = F.aggregate(F.zip_with("kinds", F.array(*map(F.lit, usual)), lambda x, u: F.when(x > 0, 2 * x * F.ln(x / (whole * u))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+        sums = sums.select("pattern", ratio.alias("ratio"), (F.array_position("kinds", F.array_max("kinds")) - 1).cast("int").alias("kind"), F.explode("shapes").alias("s")).where(F.col("s.accepted") >= support)
+        share = F.col("s.sum") / (F.col("s.n") + prior)
+        sums = materialize(sums.select("pattern", "s.shape", "kind", "ratio", share.alias("share"), (share * F.log2("s.sum")).alias("score")))
+        limit = 2 * math.log(max(1, sums.count())) + margin if len(sizes) > 1 else -math.inf
+        patterns = materialize(sums.where((F.col("score") >= confident) & (F.col("share") >= least) & (F.col("ratio") >= limit)).select("pattern", "shape", "share", "kind"))
+        discard(sums, instances if r else None)
+        if r + 1 < rounds:
+            named = edges.where("kind IS NULL").select("pattern", "instance", "shape").join(patterns, ["pattern", "shape"])
+            best = named.groupBy("instance").agg(F.max(F.struct("share", "kind")).alias("b")).select("instance", "b.kind", F.col("b.share").alias("score"))
+            instances = materialize(seeds.unionByName(best))
+            discard(patterns)
+    discard(seeds)
+    return patterns
+
+
+def weight(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(96), lambda a, x: a + F.length(x["value"]) * 4 + 64)
+
+
+def discovered(kept: DataFrame) -> DataFrame:
+    """(k1, k2, more): the spans that contexts name, of texts (k1, k2, mentions); equal texts once."""
+    each = kept.where(F.size("mentions") > 0).select("k1", "k2", F.explode("mentions").alias("m"))
+    kind = F.get(known(F.col("m.value")), 0)["kind"]
+    each = materialize(each.select("k1", "k2", "m.start", "m.end", "m.value", patterns_of(F.col("m")).alias("patterns"), shape(F.col("m.value")).alias("shape"), kind.alias("kind")))
+    edges = materialize(each.select(F.explode("patterns").alias("pattern"), F.md5("value").alias("instance"), "shape", "kind").distinct())
+    patterns = confident_patterns(edges)
+    unseen = each.where("kind IS NULL").select("k1", "k2", "start", "end", "value", "shape", F.explode("patterns").alias("pattern"))
+    named = unseen.join(small(patterns.select("pattern", "shape"), F.lit(64)), ["pattern", "shape"]).select("k1", "k2", span(F.col("start"), F.col("end"), 4, F.col("value")).alias("x"))
+    more = materialize(named.groupBy("k1", "k2").agg(F.collect_set("x").cast(SPANS).alias("more")))
+    discard(each, edges, patterns)
+    return more
+
+
+def _scanned(docs: DataFrame, text_col: str, *columns: Column) -> DataFrame:
+    text = text_or_empty(text_col)
+    return docs.select(*columns, *(h.alias(k) for h, k in zip(row_hashes(F.col(text_col).cast("string")), ("k1", "k2"), strict=True)), known(text).alias("base"), mentions(text).alias("mentions"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = find(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = materialize(_scanned(docs, "text", F.col("doc_id")))
+    more = small(discovered(kept), weight("more"))
+    found = kept.drop("mentions").join(more, ["k1", "k2"], "left").withColumn("more", F.coalesce("more", none()))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)),
@@ -130,12 +187,16 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data replaced by its kind in square brackets; other texts, nulls included, stay."""
-    own = docs.withColumn("__t", F.xxhash64(text_col))
-    spans = find(own.select(F.col("__t").alias("t"), F.col(text_col).alias("text"))).select("t", F.concat("base", "more").alias("__all")).where(F.size("__all") > 0)
-    spans = materialize(spans.dropDuplicates(["t"]))  # few texts have any
-    spans = small(spans, F.aggregate("__all", F.lit(64), lambda a, x: a + F.length(x["value"]) * 4 + 64))
-    out = own.join(spans, F.col("__t") == F.col("t"), "left")
-    return out.withColumn(text_col, F.when(F.col("__all").isNotNull(), redacted(F.col(text_col), F.col("__all"), KINDS)).otherwise(F.col(text_col))).select(*docs.columns)
+    kept = materialize(_scanned(docs, text_col).where((F.size("base") > 0) | (F.size("mentions") > 0)))  # few texts have any
+    more = small(discovered(kept), weight("more"))
+    spans = kept.drop("mentions").join(more, ["k1", "k2"], "left").select("k1", "k2", F.concat("base", F.coalesce("more", none())).alias("spans"))
+    spans = materialize(spans.where(F.size("spans") > 0).dropDuplicates(["k1", "k2"]))
+    discard(kept, more)
+    a, b, found = (fresh(docs, c) for c in ("first_hash", "second_hash", "found_spans"))
+    own = docs.withColumns(dict(zip((a, b), row_hashes(F.col(text_col).cast("string")), strict=True)))
+    spans = small(spans, weight("spans")).select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("spans").alias(found))
+    text = F.when(F.col(found).isNotNull(), redacted(F.col(text_col), F.col(found), KINDS)).otherwise(F.col(text_col))
+    return own.join(spans, [a, b], "left").withColumn(text_col, text).select(*docs.columns)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

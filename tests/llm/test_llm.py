@@ -521,3 +521,62 @@ def test_sql(spark, data, name):
 
 def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+# names, ties, sizes
+
+
+def test_clashing_names(spark):
+    """Columns named as the operators name their own keep their values."""
+    names = ["base", "more", "t", "found", "s_words", "statistics", "k1", "k2", "key", "__key", "__row", "__mentions", "__k", "__text", "__spans", "found_spans", "first_hash", "second_hash", "place"]
+    text = "write to ann.b@mail.example.com with token=abcdef12345 now " + " ".join(f"w{k}" for k in range(50))
+    rows = [(k, text if k < 2 else f"{k} plain words", *range(k, k + len(names))) for k in range(4)] + [(None, None, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    others = lambda df: bag(df.select("doc_id", *names).collect())
+    for changed in (secrets.redact(docs), pii.redact(docs), passages.remove_passages(docs), rules.accepted(docs, (1.0, []))):
+        assert changed.columns == docs.columns and others(changed) == others(docs)
+    first = simhash.first_of_group(docs)
+    assert first.columns == docs.columns and others(first) == others(docs.where("doc_id IS NULL OR doc_id <> 1"))
+
+
+def test_redaction_of_many_spans(spark):
+    """Runs over block and part sizes, with characters beyond the basic plane, equal a plain replacement."""
+    text = "".join(f"é😀 10.0.{k % 256}.7, " + "x" * (k % 40) for k in range(2000))
+    got = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()["text"]
+    assert got == re.sub(r"[0-9]+(?:\.[0-9]+){3}", "[ip]", text)
+
+
+def test_context_precision_and_recall(spark):
+    """Planted identifiers behind telling words are found; the same strings behind words that stand beside anything are not."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    seed = [lambda: f"{word()}.{word()}@mail.com", lambda: f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.9", lambda: f"+1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)}"]
+    rows, planted = [], set()
+    for k in range(900):
+        kind = seed[k % 3]()
+        lead = ("the staff member", "host address is", "please call number")[k % 3] if k < 450 else r.choice(["of the", "and to", "in a"])
+        rows.append((k, f"{word()} {lead} {kind} {word()} {word()}"))
+    for k in range(900, 1000):
+        rows.append((k, f"{word()} please call number {r.randint(10**6, 10**7)} {word()} {word()}"))
+        planted.add(k)
+    rows += [(k, f"{word()} {r.choice(['of the', 'and to', 'in a'])} {r.randint(10**6, 10**7)} {word()} {word()}") for k in range(1000, 1100)]
+    out = {x["doc_id"] for x in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_context > 0").collect()}
+    assert len(out & planted) >= 95 and len(out - planted) <= 2
+
+
+def test_entropy_spans_equal_brute_force(spark):
+    """The stretch of windows over the limit of each candidate's class, wherever known forms overlap it."""
+    r = random.Random(22)
+    alphabets = ["0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHabcdefgh01234567+/_-"]
+    rows = [(k, f"password={''.join(r.choice(alphabets[k % 4]) for _ in range(r.randint(18, 60)))} and {k}-{'ab1' * 9}") for k in range(120)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        want = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                limit = next(bits for _, p, bits in secrets.CLASSES if re.match(p.replace("++", "+"), m[0]))
+                first, last = brute_entropy(m[0], 20, limit)
+                if first is not None and not any(re.search(p.replace("*+", "*").replace("?+", "?").replace("++", "+"), m[0][first : last + 20]) for p in secrets.ALLOWED):
+                    want.append((m.start() + first, 3, m.start() + last + 20))
+        assert got[k] == joined(brute_secrets(t) + want, secrets.KINDS)
+    assert sum("entropy" in x for x in got.values()) > 80
