@@ -32,15 +32,15 @@ def _place(spark: SparkSession, path: str):
     return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder, in folders by some columns, and read it back.
 
     The files are replicated as that folder is, so that a lost executor costs no recomputation. They go by ``discard``, or
     when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/recollect/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     files, own = _place(spark, path)
     files.deleteOnExit(own)
     out = spark.read.schema(df.schema).parquet(path)

@@ -130,23 +130,21 @@ def fit(values: np.ndarray, label: np.ndarray, sizes: dict[int, int]) -> tuple[f
     return float(b), [(r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-9]
 
 
-def compiled(b: float, rules: list[tuple[Rule, float]]) -> Column:
+def compiled(b: float, rules: list[tuple[Rule, float]], prefix: str = "s_") -> Column:
     """The score as a column over the statistics' columns."""
     z = F.lit(b)
     for rule, w in rules:
         cond = F.lit(True)
         for f, at_most, v in rule:
-            c = F.col(f"s_{STATISTICS[f]}")
+            c = F.col(f"{prefix}{STATISTICS[f]}")
             cond = cond & ((c <= v) if at_most else (c > v))
         z = z + F.when(cond, w).otherwise(0.0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column s_<name> for each statistic."""
-    names = [f"s_{s}" for s in STATISTICS]
-    taken = [c for c in docs.columns if c in names]
-    docs = docs.drop(*taken)
+def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "s_") -> DataFrame:
+    """docs with a column for each statistic, named by the prefix and it; docs has none of that name."""
+    names = [f"{prefix}{s}" for s in STATISTICS]
     columns = docs.columns
     at = columns.index(text_col)
 
@@ -175,7 +173,10 @@ def score_documents(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]
 
 def accepted(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text_col: str = "text") -> DataFrame:
     """The documents that the classifier doesn't reject, with all columns."""
-    return with_statistics(docs, text_col).where(compiled(*model) >= 0.5).select(*docs.columns)
+    prefix = "s_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return with_statistics(docs, text_col, prefix).where(compiled(*model, prefix) >= 0.5).select(*docs.columns)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

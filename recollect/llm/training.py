@@ -14,7 +14,8 @@ def fold(id_col: str, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(text, label) of at most per_class documents a class, chosen by the id's hash, equal texts once; and the classes' sizes.
 
-    keep says which labels may be learnt from. Of an id with several labels the smallest counts; labels but 0 and 1 don't.
+    keep says which labels may be learnt from. Of an id with several labels, and of equal texts with several, the smallest
+    counts; labels but 0 and 1 don't.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & keep)
     own = own.groupBy("id").agg(F.min("label").alias("label"))
@@ -22,4 +23,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
     some = [own.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most twice per_class rows
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    return found.dropDuplicates(["text"]).select("text", "label"), sizes
+    return found.groupBy("text").agg(F.min("label").alias("label")), sizes
