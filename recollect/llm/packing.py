@@ -3,10 +3,12 @@
 Documents become token pieces of at most ``capacity`` tokens. Pieces are dealt over partitions, each packed by
 best-fit decreasing. Lower bounds from dual-feasible functions certify a partition's bin count; a partition that
 is not certified gives the pieces of its bins with gaps back, those of all such partitions are exchanged, and
-best-fit decreasing runs again on them over fewer partitions.
+best-fit decreasing runs again on them over fewer partitions. That goes on while a round closes a fair share of the
+pieces it got; the last round's bins stay as they are, and the result says of each whether it is certified.
 
 Edge cases: null text is empty, an empty document is its end token alone, null and repeated doc_ids are packed as
-they come, an empty table gives no rows, and columns other than the id and the text are ignored.
+they come and dealt by their place, so that equal rows share no partition, an empty table gives no rows, and columns
+other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import discard, materialize, tidy
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs; the number of partitions follows the number of pieces.
 PIECES_PER_PARTITION = 60_000
+#: Rounds at most, and the share of its pieces that a round must close for another.
+ROUNDS, PROGRESS = 8, 0.1
 #: Words a worker remembers the ids of.
 CACHE_WORDS = 400_000
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,6 +57,9 @@ class ByteBpe:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         to_byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in shown)}
         self.special = [t["content"] for t in spec["added_tokens"]]
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        # what the pattern and the library's byte-level split have in common; other files are read by the library alone
+        self.plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bpe = tiktoken.Encoding("file", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self._whole = path, None
@@ -67,7 +74,7 @@ class ByteBpe:
         return self._whole
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if not self.plain or any(s in text for s in self.special):
             return np.array(self.whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.split(" ")
         cache = self.cache
@@ -162,7 +169,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 def _pack_partition(capacity: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "place"], ascending=[False, True, True, True, True], kind="stable").drop(columns="place")
         sizes = rows["length"].to_numpy(np.int64)
         bins, offsets, rest = best_fit_decreasing(sizes, capacity)
         bound = lower_bound(sizes, capacity)
@@ -172,19 +179,27 @@ def _pack_partition(capacity: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = 4) -> DataFrame:
+def dealt(pieces: DataFrame, parts: int, seed: int) -> DataFrame:
+    """Pieces of a materialized table with part, by the hash of their place in it: equal rows go to different parts."""
+    place = F.monotonically_increasing_id()
+    return pieces.withColumn("place", place).withColumn("part", F.pmod(F.xxhash64("place", F.lit(seed)), F.lit(parts)))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS, progress: float = PROGRESS) -> DataFrame:
     """Add sequence_id, offset and certified to pieces.
 
     certified: the bound of the partition that closed the piece's bin proves that no fewer bins hold its pieces.
     """
-    pieces = materialize(pieces)
+    pieces = written = materialize(pieces)
     done: DataFrame | None = None
+    n = pieces.count()
     for k in range(rounds):
-        n = pieces.count()
         parts = max(1, -(-n // per_partition))
-        dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(parts)))
-        packed = materialize(dealt.groupBy("part").applyInPandas(_pack_partition(capacity), PACKED_SCHEMA))
-        last = parts == 1 or k == rounds - 1
+        packed = materialize(dealt(pieces, parts, k).groupBy("part").applyInPandas(_pack_partition(capacity), PACKED_SCHEMA))
+        discard(written)
+        again = packed.where("open")
+        left = 0 if parts == 1 else again.count()
+        last = not left or k == rounds - 1 or left > (1 - progress) * n
         closed = (packed if last else packed.where(~F.col("open"))).select(
             "doc_id", "piece", "start", "length", "ids_crc32",
             (F.lit(k).cast("long") * F.lit(1 << 56) + F.col("part") * F.lit(1 << 28) + F.col("bin")).alias("sequence_id"),
@@ -193,9 +208,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
         done = closed if done is None else done.unionByName(closed)
         if last:
             break
-        pieces = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32")
-        if pieces.isEmpty():
-            break
+        written = None  # a round's table holds the bins it closed
+        pieces, n = again.select("doc_id", "piece", "start", "length", "ids_crc32"), left
     return done
 
 
