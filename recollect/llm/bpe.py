@@ -1,14 +1,16 @@
 """BPE encoding and decoding over a distinct-word table.
 
-Texts are split into words and dealt into chunks of rows. A chunk keeps each of its words once, and its documents as
-positions in that list. Lists of words go to buckets by the word's hash, where each distinct word of the corpus is
-encoded once; the ids go back to the chunks and are joined by position. A chunk sends a bucket one row whatever its
-words, so that a frequent word loads no bucket more than a rare one. Decoding joins each id to its piece.
+Texts are split into words once, in chunks of rows, and written: a chunk's distinct words in a list, and its documents as
+places in that list. The lists' words are dealt to buckets by their hash, where each distinct word of the corpus is encoded
+once; the ids go back to the chunks and are joined by place. A chunk sends a bucket one row whatever its words, so that a
+frequent word loads no bucket more than a rare one. Buckets follow the vocabulary, not the corpus: a sketch of the distinct
+words says how many there are. Decoding joins each id to its piece, in a table of fixed size that every task holds.
 
 Words are split at the ASCII white space ``[\\x20\\x09-\\x0D]``, which the tokenizer's split pattern drops and no piece
 crosses, so that the ids of the words in order are the ids of the text. The normalizer composes nothing over white space.
 
-A chunk is what one task reads, up to a size, so the input must give a task the same rows whenever it runs, as files do.
+As both kinds of rows come from one written table, words and places agree in whatever order an input comes, also where
+tasks run again after an executor is lost.
 
 Edge cases: null text is empty; an empty text has no ids and decodes to the empty string; rows with null or repeated
 doc_ids are encoded each; an empty table gives no rows; columns other than the id and the text are ignored.
@@ -26,18 +28,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, tidy
+from .common import materialize, release, tidy
 
 #: Bytes of text in a chunk: its distinct words and their ids are held by one task.
 CHUNK_BYTES = 12 << 20
-#: Buckets a chunk's words are dealt over for each GB of text; at least as many as MIN_BUCKETS.
-BUCKETS_PER_GB, MIN_BUCKETS = 24, 24
+#: Distinct words a bucket should hold, the buckets at least, and one in how many words the sketch sees.
+WORDS_A_BUCKET, MIN_BUCKETS, SKETCHED = 400_000, 24, 64
 ENCODE_BATCH = 2048
 
 DOCS, WORDS = 0, 1
-SCHEMA = "kind int, chunk long, bucket int, doc_id array<long>, sizes binary, body binary"
-ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("sizes", pa.binary()), ("body", pa.binary())])
+SPLIT = "chunk long, doc_id array<long>, sizes binary, body binary, sketch array<long>, kind int"
+DEALT = "chunk long, bucket int, codes binary, sizes binary, body binary"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 _TOKENIZERS: dict[str, object] = {}
 
@@ -56,56 +59,69 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ARROW)], schema=ARROW)
+def _rows(schema: str, *rows: tuple) -> pa.RecordBatch:
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _pack(arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(arrays.tobytes())
+def _pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed plane by plane: most are small."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _split(buckets: int):
-    """Documents to their chunk's distinct words by bucket and to positions in these."""
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
-    def flush(chunk: int, words: dict[bytes, int], by_bucket: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for k, own in enumerate(by_bucket):
-            if own:
-                body = b"\n".join(own)
-                yield _rows([(WORDS, chunk, k, [], len(own).to_bytes(4, "little"), zstandard.ZstdCompressor(level=1).compress(body))])
+
+@tidy
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to their chunk's distinct words, in the order of their first places, and to places in these."""
+    from pyspark import TaskContext
+
+    def flush() -> pa.RecordBatch:
+        sketch = [h - (1 << 63) for h in map(xxhash.xxh64_intdigest, words) if h % SKETCHED == 0]
+        return _rows(SPLIT, (chunk, [], b"", zstandard.ZstdCompressor(level=3).compress(b"\n".join(words)), sketch, WORDS))
+
+    words: dict[bytes, int] = {}
+    chunk, seen = TaskContext.get().partitionId() << 24, 0
+    for b in batches:
+        docs, sizes, codes = [], [], []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            raw = (text.as_py() or "").encode()
+            seen += len(raw)
+            own = raw.split()
+            try:
+                code = list(map(words.__getitem__, own))
+            except KeyError:
+                put = words.setdefault
+                code = [put(w, len(words)) for w in own]
+            docs.append(doc)
+            sizes.append(len(code))
+            codes.append(np.array(code, "<u4"))
+        if docs:
+            yield _rows(SPLIT, (chunk, docs, np.array(sizes, "<u4").tobytes(), _pack(np.concatenate(codes)), [], DOCS))
+        if seen >= CHUNK_BYTES:
+            yield flush()
+            chunk, seen, words = chunk + 1, 0, {}
+    if words:
+        yield flush()
+
+
+def _deal(buckets: int):
+    """A chunk's words to a row for each bucket that has some."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, n, seen = TaskContext.get().partitionId(), 0, 0
-        words: dict[bytes, int] = {}
-        by_bucket: list[list[bytes]] = [[] for _ in range(buckets)]
-        chunk = part << 24
         for b in batches:
-            docs, sizes, codes = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                seen += len(raw)
-                own = raw.split()
-                try:
-                    code = list(map(words.__getitem__, own))
-                except KeyError:
-                    for w in own:
-                        if w not in words:
-                            k = xxhash.xxh32_intdigest(w) % buckets
-                            words[w] = len(by_bucket[k]) * buckets + k
-                            by_bucket[k].append(w)
-                    code = list(map(words.__getitem__, own))
-                docs.append(doc)
-                sizes.append(len(code))
-                codes.append(np.array(code, "<u4"))
-            if docs:
-                yield _rows([(DOCS, chunk, -1, docs, np.array(sizes, "<u4").tobytes(), _pack(np.concatenate(codes)))])
-            if seen >= CHUNK_BYTES:
-                yield from flush(chunk, words, by_bucket)
-                n, seen, words, by_bucket = n + 1, 0, {}, [[] for _ in range(buckets)]
-                chunk = (part << 24) + n
-        yield from flush(chunk, words, by_bucket)
+            for chunk, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = zstandard.ZstdDecompressor().decompress(body.as_py()).split(b"\n")
+                of = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % buckets
+                order = np.argsort(of, kind="stable")
+                edges = np.flatnonzero(np.diff(of[order])) + 1
+                for own in np.split(order, edges):
+                    raw = zstandard.ZstdCompressor(level=1).compress(b"\n".join([words[i] for i in own.tolist()]))
+                    yield _rows(DEALT, (chunk, int(of[own[0]]), _pack(own), b"", raw))
 
     return run
 
@@ -116,6 +132,7 @@ def _encode(vocab_path: str, cache_words: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, known, at = tokenizer(vocab_path), {}, None
+        kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
         for b in batches:
             for r in b.to_pylist():
                 if r["bucket"] != at or len(known) > cache_words:
@@ -125,34 +142,35 @@ def _encode(vocab_path: str, cache_words: int):
                 for i in range(0, len(new), ENCODE_BATCH):
                     own = new[i : i + ENCODE_BATCH]
                     for w, e in zip(own, t.encode_batch([w.decode() for w in own], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u2").tobytes() if t.get_vocab_size() <= 1 << 16 else np.array(e.ids, "<u4").tobytes()
+                        known[w] = np.array(e.ids, kind).tobytes()
                 ids = [known[w] for w in words]
-                yield _rows([(WORDS, r["chunk"], r["bucket"], [], _pack(np.array([len(x) for x in ids], "<u4")), zstandard.ZstdCompressor(level=1).compress(b"".join(ids)))])
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                yield _rows(DEALT, (r["chunk"], at, r["codes"], _pack(sizes), zstandard.ZstdCompressor(level=1).compress(b"".join(ids))))
 
     return run
 
 
-def _join(vocab_path: str, buckets: int, wide: bool):
-    """A chunk's documents: ids by position in its words, pieces by id."""
-    own_type, step = ("<u4", 4) if wide else ("<u2", 2)
+def _join(vocab_path: str):
+    """A chunk's documents: ids by place in its words, pieces by id."""
 
     def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
         t = tokenizer(vocab_path)
+        kind = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
         pieces = [((t.id_to_token(i) or "") + " ").encode() for i in range(t.get_vocab_size())]
-        unzip = zstandard.ZstdDecompressor().decompress
-        ids_of, text_of, first = [], [], np.zeros(buckets, np.int64)
-        for r in ids.to_pylist():
-            first[r["bucket"]] = len(ids_of)
-            body, s = np.frombuffer(unzip(r["body"]), own_type), 0
-            raw, own = body.astype("<u4").tobytes(), body.tolist()
-            for e in np.cumsum(np.frombuffer(unzip(r["sizes"]), "<u4") // step, dtype=np.int64).tolist():
-                ids_of.append(raw[4 * s : 4 * e])
-                text_of.append(b"".join([pieces[i] for i in own[s:e]]))
-                s = e
+        lists = [(_unpack(r["codes"]).tolist(), (_unpack(r["sizes"]).astype(np.int64) // kind.itemsize).tolist(), zstandard.ZstdDecompressor().decompress(r["body"])) for r in ids.to_pylist()]
+        n = sum(len(codes) for codes, _, _ in lists)
+        ids_of, text_of = [b""] * n, [b""] * n
+        for codes, sizes, body in lists:
+            own = np.frombuffer(body, kind)
+            raw, own, s = own.astype("<u4").tobytes(), own.tolist(), 0
+            for code, size in zip(codes, sizes, strict=True):
+                ids_of[code] = raw[4 * s : 4 * (s + size)]
+                text_of[code] = b"".join([pieces[i] for i in own[s : s + size]])
+                s += size
+        del lists
         out: list[tuple] = []
         for r in docs.to_pylist():
-            codes, s = np.frombuffer(unzip(r["body"]), "<u4").astype(np.int64), 0
-            words = (first[codes % buckets] + codes // buckets).tolist()
+            words, s = _unpack(r["body"]).tolist(), 0
             for doc, size in zip(r["doc_id"], np.frombuffer(r["sizes"], "<u4").tolist(), strict=True):
                 own = words[s : s + size]
                 s += size
@@ -165,25 +183,22 @@ def _join(vocab_path: str, buckets: int, wide: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, cache_words: int = 2_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, cache_words: int = 4 * WORDS_A_BUCKET) -> DataFrame:
     """One row for each document: its number of tokens, and SHA-256 of its ids and of their decoded text."""
     spark = docs.sparkSession
     if tokenizer(vocab_path).decoder is not None:
         raise ValueError("pieces are joined by spaces, as for a file without a decoder")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if buckets is None:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
-        buckets = max(MIN_BUCKETS, -(-size * BUCKETS_PER_GB >> 30))
-    wide = tokenizer(vocab_path).get_vocab_size() > 1 << 16
-    n = max(buckets, spark.sparkContext.defaultParallelism)
-    key = F.when(F.col("kind") == DOCS, F.col("chunk")).otherwise(-F.col("bucket").cast("long") - 1)
-    dealt = docs.mapInArrow(_split(buckets), SCHEMA).withColumn("key", key).repartition(n, "key")
-
-    def of(kind: int) -> DataFrame:  # above the exchange, which both kinds then share
-        return dealt.where(F.when(F.rand() >= 0, F.col("kind")) == kind)
-
-    ids = of(WORDS).sortWithinPartitions("bucket").mapInArrow(_encode(vocab_path, cache_words), SCHEMA).withColumn("key", F.col("chunk")).repartition(n, "key")
-    return of(DOCS).groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(_join(vocab_path, buckets, wide), RESULT)
+    both = materialize(docs.mapInArrow(_split, SPLIT), "kind")
+    texts, words = both.where(F.col("kind") == DOCS), both.where(F.col("kind") == WORDS)
+    sizes = words.select("chunk", F.explode_outer("sketch").alias("h")).agg(F.count_distinct("chunk").alias("chunks"), F.approx_count_distinct("h").alias("h")).head()
+    parallel = spark.sparkContext.defaultParallelism
+    buckets = buckets or max(MIN_BUCKETS, -(-sizes["h"] * SKETCHED // WORDS_A_BUCKET))
+    n = max(parallel, sizes["chunks"])
+    dealt = words.select("chunk", "body").mapInArrow(_deal(buckets), DEALT).repartition(max(parallel, buckets), "bucket").sortWithinPartitions("bucket")
+    ids = dealt.mapInArrow(_encode(vocab_path, cache_words), DEALT).select("chunk", "codes", "sizes", "body").repartition(n, "chunk")
+    texts = texts.select("chunk", "doc_id", "sizes", "body").repartition(n, "chunk")
+    return texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_join(vocab_path), RESULT)
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
