@@ -8,9 +8,11 @@
 3. Documents that hold an anchor found twice are dealt over blocks of a bounded number of bytes. A block's automaton
    (Aho-Corasick over words) holds the passages that share an anchor with its documents, cut into phrases so that any
    window of a passage holds a whole one. The documents are streamed through it; windows around the phrases found are
-   looked up among the passages' and compared word by word. A passage goes to a block once, however many documents hold it.
+   looked up among the passages' and compared word by word. A passage goes to a block once, however many documents hold it;
+   where a block's passages are too many for one automaton they are dealt over shards, and its documents stream past each.
 
-Segments and windows are counted under two hashes of 64 bits; matches are compared word by word.
+Segments and windows are counted under two hashes of 64 bits; matches are compared word by word. Rows are told apart by two
+hashes of 64 bits of their id and text.
 
 Edge cases: null and empty texts have no words and stay empty; texts shorter than a window lose nothing; repeated rows,
 with equal ids or not, count as occurrences of each other; null doc_ids are kept; an empty table gives no rows; other
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, release, tidy
+from .common import BROADCAST_BYTES, discard, fresh, materialize, maybe_broadcast, release, row_hashes, tidy
 
 WINDOW, GRAM, PHRASE = 35, 12, 8
 #: Words from one phrase of a passage to the next: any window then holds a whole phrase.
@@ -37,6 +39,8 @@ STRIDE = WINDOW - PHRASE + 1
 SEGMENT = WINDOW - GRAM + 1
 #: Bytes of documents that one automaton is built for.
 BLOCK_BYTES = 4 << 20
+#: Bytes of passages that one automaton holds.
+SHARD_BYTES = 8 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -103,7 +107,7 @@ def _texts(b: pa.RecordBatch, k: int) -> Iterator[tuple]:
 ANCHORS = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 HASHES = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 PASSAGES = pa.schema([("id", pa.int64()), ("anchors", pa.list_(pa.int64())), ("text", pa.string())])
-FOUND = pa.schema([("key", pa.int64()), ("spans", pa.binary())])
+FOUND = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("spans", pa.binary())])
 
 
 @tidy
@@ -294,14 +298,14 @@ def _stream(passages: pa.Table, docs: pa.Table) -> pa.Table:
     if not passages.num_rows or not docs.num_rows:
         return FOUND.empty_table()
     automaton = Automaton(passages.column("text").to_pylist())
-    keys, spans = [], []
-    for key, text in zip(docs.column("key").to_pylist(), docs.column("text"), strict=True):
+    rows = [], [], []
+    for key, key2, text in zip(docs.column("key").to_pylist(), docs.column("key2").to_pylist(), docs.column("text"), strict=True):
         if found := merged(automaton.spans(split(text.as_py()))):
-            keys.append(key)
-            spans.append(np.array(found, "<i4").tobytes())
+            for to, x in zip(rows, (key, key2, np.array(found, "<i4").tobytes()), strict=True):
+                to.append(x)
     del automaton
     release()
-    return pa.table([pa.array(keys, pa.int64()), pa.array(spans, pa.binary())], schema=FOUND)
+    return pa.table([pa.array(x, f.type) for x, f in zip(rows, FOUND, strict=True)], schema=FOUND)
 
 
 def _with(docs: DataFrame, table: DataFrame, size: Column) -> DataFrame:
@@ -315,12 +319,22 @@ def _with(docs: DataFrame, table: DataFrame, size: Column) -> DataFrame:
     return docs.join(table, "key")
 
 
-def locate(docs: DataFrame) -> DataFrame:
-    """(key, spans) of documents (key, text) that hold recurring windows: covered words as pairs of 32-bit start and end."""
+def shards(route: DataFrame, passages: DataFrame, shard_bytes: int) -> DataFrame:
+    """(block, shards) of the blocks whose passages are more than one automaton holds; passages has id and bytes."""
+    sizes = route.join(passages, "id").groupBy("block").agg(F.sum("bytes").alias("bytes"))
+    return materialize(sizes.where(F.col("bytes") > shard_bytes).select("block", F.ceil(F.col("bytes") / shard_bytes).cast("long").alias("shards")))
+
+
+def locate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, key2, spans) of documents (key, key2, text) that hold recurring windows: covered words as pairs of 32-bit start and end.
+
+    key joins what belongs to a document, so that documents of equal keys only see more than their own; both keys tell rows apart.
+    """
     spark = docs.sparkSession
-    anchors = materialize(docs.mapInArrow(_anchors, "anchor long, key long, n long"))
+    anchors = materialize(docs.select("key", "text").mapInArrow(_anchors, "anchor long, key long, n long"))
     twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n >= 2").select("anchor")
     hot = materialize(anchors.select("anchor", "key").join(twice, "anchor"))
+    discard(anchors)
     of_doc = materialize(hot.groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
 
     hashes = "anchor long, hash long, key long, n long"
@@ -331,24 +345,36 @@ def locate(docs: DataFrame) -> DataFrame:
     single = _with(docs, lone, 8 * F.size("lone") + 64).select("key", "text", "lone").mapInArrow(_lone_windows, hashes).groupBy("anchor", "hash").agg(*counts).where("n > 1")
     single = single.groupBy("key").agg(F.collect_set("hash").alias("single"))
     reps = materialize(own.select("key", "whole").join(single, "key", "left").where((F.size("whole") > 0) | F.col("single").isNotNull()))
+    discard(own)
     size = 8 * F.size("whole") + 8 * F.coalesce(F.size("single"), F.lit(0)) + 64
-    passages = materialize(_with(docs, reps, size).select("key", "text", "whole", "single").dropDuplicates(["key"]).mapInArrow(_passages, "id long, anchors array<long>, text string"))
+    first = _with(docs, reps, size).dropDuplicates(["key", "key2"]).select("key", "text", "whole", "single")
+    passages = materialize(first.mapInArrow(_passages, "id long, anchors array<long>, text string"))
+    discard(reps)
 
     keys = of_doc.select("key")
-    streams = _with(docs, keys, F.lit(32)).select("key", "text")
+    streams = _with(docs, keys, F.lit(32)).select("key", "key2", "text")
     total = streams.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(blocks))
     of_anchor = passages.select("id", F.explode("anchors").alias("anchor"))
-    route = hot.select("anchor", block.alias("block")).distinct().join(of_anchor, "anchor").select("id", "block").distinct()
-    n = max(spark.sparkContext.defaultParallelism, blocks)
-    held = route.join(passages.select("id", "text"), "id").select("block", "text").repartition(n, "block")
-    spans = held.groupBy("block").cogroup(streams.withColumn("block", block).repartition(n, "block").groupBy("block")).applyInArrow(_stream, "key long, spans binary")
-    return materialize(spans.groupBy("key").agg(F.collect_set("spans").alias("spans")))
-
-
-def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    route = materialize(hot.select("anchor", block.alias("block")).distinct().join(of_anchor, "anchor").select("id", "block").distinct())
+    many = shards(route, passages.select("id", F.octet_length("text").alias("bytes")), shard_bytes)
+    held = route.join(passages.select("id", "text"), "id").select("block", "id", "text")
+    dealt = streams.withColumn("block", block)
+    if many.isEmpty():
+        held, dealt, extra = held.withColumn("shard", F.lit(0).cast("long")), dealt.withColumn("shard", F.lit(0).cast("long")), 0
+    else:
+        extra, many = many.agg(F.sum("shards").alias("n")).head()["n"], maybe_broadcast(many, 32)
+        n_shards = F.coalesce("shards", F.lit(1).cast("long"))
+        held = held.join(many, "block", "left").withColumn("shard", F.pmod(F.xxhash64("id"), n_shards))
+        dealt = dealt.join(many, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), n_shards - 1)))
+    n = max(spark.sparkContext.defaultParallelism, blocks + extra)
+    held = held.select("block", "shard", "text").repartition(n, "block", "shard").groupBy("block", "shard")
+    dealt = dealt.select("block", "shard", "key", "key2", "text").repartition(n, "block", "shard").groupBy("block", "shard")
+    spans = held.cogroup(dealt).applyInArrow(_stream, "key long, key2 long, spans binary")
+    out = materialize(spans.groupBy("key", "key2").agg(F.collect_set("spans").alias("spans")))
+    discard(hot, of_doc, passages, route)
+    return out
 
 
 def _kept(spans: list[bytes] | None, text: str | None) -> tuple[int, int, bytes]:
@@ -363,15 +389,19 @@ def _kept(spans: list[bytes] | None, text: str | None) -> tuple[int, int, bytes]
     return n, n - len(words), b" ".join(words)
 
 
-def _located(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
-    own = docs.withColumn("__key", _key(id_col, text_col))
-    spans = locate(own.select(F.col("__key").alias("key"), F.col(text_col).cast("string").alias("text"))).withColumnRenamed("key", "__k").withColumnRenamed("spans", "__spans")
-    size = spans.agg(F.coalesce(F.sum(F.aggregate("__spans", F.lit(64), lambda a, x: a + F.octet_length(x))), F.lit(0)).alias("n")).head()["n"]
-    return own.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, F.col("__key") == F.col("__k"), "left").select(*extra, "__spans", F.col(text_col).cast("string").alias("__text"))
+def _located(docs: DataFrame, id_col: str, text_col: str, extra: list[str], **limits: int) -> tuple[DataFrame, str, str]:
+    """The extra columns, and spans and text under names that they don't have."""
+    a, b, spans, text = (fresh(docs, c) for c in ("first_hash", "second_hash", "found_spans", "found_text"))
+    own = docs.withColumns(dict(zip((a, b), row_hashes(F.col(id_col).cast("long"), F.col(text_col).cast("string")), strict=True)))
+    found = locate(own.select(F.col(a).alias("key"), F.col(b).alias("key2"), F.col(text_col).cast("string").alias("text")), **limits)
+    size = found.agg(F.coalesce(F.sum(F.aggregate("spans", F.lit(80), lambda a, x: a + F.octet_length(x))), F.lit(0)).alias("n")).head()["n"]
+    found = found.select(F.col("key").alias(a), F.col("key2").alias(b), F.col("spans").alias(spans))
+    out = own.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, [a, b], "left")
+    return out.select(*extra, spans, F.col(text_col).cast("string").alias(text)), spans, text
 
 
-def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and the SHA-256 of the words kept, joined by single spaces."""
+def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """doc_id, n_words, n_removed and the SHA-256 of the words kept, joined by single spaces; limits as of ``locate``."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,18 +412,18 @@ def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _located(docs, "doc_id", "text", ["doc_id"]).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _located(docs, "doc_id", "text", ["doc_id"], **limits)[0].mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """docs without the words of recurring windows; a text that loses none stays as it is, the others' words are joined by single spaces."""
 
     @F.pandas_udf("string")
     def kept(spans, text):
         return text.combine(spans, lambda t, s: t if s is None else _kept(s, t)[2].decode())
 
-    out = _located(docs, id_col, text_col, docs.columns)
-    return out.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col("__text")).otherwise(kept("__spans", "__text"))).select(*docs.columns)
+    out, spans, text = _located(docs, id_col, text_col, docs.columns, **limits)
+    return out.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text)).otherwise(kept(F.col(spans), F.col(text)))).select(*docs.columns)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
