@@ -580,3 +580,127 @@ def test_entropy_spans_equal_brute_force(spark):
                     want.append((m.start() + first, 3, m.start() + last + 20))
         assert got[k] == joined(brute_secrets(t) + want, secrets.KINDS)
     assert sum("entropy" in x for x in got.values()) > 80
+
+
+def test_equal_rows_are_dealt_over_parts(spark):
+    """A third and more of all rows equal, ids null: no part gets much more than its share."""
+    rows = [(None, "a b c")] * 3000 + [(k, f"w{k} " * 5) for k in range(1000)]
+    pieces = packing.materialize(packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")))
+    sizes = [r["count"] for r in packing.dealt(pieces, 8, 0).groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.3 * 500
+    found = packing.pack(pieces, per_partition=500).collect()
+    assert check_packing(found, [t for _, t in rows]) <= packing.lower_bound(np.array([r["length"] for r in found]), 1024) + 8  # a last bin a part
+
+
+def test_equal_texts_with_unlike_labels(spark):
+    """The smallest label counts, whatever the order of the rows."""
+    docs = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    for d in (docs, docs.orderBy(F.desc("doc_id"))):
+        sample, _ = training.labelled_sample(d, labels, "quality", F.lit(True), 10)
+        assert {r["text"]: r["label"] for r in sample.collect()} == {"same": 0, "other": 1}
+
+
+@pytest.mark.parametrize("size", [18, 26, 28])
+def test_large_components_are_exact(spark, size):
+    r = random.Random(size)
+    top = 2.0 ** (size - 10)  # scaled by 1024
+    rows = [(k, [r.choice([-1, 1]) * (top - r.randint(0, 64) / 1024) if k % 3 else top for _ in range(8)]) for k in range(0, 600, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = []
+    for i, v in own.items():
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in own.items() if j != i)[:10]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert bag(topk.top_k(df, F.col("vec_id") % 100 == 0, block=40).collect()) == bag(want)
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    df = spark.createDataFrame([(k, [2.0**30] * 4) for k in range(0, 300, 50)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits|62 bits"):
+        topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+
+
+def test_far_cells_are_left_out(spark):
+    """On clusters most products are never computed, and the result is that of computing all."""
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 8, (12, 16))
+    x = np.concatenate([c + r.normal(0, 0.3, (100, 16)) for c in centres])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ask = F.col("vec_id") % 100 == 0
+    done = topk.search_blocks(df, ask, block=100, query_block=8).agg(F.sum("products")).head()[0]
+    assert done < 0.4 * 12 * 1200
+    v = np.floor(1024 * x).astype(np.int64)
+    want = [(i, n + 1, j, s) for i in range(0, 1200, 100) for n, (s, j) in enumerate([(-a, b) for a, b in sorted((-int(v[i] @ v[j]), j) for j in range(1200) if j != i)[:10]])]
+    assert bag(topk.top_k(df, ask, block=100, query_block=8).collect()) == bag(want)
+
+
+def test_passages_in_small_shards(spark, docs, rows, monkeypatch):
+    """Blocks and shards of a few passages each, and rows whose first hash is the same, give the same words."""
+    assert bag(passages.kept_digests(docs, block_bytes=3000, shard_bytes=400).collect()) == bag(brute_kept(rows))
+    few = rows[:12] + rows[60:66]
+    small = docs.where(F.col("doc_id").isin([i for i, _ in few]) | F.col("doc_id").isNull())
+    few = [tuple(r) for r in small.select("doc_id", "text").collect()]
+    monkeypatch.setattr(passages, "row_hashes", lambda *c: [F.lit(5).cast("long"), F.xxhash64(*c)])
+    assert bag(passages.kept_digests(small).collect()) == bag(brute_kept(few))
+
+
+def test_shards_stay_within_their_bytes(spark):
+    route = spark.createDataFrame([(k, k % 2) for k in range(40)], "id long, block long")
+    sizes = spark.createDataFrame([(k, 100 if k % 2 else 10) for k in range(40)], "id long, bytes long")
+    assert [tuple(r) for r in passages.shards(route, sizes, 500).collect()] == [(1, 4)]
+
+
+def test_full_leaves_are_split_again(spark, monkeypatch):
+    """A tree fitted on few fingerprints leaves large leaves; after splitting none is, and no link is lost."""
+    r = random.Random(14)
+    centres = [r.getrandbits(64) for _ in range(400)]
+    fps = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for c in centres for _ in range(8)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f, k) for k, f in enumerate(signed)], "fp long, low long").repartition(3)
+    monkeypatch.setattr(simhash, "LEAF_SAMPLE", 300)
+    largest = lambda splits: simhash.leaves(df, sample=12, leaf=24, splits=splits).groupBy("depth", "leaf").count().agg(F.max("count")).head()[0]
+    assert largest(5) <= simhash.OVERFULL * 24 < largest(0)
+    out = {x["fp"] % 2**64: x["component"] for x in simhash.link(df, sample=12, leaf=24).collect()}
+    low = {}
+    for k, root in enumerate(brute_components(fps)):
+        low.setdefault(root, k)
+    assert out == {f: low[root] for f, root in zip(fps, brute_components(fps), strict=True)}
+
+
+def test_rows_of_one_hash_are_told_apart(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(simhash, "row_hashes", lambda *c: [F.lit(5).cast("long"), F.xxhash64(*c)])
+    first = Counter(r["doc_id"] for r in simhash.first_of_group(docs).collect())
+    monkeypatch.undo()
+    assert first == Counter(r["doc_id"] for r in simhash.first_of_group(docs).collect())
+
+
+def test_bpe_in_any_order_and_one_pass(spark, docs, rows):
+    """An input that comes in another order each time; the result's plan reads no documents again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    out = bpe.encode_decode(docs.orderBy(F.rand()).repartition(5), path, buckets=3)
+    want = [(doc, hashlib.sha256(np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for doc, text in rows]
+    assert bag(out.select("doc_id", "ids_sha256").collect()) == bag(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "_split" not in plan and "text" not in plan
+
+
+def test_scratch_is_shared_and_goes(spark):
+    import os
+
+    from recollect.llm import common
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.scratch_root(Cluster())
+    df = common.materialize(spark.range(3))
+    path = df._scratch.removeprefix("file:")
+    assert os.path.isdir(path)
+    common.discard(df, None, spark.range(1))
+    assert not os.path.exists(path)
+    assert common.fresh(spark.range(1).selectExpr("id", "id AS `ID_`"), "id") == "id__"
