@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .. import refdata as R
 
@@ -23,7 +21,7 @@ def strip(x: Column) -> Column:
 
 
 def words(x: Column) -> Column:
-    return F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(x, r"\s+"), "")
 
 
 def word_count(x: Column) -> Column:
@@ -156,8 +154,3 @@ def similarity(a: str | None, b: str | None) -> float | None:
     if a is None or b is None:
         return None
     return max(ratio(a, b), ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
-
-
-@F.pandas_udf(DoubleType())
-def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

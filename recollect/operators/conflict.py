@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,10 +82,33 @@ def without_earlier_duplicate(edges: DataFrame) -> DataFrame:
     return both.where(~F.coalesce(earlier, F.lit(False))).select(*edges.columns)
 
 
+def _banded(df: DataFrame, threshold: float, around: int, pivots: int = 2) -> DataFrame:
+    """df with its unit vector and the band of its angle to each of some fixed directions; with around, also in the bands beside it.
+
+    Two vectors at an angle have angles to any direction that differ by no more: pairs over the threshold share a band or
+    are in adjacent ones.
+    """
+    wide = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
+    unit = F.when(V.norm(F.col("vector")) > 0, F.transform("vector", lambda x: x / V.norm(F.col("vector"))))
+    out = df.withColumn("__unit", unit).where("__unit IS NOT NULL")
+    for k in range(pivots):
+        sign = lambda i, k=k: F.pmod(F.xxhash64(F.lit(k), i), F.lit(2)) * 2 - 1
+        along = F.aggregate(F.transform("__unit", lambda x, i: x * sign(i)), F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size("__unit"))
+        band = F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along))) / wide).cast("int")
+        out = out.withColumn(f"__b{k}", F.explode(F.array(*(band + d for d in range(-around, around + 1)))))
+    return out
+
+
 def near_duplicates(new: DataFrame, edges: DataFrame, on: list[str], threshold: float = R.DEDUP_THRESHOLD) -> DataFrame:
-    """New rows (edge_id, vector) for which an edge with equal keys is as similar as the threshold."""
-    e = edges.select(*on, F.col("vector").alias("old_vector"), F.col("edge_id").alias("old_id"))
-    return new.join(e, on).where(V.cosine(F.col("vector"), F.col("old_vector")) >= threshold)
+    """New rows (edge_id, vector) for which an edge with equal keys is more similar than the threshold: (edge_id, on, old_id, similarity).
+
+    Vectors are scaled once, and only those in bands that the threshold allows are compared; zero vectors are like none.
+    """
+    bands = ["__b0", "__b1"]
+    e = _banded(edges.select(*on, F.col("vector"), F.col("edge_id").alias("old_id")), threshold, 1).select(*on, *bands, "old_id", F.col("__unit").alias("__old"))
+    f = _banded(new.select(*on, "vector", "edge_id"), threshold, 0).select(*on, *bands, "edge_id", "__unit")
+    same = F.when(F.size("__unit") == F.size("__old"), V.dot(F.col("__unit"), F.col("__old"))).otherwise(0.0)
+    return f.join(e, [*on, *bands]).select(*on, "edge_id", "old_id", same.alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def reconcile(edges: DataFrame, now: dt.datetime) -> DataFrame:

@@ -5,6 +5,10 @@ Aliases are frozen within a batch; those that fuzzy matches teach are returned,
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +17,9 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..providers import Provider, embedded, picked
 
-#: Phrases that fuzzy matching compares each distinct key with.
-MAX_PHRASES = 10_000
+#: Known phrases that one task compares keys with, and keys in one group.
+PHRASES_A_TASK, KEYS_A_TASK = 20_000, 5_000
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def aliases(spark: SparkSession) -> DataFrame:
@@ -29,17 +34,54 @@ def match_exact(phrases: DataFrame, known: DataFrame, col: str = "phrase") -> Da
     return phrases.withColumn("__key", T.alias_key(F.col(col))).join(F.broadcast(first), "__key", "left").drop("__key")
 
 
+def _letters(x: list[str]) -> np.ndarray:
+    """How often each letter of a key occurs."""
+    out = np.zeros((len(x), len(LETTERS)), np.int16)
+    for i, own in enumerate(x):
+        for c, n in Counter(own).items():
+            if (k := LETTERS.find(c)) >= 0:
+                out[i, k] = n
+    return out
+
+
+def _best_phrases(known: pd.DataFrame, keys: list[str]) -> list[tuple[str, str, float, int]]:
+    """(key, relation, score, place) of each key's best phrase, the first of equals.
+
+    No two strings share more letters in order than out of order: phrases whose letters can't reach the best score so far are left out.
+    """
+    known = known.sort_values("place")
+    phrases, relations, places = known["phrase"].tolist(), known["relation"].tolist(), known["place"].tolist()
+    letters, sizes, out = _letters(phrases), np.array([len(p) for p in phrases]), []
+    for key in keys:
+        most = 2 * np.minimum(letters, _letters([key])).sum(axis=1) / np.maximum(1, sizes + len(key))
+        best = (-1.0, 0, 0)
+        for i in np.argsort(-most, kind="stable").tolist():
+            if round(float(most[i]), 3) < best[0]:
+                break
+            best = max(best, (round(T.similarity(key, phrases[i]), 3), -places[i], i))
+        out.append((key, relations[best[2]], best[0], places[best[2]]))
+    return out
+
+
 def match_fuzzy(phrases: DataFrame, known: DataFrame, col: str = "phrase") -> DataFrame:
-    """The best known phrase of each distinct key, the first of equals; the list of phrases travels in each row.
+    """The best known phrase of each distinct key, the first of equals: (key, relation, score).
 
-    The list is a constant with some learned phrases; beyond MAX_PHRASES it is refused rather than sent.
+    Keys meet the known phrases by groups of both, of bounded size however many there are.
     """
-    if known.limit(MAX_PHRASES + 1).count() > MAX_PHRASES:
-        raise ValueError(f"more than {MAX_PHRASES} phrases")
-    table = [(r["phrase"], r["relation"]) for r in known.orderBy("place").collect()]
-    options = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(r).alias("relation"), F.lit(k).alias("place")) for k, (p, r) in enumerate(table)))
     keys = phrases.select(T.alias_key(F.col(col)).alias("key")).where("key <> ''").distinct()
-    each = keys.select("key", F.explode(options).alias("o")).select("key", "o.*", F.round(T.similarity_udf(F.col("key"), F.col("o.phrase")), 3).alias("score"))
+    shards = -(-known.count() // PHRASES_A_TASK)
+    if not shards:
+        return keys.select("key", F.lit(None).cast("string").alias("relation"), F.lit(0.0).alias("score"))
+    groups = max(1, -(-keys.count() // KEYS_A_TASK))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = known.select("phrase", "relation", "place", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard")).withColumn("group", upto(groups))
+    b = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("group")).withColumn("shard", upto(shards))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = _best_phrases(left, right["key"].tolist()) if len(left) else []
+        return pd.DataFrame(rows, columns=["key", "relation", "score", "place"])
+
+    each = a.groupBy("shard", "group").cogroup(b.groupBy("shard", "group")).applyInPandas(run, "key string, relation string, score double, place int")
     best = F.max(F.struct(F.col("score"), (-F.col("place")).alias("p"), F.col("relation")))
     return each.groupBy("key").agg(best.alias("b")).select("key", F.col("b.relation").alias("relation"), F.col("b.score").alias("score"))
 

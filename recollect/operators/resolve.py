@@ -120,6 +120,24 @@ def ordered(rows: pd.DataFrame) -> list[dict]:
     return rows.sort_values(["fresh", "valid_at", "episode_id", "p", "ordinal"], kind="stable").to_dict("records")
 
 
+def frame(edges: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(edges, columns=["edge_id", "user_id", "relation", "object", "valid_at", "invalid_at", "retracted_at"])
+    return out.astype({c: "datetime64[us]" for c in ("valid_at", "invalid_at", "retracted_at")})
+
+
+def rows(df: DataFrame, old: bool) -> DataFrame:
+    """Facts, or stored edges, with the columns that the fold reads."""
+
+    def column(name: str, kind: str):
+        return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+
+    said = F.col("fact_string") if "fact_string" in df.columns else T.fact_string(F.lit("user"), F.col("relation"), F.col("object"))
+    ends = [F.col(c) if old else F.lit(None).cast("timestamp_ntz").alias(c) for c in ("invalid_at", "retracted_at")]
+    own = [F.lit(0).cast("long").alias("ordinal"), F.lit(False).alias("retraction")] if old else [F.col("ordinal").cast("long"), F.col("retraction")]
+    batch = [F.lit(None).cast("string").alias(c) for c in ("episode_id", "retract_category")] if old else [column(c, "string") for c in ("episode_id", "retract_category")]
+    return df.select(F.col("edge_id").cast("string"), F.col("user_id").cast("string"), "relation", "object", "valid_at", *own, said.alias("fact_string"), *batch, F.lit(old).alias("stored"), *ends)
+
+
 def resolve(facts: DataFrame, provider: Provider | None = Offline(), stored: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """facts: edge_id, user_id, relation, object, valid_at, ordinal, retraction, perhaps fact_string, episode_id and retract_category.
 
@@ -127,19 +145,8 @@ def resolve(facts: DataFrame, provider: Provider | None = Offline(), stored: Dat
     similarity counts. The result holds the stored edges too, closed where facts close them; facts stored before are not stored again.
     """
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(fold(ordered(rows), provider), columns=["edge_id", "user_id", "relation", "object", "valid_at", "invalid_at", "retracted_at"])
-        return out.astype({c: "datetime64[us]" for c in ("valid_at", "invalid_at", "retracted_at")})
-
-    def column(df: DataFrame, name: str, kind: str):
-        return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
-
-    def rows(df: DataFrame, old: bool) -> DataFrame:
-        said = F.col("fact_string") if "fact_string" in df.columns else T.fact_string(F.lit("user"), F.col("relation"), F.col("object"))
-        ends = [F.col(c) if old else F.lit(None).cast("timestamp_ntz").alias(c) for c in ("invalid_at", "retracted_at")]
-        own = [F.lit(0).cast("long").alias("ordinal"), F.lit(False).alias("retraction")] if old else [F.col("ordinal").cast("long"), F.col("retraction")]
-        batch = [F.lit(None).cast("string").alias(c) for c in ("episode_id", "retract_category")] if old else [column(df, c, "string") for c in ("episode_id", "retract_category")]
-        return df.select(F.col("edge_id").cast("string"), F.col("user_id").cast("string"), "relation", "object", "valid_at", *own, said.alias("fact_string"), *batch, F.lit(old).alias("stored"), *ends)
+    def group(own: pd.DataFrame) -> pd.DataFrame:
+        return frame(fold(ordered(own), provider))
 
     every = rows(facts, False)
     if stored is not None:

@@ -2,53 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions import text as T
 from ..functions import vectors as V
+from ..scratch import written
+from . import temporal
 
 
 def tokens(x: Column) -> Column:
     return T.words(F.lower(x))
 
 
-def equals(t: str):
-    return lambda x: x == t
+def visible(edges: DataFrame, user=None, valid_only: bool = True) -> DataFrame:
+    """Edges of a user, and only those neither closed nor retracted, as far as the table tells."""
+    if user is not None:
+        edges = edges.where(F.col("user_id") == F.lit(user))
+    for c in ("invalid_at", "retracted_at") if valid_only else ():
+        if c in edges.columns:
+            edges = edges.where(F.col(c).isNull())
+    return edges
 
 
-def bm25(facts: DataFrame, query: str, tenant: list[str] | None = None, limit: int = R.SEARCH_LIMIT) -> DataFrame:
-    """edge_id, score and rank (from 0) of each tenant's best facts; statistics are those of its rows.
-
-    Terms of the query are counted in place. The vocabulary is counted only where some term is so frequent that its idf
-    is negative: a share of the mean idf stands in for it.
-    """
-    keys = tenant or ["__all"]
-    facts = facts if tenant else facts.withColumn("__all", F.lit(1))
+def query_terms(query: str) -> dict[str, int]:
     terms: dict[str, int] = {}
     for t in query.lower().split():
         terms[t] = terms.get(t, 0) + 1
-    docs = facts.select(*keys, "edge_id", tokens(F.col("fact_string")).alias("tokens"))
-    idf = lambda df: F.log(F.col("n") - df + 0.5) - F.log(df + 0.5)
-    counts = (F.sum(F.array_contains("tokens", t).cast("int")) for t in terms)
-    stats = docs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"), *(c.alias(f"d{k}") for k, c in enumerate(counts)))
-    mean = stats.select(*keys, "n", "avgdl", *(F.when(F.col(f"d{k}") > 0, idf(F.col(f"d{k}"))).alias(f"i{k}") for k in range(len(terms))))
-    if mean.where(F.least(F.lit(0.0), *(F.col(f"i{k}") for k in range(len(terms)))) < 0).isEmpty():
-        mean = mean.withColumn("mean_idf", F.lit(0.0))  # nothing to stand in for
-    else:
-        df = docs.select(*keys, F.explode(F.array_distinct("tokens")).alias("t")).groupBy(*keys, "t").agg(F.count("*").alias("df"))
-        vocabulary = df.join(F.broadcast(stats.select(*keys, "n")) if not tenant else stats.select(*keys, "n"), keys).groupBy(*keys).agg(F.avg(idf(F.col("df"))).alias("mean_idf"))
-        mean = mean.join(vocabulary, keys)
-    scored = docs.join(mean, keys)
+    return terms
+
+
+def vocabulary(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(term, df, length) of each tenant's rows (tokens); the empty term stands for all rows and sums their lengths."""
+    each = docs.select(*keys, F.size("tokens").alias("length"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"))
+    return each.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("length"))
+
+
+def statistics(words: DataFrame, keys: list[str], terms: dict[str, int]) -> DataFrame:
+    """A row a tenant: mean length, mean idf of its vocabulary, and the idf of each term as i0, i1, ...; words is a written vocabulary."""
+    heads = words.where("term = ''").select(*keys, F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    own = words.where("term <> ''").join(heads, keys)
+    each = (F.max(F.when(F.col("term") == t, idf)).alias(f"i{k}") for k, t in enumerate(terms))
+    return own.groupBy(*keys).agg(F.max("avgdl").alias("avgdl"), F.avg(idf).alias("mean_idf"), *each)
+
+
+def okapi(counted: DataFrame, terms: dict[str, int], keys: list[str] | None, limit: int) -> DataFrame:
+    """The best rows of counted: length, the terms' counts f0, f1, ... and the tenant's statistics. A share of the mean idf stands in for a negative one."""
     score = F.lit(0.0)
-    for k, (t, times) in enumerate(terms.items()):
-        f = F.size(F.filter("tokens", equals(t)))
-        weight = F.when(F.col(f"i{k}") < 0, R.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col(f"i{k}"))
-        part = weight * f * (R.BM25_K1 + 1) / (f + R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.size("tokens") / F.col("avgdl")))
+    for k, times in enumerate(terms.values()):
+        f, idf = F.col(f"f{k}"), F.col(f"i{k}")
+        weight = F.when(idf < 0, R.BM25_EPSILON * F.col("mean_idf")).otherwise(idf)
+        part = weight * f * (R.BM25_K1 + 1) / (f + R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("length") / F.col("avgdl")))
         score = score + times * F.coalesce(part, F.lit(0.0))
-    scored = scored.select(*(tenant or []), "edge_id", F.round(score, 9).alias("score")).where("score > 0")
-    return top(scored, limit, tenant)
+    return top(counted.select(*(keys or []), "edge_id", F.round(score, 9).alias("score")).where("score > 0"), limit, keys)
+
+
+def bm25(facts: DataFrame, query: str, tenant: list[str] | None = None, limit: int = R.SEARCH_LIMIT) -> DataFrame:
+    """edge_id, score and rank (from 0) of each tenant's best facts; statistics are those of its rows. A blank query finds nothing.
+
+    Texts are read once for the vocabulary, which is written, and once for the rows that hold a term of the query. Where
+    queries are many, ``keyword_index`` keeps both.
+    """
+    keys, terms = tenant or ["__all"], query_terms(query)
+    facts = facts if tenant else facts.withColumn("__all", F.lit(1))
+    docs = facts.select(*keys, "edge_id", tokens(F.col("fact_string")).alias("tokens"))
+    if not terms:
+        return top(docs.select(*(tenant or []), "edge_id", F.lit(0.0).alias("score")).limit(0), limit, tenant)
+    stats = statistics(written(vocabulary(docs, keys)), keys, terms)
+    count = lambda t: F.size("tokens") - F.size(F.array_remove("tokens", t))
+    counted = docs.where(F.arrays_overlap("tokens", F.array(*map(F.lit, terms)))).select(*keys, "edge_id", F.size("tokens").alias("length"), *(count(t).alias(f"f{k}") for k, t in enumerate(terms)))
+    return okapi(counted.join(stats, keys), terms, tenant, limit)
 
 
 def top(scored: DataFrame, limit: int, keys: list[str] | None = None) -> DataFrame:
@@ -84,13 +109,55 @@ def fit_budget(ranked: DataFrame, budget: int | None = R.TOKEN_BUDGET, keys: lis
     return first.withColumn("total_tokens", total).where(F.col("total_tokens") <= budget).drop("__n")
 
 
-def hybrid(facts: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], budget: int | None = R.TOKEN_BUDGET, limit: int = R.RETRIEVE_LIMIT) -> DataFrame:
-    """Both searches, fused and packed; facts of vectors without a text are dropped as blank."""
+def newest(facts: DataFrame, budget: int | None = R.TOKEN_BUDGET, limit: int = R.RETRIEVE_LIMIT, valid_only: bool = True) -> DataFrame:
+    """What a blank query finds: the newest memories, packed."""
+    rows = temporal.list_active(facts, limit, valid_only)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("valid_at"), "edge_id"))  # of at most limit rows
+    rows = rows.withColumn("position", place - 1).select("edge_id", "fact", "score", F.lit(None).cast("double").alias("rrf_score"), "position")
+    return fit_budget(rows, budget)
+
+
+def hybrid(facts: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], budget: int | None = R.TOKEN_BUDGET, limit: int = R.RETRIEVE_LIMIT, user=None, valid_only: bool = True) -> DataFrame:
+    """Both searches, fused and packed; facts of vectors without a text are dropped as blank. A blank query lists the newest.
+
+    Users and validity are told by facts (user_id, invalid_at, retracted_at), and by vectors where they have these columns.
+    """
+    facts = visible(facts, user, valid_only)
+    if not query.strip():
+        return newest(facts, budget, limit, valid_only)
+    vectors = visible(vectors, user if "user_id" in vectors.columns else None, valid_only)
     fused = fuse(bm25(facts, query, limit=limit), vector_search(vectors, query_vector, limit))
     named = facts.join(F.broadcast(fused), "edge_id").where("fact_string <> ''").select("edge_id", F.col("fact_string").alias("fact"), "score", "rrf_score", "position")
     return fit_budget(named, budget)
 
 
-def search(facts: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], valid_only: bool, limit: int = R.API_LIMIT) -> DataFrame:
-    """Valid facts by meaning; otherwise all, retracted ones too, by words."""
-    return vector_search(vectors, query_vector, limit) if valid_only else bm25(facts, query, limit=limit)
+def search(facts: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], valid_only: bool, limit: int = R.API_LIMIT, user=None) -> DataFrame:
+    """A user's valid facts by meaning; otherwise all, retracted ones too, by words. A blank query finds nothing."""
+    if not valid_only:
+        return bm25(visible(facts, user, False), query, limit=limit)
+    found = visible(vectors, user if "user_id" in vectors.columns else None)
+    return vector_search(found if query.strip() else found.limit(0), query_vector, limit)
+
+
+def index_facts(facts: DataFrame, path: str, part: int) -> None:
+    """Append a batch of facts to a keyword index below path, under its number; a batch that runs again overwrites its own part.
+
+    postings (term, edge_id, tf, length) are sorted by term, so that a query reads its terms' row groups; words holds df.
+    """
+    docs = facts.select(F.lit(1).alias("__all"), "edge_id", tokens(F.col("fact_string")).alias("tokens"))
+    each = docs.select("edge_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    postings = each.groupBy("term", "edge_id", "length").agg(F.count("*").alias("tf"))
+    postings.repartitionByRange("term", "edge_id").sortWithinPartitions("term", "edge_id").write.mode("overwrite").parquet(f"{path}/postings/part={part}")
+    vocabulary(docs, ["__all"]).drop("__all").write.mode("overwrite").parquet(f"{path}/words/part={part}")
+
+
+def keyword_index(spark: SparkSession, path: str, query: str, limit: int = R.SEARCH_LIMIT) -> DataFrame:
+    """bm25 from an index: only the postings of the query's terms are read, and the parts' statistics are summed."""
+    terms = query_terms(query)
+    read = lambda kind: spark.read.option("basePath", f"{path}/{kind}").parquet(f"{path}/{kind}/part=*")
+    words = read("words").withColumn("__all", F.lit(1)).groupBy("__all", "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+    found = read("postings").where(F.col("term").isin(*terms))
+    counted = found.groupBy("edge_id", "length").agg(*(F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"f{k}") for k, t in enumerate(terms))).withColumn("__all", F.lit(1))
+    if not terms:
+        return top(counted.select("edge_id", F.lit(0.0).alias("score")).limit(0), limit)
+    return okapi(counted.join(statistics(written(words), ["__all"], terms), "__all"), terms, None, limit)

@@ -69,5 +69,11 @@ def history(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def as_of(edges: DataFrame, valid: Column, known: Column) -> DataFrame:
-    """An extension: edges that were valid at one time, as they were known at another; edges are recorded as they become valid."""
-    return edges.where((F.col("valid_at") <= valid) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > valid)) & (F.col("valid_at") <= known))
+    """An extension: the edges that were valid at one time, as they were known at another.
+
+    An edge is known from created_at (valid_at where the table has none) and its end from retracted_at: at an earlier
+    time it was still open.
+    """
+    recorded = F.coalesce("created_at", "valid_at") if "created_at" in edges.columns else F.col("valid_at")
+    ended = F.when(F.col("retracted_at").isNull() | (F.col("retracted_at") <= known), F.col("invalid_at"))
+    return edges.where((recorded <= known) & (F.col("valid_at") <= valid) & (ended.isNull() | (ended > valid)))

@@ -7,37 +7,31 @@ asked once for each text.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import providers as P
 from .. import refdata as R
+from .. import schema
 from ..functions import text as T
 from ..operators import conflict, ontology, profile, resolve, routing
 from ..operators.temporal import now_literal
+from ..scratch import written
+from ..sources import snapshots, store
 
 
-def written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-")
-    path = f"{root}/recollect/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def first_messages(episodes: DataFrame) -> DataFrame:
+def first_messages(episodes: DataFrame, *more: str) -> DataFrame:
     """The first message of each user's turn, whatever its role: what is extracted from."""
-    others = F.struct("pos", "role", "content")
+    others = F.struct("pos", "role", "content", *more)
     return episodes.groupBy("user_id").agg(F.min(others).alias("m")).select("user_id", "m.*")
 
 
 def located_clauses(texts: DataFrame, key: str, text: str, provider: P.Provider) -> DataFrame:
     """(key, ordinal, text, temporal_status, start, end); a clause is sought from the start of the one before."""
     each = texts.select(key, F.col(text).alias("__t"), F.posexplode(T.sentences(F.col(text))).alias("__n", "__s"))
-    each = each.select(key, "__t", "__n", F.posexplode(P.classified(F.col("__s"), provider)).alias("__m", "__c")).where("trim(__c.clause) <> ''")
+    each = each.withColumn("__raw", P.classified(F.col("__s"), provider))
+    each = each.select(key, "__t", "__n", F.posexplode(store.parsed_clauses(F.col("__raw"), F.col("__s"))).alias("__m", "__c")).where("trim(__c.clause) <> ''")
     per = each.groupBy(key, "__t").agg(F.sort_array(F.collect_list(F.struct("__n", "__m", "__c"))).alias("__l"))
 
     def place(acc, x):
@@ -141,4 +135,22 @@ def ingest(
     return edges, review, profile.sync(edges, profiles)
 
 
-__all__ = ["candidate_facts", "extract_facts", "first_messages", "ingest", "located_clauses", "storable"]
+def ingest_turn(messages: DataFrame, root: str, provider: P.Provider, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """Store a turn's messages (user_id, session_id, pos, role, content, created_at, metadata) and what its first messages tell.
+
+    Episodes are appended below root; edges and profiles are its newest snapshots, which the turn reads and follows.
+    Returns the edges and the facts for review.
+    """
+    spark = messages.sparkSession
+    store.store_turn(messages, f"{root}/episodes")
+    rows = store.turn_rows(messages)
+    texts = first_messages(rows.withColumnRenamed("id", "episode_id"), "episode_id").select("episode_id", F.col("user_id").cast("string").alias("user_id"), "content")
+    stored, profiles = (snapshots.read_snapshot(spark, f"{root}/{kind}") for kind in ("edges", "profiles"))
+    edges, review, profiles = ingest(texts, provider, now, stored and stored.withColumnRenamed("id", "edge_id"), profiles)
+    edges = store.conformed(edges.withColumnRenamed("edge_id", "id"), schema.EDGES)
+    snapshots.write_snapshot(edges, f"{root}/edges")
+    snapshots.write_snapshot(store.conformed(profiles, schema.PROFILE), f"{root}/profiles")
+    return snapshots.read_snapshot(spark, f"{root}/edges"), review
+
+
+__all__ = ["candidate_facts", "extract_facts", "first_messages", "ingest", "ingest_turn", "located_clauses", "storable"]

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from . import refdata as R
 
-STATUSES = ("PAST", "CURRENT", "FUTURE", "UNSPECIFIED")
-
 
 class Provider(Protocol):
     """extract_structured gives facts (subject, relation, object, confidence, source_span, temporal_status, retraction_signal),
@@ -69,17 +67,6 @@ class Offline:
         return None
 
 
-def clauses_of(raw: str | None, sentence: str) -> list[dict]:
-    """A classifier's answer if it is a JSON list of known statuses, code fences aside; else the sentence as one unspecified clause."""
-    try:
-        found = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", (raw or "").strip()))
-        if isinstance(found, list) and found and all(isinstance(c, dict) and isinstance(c.get("clause"), str) and c.get("status") in STATUSES for c in found):
-            return found
-    except ValueError:
-        pass
-    return [{"clause": sentence, "status": "UNSPECIFIED"}]
-
-
 def embedded(df: DataFrame, provider: Provider, text: str, out: str = "vector") -> DataFrame:
     """Each distinct text is embedded once a batch; blank texts get a zero vector."""
 
@@ -129,8 +116,10 @@ def picked(phrase: Column, provider: Provider) -> Column:
 
 
 def classified(sentence: Column, provider: Provider) -> Column:
-    @F.pandas_udf("array<struct<clause:string,status:string>>")
+    """The classifier's raw answer."""
+
+    @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: clauses_of(provider.classify(s or ""), s or ""))
+        return x.map(lambda s: provider.classify(s or ""))
 
     return run(sentence)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from .. import scratch
 from ..functions import vectors as V
 from ..operators import conflict, retrieval, temporal
+from ..providers import Offline, embedded
 from ..sources import tables as S
 
 #: Frequent and rare words of the corpus; the query's vector is that of the row with id 0.
@@ -67,25 +69,21 @@ def blank_query(spark, sf_dir):
     return out.select("edge_id", "fact", "position", "tokens", "total_tokens")
 
 
+#: Cosine that some of the vectors of a tenant reach and most do not.
+NEAR = 0.25
+
+
 def paraphrase_conflicts(spark, sf_dir):
     """Pairs of one tenant's vectors that are similar, the later id new."""
     v = S.vectors(spark, sf_dir)
-    n = conflict.near_duplicates(v, v, ["tenant"], 0.5).where("old_id < edge_id")
-    return n.select("tenant", "edge_id", "old_id", F.round(V.cosine(F.col("vector"), F.col("old_vector")), 6).alias("similarity"))
+    n = conflict.near_duplicates(v, v, ["tenant"], NEAR).where("old_id < edge_id")
+    return n.select("tenant", "edge_id", "old_id", F.round("similarity", 6).alias("similarity"))
 
 
 def near_duplicate_skip(spark, sf_dir):
-    """New vectors, of odd ids, that no stored one of their tenant, of an even id, is near to."""
-    v = S.vectors(spark, sf_dir)
-    new, old = v.where("edge_id % 2 = 1"), v.where("edge_id % 2 = 0")
-    near = conflict.near_duplicates(new, old, ["tenant"], 0.5).select("edge_id").distinct()
-    return new.join(near, "edge_id", "left_anti").select("edge_id", "tenant")
-
-
-def near_duplicate_first(spark, sf_dir):
-    """All vectors that none of their tenant with a smaller id is near to: near_duplicate_skip for the whole table."""
+    """All vectors that none of their tenant with a smaller id is near to."""
     v = S.vectors(spark, sf_dir)
-    near = conflict.near_duplicates(v, v, ["tenant"], 0.5).where("old_id < edge_id").select("edge_id").distinct()
+    near = conflict.near_duplicates(v, v, ["tenant"], NEAR).where("old_id < edge_id").select("edge_id").distinct()
     return v.join(near, "edge_id", "left_anti").select("edge_id", "tenant")
 
 
@@ -94,20 +92,60 @@ def missing_vectors(spark, sf_dir):
     return S.corpus(spark, sf_dir).join(S.vectors(spark, sf_dir).select("edge_id"), "edge_id", "left_anti").select("edge_id", "tenant")
 
 
+class Letters(Offline):
+    """Vectors of letter counts, scaled to 1: a model that SQL can follow."""
+
+    def embed(self, text: str) -> list[float]:
+        v = [float(text.lower().count(c)) for c in LETTERS]
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v] if n else v
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def repaired_vectors(spark, sf_dir):
-    """A vector for each document without one, from the offline provider; the digest is of its non-zero places."""
-    from ..providers import Offline, embedded
+    """A vector for each document without one."""
+    out = embedded(missing_texts(spark, sf_dir), Letters(), "fact_string")
+    return out.select("edge_id", F.size("vector").alias("width"), F.round(V.norm(F.col("vector")), 6).alias("norm"), *(F.round(F.col("vector")[k], 6).alias(f"v{k}") for k in (0, 4, 19)))
+
+
+def missing_texts(spark, sf_dir):
+    return S.corpus(spark, sf_dir).join(S.vectors(spark, sf_dir).select("edge_id"), "edge_id", "left_anti").where("fact_string <> ''")
+
+
+def hybrid_blank(spark, sf_dir):
+    """A blank query of one user: their newest confirmed memories, packed."""
+    out = retrieval.hybrid(S.edges(spark, sf_dir), S.vectors(spark, sf_dir), "  ", [], 100, user=8)
+    return out.select("edge_id", "fact", "position", "tokens", "total_tokens")
+
+
+def _judged_vectors(spark, sf_dir):
+    """Vectors of users, some closed and some retracted."""
+    at = lambda c: F.when(c, F.lit("2024-03-01").cast("timestamp_ntz"))
+    return S.vectors(spark, sf_dir).withColumns({"user_id": F.col("tenant"), "invalid_at": at(F.col("edge_id") % 3 == 1), "retracted_at": at(F.col("edge_id") % 5 == 2)})
+
+
+def vector_search_valid(spark, sf_dir):
+    """One user's valid facts by meaning."""
+    v = _judged_vectors(spark, sf_dir)
+    return retrieval.search(S.corpus(spark, sf_dir), v, QUERY, _query_vector(spark, sf_dir), True, user=3)
+
 
-    missing = S.corpus(spark, sf_dir).join(S.vectors(spark, sf_dir).select("edge_id"), "edge_id", "left_anti")
-    out = embedded(missing, Offline(), "fact_string")
-    return out.select("edge_id", F.size("vector").alias("width"), F.round(V.norm(F.col("vector")), 6).alias("norm"))
+def bm25_indexed(spark, sf_dir):
+    """bm25_topk from an index that two batches of documents were appended to."""
+    path, docs = scratch.folder(spark), S.corpus(spark, sf_dir)
+    long = F.length("fact_string") >= 1000
+    retrieval.index_facts(docs.where(long), path, 0)
+    retrieval.index_facts(docs.where(~F.coalesce(long, F.lit(False))), path, 1)
+    return retrieval.keyword_index(spark, path, QUERY)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_budget_prefix, bm25_topk, bm25_per_tenant, vector_topk, vector_topk_per_tenant, rrf_hybrid, hybrid_retrieve, audit_search, blank_query,
-        paraphrase_conflicts, near_duplicate_skip, near_duplicate_first, missing_vectors, repaired_vectors,
+        paraphrase_conflicts, near_duplicate_skip, missing_vectors, repaired_vectors, hybrid_blank, vector_search_valid, bm25_indexed,
     )
 }
 
@@ -151,9 +189,13 @@ ORACLE_SQL = {
     "hybrid_retrieve": _RRF + " SELECT * FROM (SELECT edge_id, score, rrf_score, position, tokens, CAST(sum(tokens) OVER (ORDER BY position) AS BIGINT) AS total_tokens FROM (SELECT r.*, greatest(1, length(text) // 4) AS tokens FROM r JOIN documents ON doc_id = edge_id WHERE text <> '')) WHERE total_tokens <= 2000",
     "audit_search": "WITH " + _bm25_sql("with the was", False, 10) + " SELECT edge_id, score, rank FROM bm",
     "blank_query": "WITH " + S.EDGES_SQL + ", l AS (SELECT edge_id, 'user ' || lower(replace(relation, '_', ' ')) || ' ' || object AS fact, row_number() OVER (ORDER BY valid_at DESC, edge_id) - 1 AS position FROM edges WHERE relation <> 'SWITCHED_FROM' ORDER BY valid_at DESC, edge_id LIMIT 50), t AS (SELECT *, greatest(1, length(fact) // 4) AS tokens FROM l) SELECT * FROM (SELECT *, CAST(sum(tokens) OVER (ORDER BY position) AS BIGINT) AS total_tokens FROM t) WHERE total_tokens <= 100",
-    "paraphrase_conflicts": f"SELECT a.label AS tenant, a.vec_id AS edge_id, b.vec_id AS old_id, round({_PAIR}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id WHERE {_PAIR} >= 0.5",
-    "near_duplicate_first": f"SELECT vec_id AS edge_id, label AS tenant FROM embeddings a WHERE NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.label = a.label AND b.vec_id < a.vec_id AND {_PAIR} >= 0.5)",
-    "near_duplicate_skip": f"SELECT vec_id AS edge_id, label AS tenant FROM embeddings a WHERE vec_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.label = a.label AND b.vec_id % 2 = 0 AND {_PAIR} >= 0.5)",
+    "paraphrase_conflicts": f"SELECT a.label AS tenant, a.vec_id AS edge_id, b.vec_id AS old_id, round({_PAIR}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id WHERE {_PAIR} > {NEAR}",
+    "near_duplicate_skip": f"SELECT vec_id AS edge_id, label AS tenant FROM embeddings a WHERE NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.label = a.label AND b.vec_id < a.vec_id AND {_PAIR} > {NEAR})",
+    "bm25_indexed": "WITH " + _bm25_sql(QUERY, False, 20) + " SELECT edge_id, score, rank FROM bm",
+    "hybrid_blank": "WITH " + S.EDGES_SQL + ", l AS (SELECT edge_id, 'user ' || lower(replace(relation, '_', ' ')) || ' ' || object AS fact, row_number() OVER (ORDER BY valid_at DESC, edge_id) - 1 AS position FROM edges WHERE user_id = 8 AND relation <> 'SWITCHED_FROM' ORDER BY valid_at DESC, edge_id LIMIT 50), t AS (SELECT *, greatest(1, length(fact) // 4) AS tokens FROM l) SELECT * FROM (SELECT *, CAST(sum(tokens) OVER (ORDER BY position) AS BIGINT) AS total_tokens FROM t) WHERE total_tokens <= 100",
+    "vector_search_valid": "WITH " + _vector_sql(1 << 40, False) + " SELECT edge_id, score, row_number() OVER (ORDER BY score DESC, edge_id) - 1 AS rank FROM vs WHERE tenant = 3 AND edge_id % 3 <> 1 AND edge_id % 5 <> 2 QUALIFY rank < 10",
     "missing_vectors": "SELECT doc_id AS edge_id, lang AS tenant FROM documents ANTI JOIN embeddings ON vec_id = doc_id",
-    "repaired_vectors": "SELECT doc_id AS edge_id, CAST(768 AS INT) AS width, 1.0 AS norm FROM documents ANTI JOIN embeddings ON vec_id = doc_id WHERE text <> ''",
+    "repaired_vectors": "WITH m AS (SELECT doc_id, [CAST(length(text) - length(replace(lower(text), chr(CAST(i AS INT)), '')) AS DOUBLE) FOR i IN range(97, 123)] AS c FROM documents ANTI JOIN embeddings ON vec_id = doc_id WHERE text <> ''), "
+    "n AS (SELECT *, sqrt(list_inner_product(c, c)) AS n FROM m) SELECT doc_id AS edge_id, CAST(len(c) AS INT) AS width, round(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END, 6) AS norm, "
+    + ", ".join(f"round(CASE WHEN n > 0 THEN c[{k + 1}] / n ELSE 0.0 END, 6) AS v{k}" for k in (0, 4, 19)) + " FROM n",
 }

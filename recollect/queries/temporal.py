@@ -7,14 +7,19 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from .. import scratch
 from ..functions import text as T
 from ..operators import conflict, profile, resolve, temporal
+from ..plans import pipeline
+from ..providers import Offline
 from ..sources import snapshots
 from ..sources import tables as S
 from ..sources.tables import CONFLICTING_SQL, EDGES_SQL
 
 NOW = dt.datetime(2024, 6, 1)
 VALID, KNOWN = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)
+#: The events' two batches part here.
+MIDDLE = dt.datetime(2024, 1, 15)
 SLOT_SQL = "CASE WHEN {0} IN ('IS', 'HAS_ROLE') THEN 'role' WHEN {0} = 'WORKS_AT' THEN 'employer' WHEN {0} = 'LIVES_IN' THEN 'residence' WHEN {0} = 'BORN_IN' THEN 'origin' WHEN {0} = 'GOAL_IS' THEN 'goal' END"
 FAMILY_SQL = "CASE WHEN {0} IN ('WORKS_AT', 'WORKED_AT', 'SWITCHED_FROM') THEN 'employment' WHEN {0} IN ('LIVES_IN', 'LIVED_IN', 'BORN_IN') THEN 'location' END"
 SCD_SQL = EDGES_SQL + """, fresh AS (
@@ -65,6 +70,14 @@ def as_of_snapshot(spark, sf_dir):
     return out.select("edge_id", "user_id", "relation", "object")
 
 
+def as_of_transaction(spark, sf_dir):
+    """Edges recorded two days after they became valid, and closed in the books five days after their end, as known a day later."""
+    day = lambda c, n: F.col(c) + F.expr(f"INTERVAL '{n}' DAY")
+    late = _history(spark, sf_dir).withColumns({"created_at": day("valid_at", 2), "retracted_at": day("invalid_at", 5)})
+    out = temporal.as_of(late, F.lit(VALID).cast("timestamp_ntz"), F.lit(VALID + dt.timedelta(days=1)).cast("timestamp_ntz"))
+    return out.select("edge_id", "user_id", "relation", "object")
+
+
 def category_retract(spark, sf_dir):
     """Uses that a user's list of tools, the objects seen in January's first week, leaves out."""
     edges = S.edges(spark, sf_dir)
@@ -107,13 +120,7 @@ def legacy_contradictions(spark, sf_dir):
 
 
 def exact_duplicate_drop(spark, sf_dir):
-    """New facts, of odd ids, that no edge of an even id duplicates."""
-    e = S.conflicting_edges(spark, sf_dir)
-    return conflict.drop_duplicates(e.where("edge_id % 2 = 1"), e.where("edge_id % 2 = 0")).select("edge_id", "user_id", "relation", "object")
-
-
-def exact_duplicate_first(spark, sf_dir):
-    """All facts that no edge of a smaller id duplicates: exact_duplicate_drop for the whole table."""
+    """All facts that no edge of a smaller id duplicates."""
     return conflict.without_earlier_duplicate(S.conflicting_edges(spark, sf_dir)).select("edge_id", "user_id", "relation", "object")
 
 
@@ -171,30 +178,39 @@ def event_windows(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    """The fold as a stream over the events' file: its users' edges after the last batch."""
+    """The fold as a stream over the events: a second run goes on from the state that the first one left."""
     from ..streaming import ingest
 
-    root = ingest.scratch(_scratch(spark))
+    root = scratch.folder(spark)
     facts = S.conflicting_edges(spark, sf_dir).select(
         F.col("edge_id").cast("string"), F.col("user_id").cast("string"), "relation", "object", "valid_at", F.col("edge_id").alias("ordinal"), F.lit(False).alias("retraction")
     )
-    facts.write.parquet(f"{root}/in")
-    ingest.ingest_stream(ingest.fact_stream(spark, f"{root}/in"), f"{root}/log", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    early = F.col("valid_at") < F.lit(MIDDLE).cast("timestamp_ntz")
+    for part in (facts.where(early), facts.where(~early)):
+        part.write.mode("append").parquet(f"{root}/in")
+        ingest.ingest_stream(ingest.fact_stream(spark, f"{root}/in", 1 << 20), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return ingest.current_edges(spark, f"{root}/out").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("invalid_at").isNull()).alias("n_open"))
 
 
-def _scratch(spark) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    import tempfile
+TOLD = {"signup": "I live in ", "purchase": "I work at ", "view": "I use ", "click": "I prefer ", "error": "Nothing of "}
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-")
+
+def ingest_batch(spark, sf_dir):
+    """Sentences of all events from episodes to edges, in two batches: the second meets the edges that the first one stored."""
+    e = S.table(spark, sf_dir, "events")
+    said = F.concat(T.lookup(F.col("event_type"), TOLD), F.lit("O"), F.get_json_object("props", "$.k"), F.lit("."))
+    told = e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("episode_id"), F.col("user_id").cast("string"), said.alias("content"), "ts")
+    early = F.col("ts") < F.lit(MIDDLE).cast("timestamp_ntz")
+    first, _, _ = pipeline.ingest(told.where(early).drop("ts"), Offline(), MIDDLE)
+    second, _, _ = pipeline.ingest(told.where(~early).drop("ts"), Offline(), NOW, first)
+    return _micros(second.select(F.col("episode_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "relation", "object", "valid_at", "invalid_at"), "valid_at", "invalid_at")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         active_edges_recent, scd2_slot_history, multi_first_seen, as_of_snapshot, category_retract, retract_by_id, retention_cleanup, close_edges, legacy_contradictions,
-        exact_duplicate_drop, exact_duplicate_first, profile_latest, profile_list, profile_last_updated, profile_upsert_merge, resolve_fold, resolve_single_slot, event_windows, stream_ingest,
+        as_of_transaction, exact_duplicate_drop, profile_latest, profile_list, profile_last_updated, profile_upsert_merge, resolve_fold, resolve_single_slot, ingest_batch, event_windows, stream_ingest,
     )
 } | {
     "reconcile_full": _rule(0), "reconcile_transitions": _rule(1), "reconcile_same_place": _rule(2), "reconcile_slots": _rule(3), "reconcile_past_employment": _rule(4),
@@ -220,6 +236,30 @@ def _pair_sql(condition: str) -> str:
 ) SELECT user_id, fr AS relation, er AS old_relation, count(*) AS n, min(edge_id) AS first_new, max(eid) AS last_old FROM p WHERE {condition} GROUP BY ALL"""
 
 
+#: The fold by recursion: each step meets a user's next fact with the edges that the facts before it left open.
+def _fold_sql(retracted: str) -> str:
+    slot = lambda x: SLOT_SQL.format(x)
+    same = f"(e.r = f.r OR {slot('e.r')} = {slot('f.r')})"
+    skip = f"((f.r = 'WORKED_AT' AND len(list_filter(open, lambda e: e.r = 'WORKS_AT')) > 0) OR len(list_filter(open, lambda e: e.o = f.o AND coalesce({same}, false))) > 0)"
+    supersedes = "((f.r = 'LIVES_IN' AND e.r IN ('BORN_IN', 'LIVED_IN')) OR (f.r = 'WORKS_AT' AND e.r IN ('WORKED_AT', 'SWITCHED_FROM', 'SWITCHED_TO')))"
+    close = (
+        f"CASE WHEN e.r = f.r AND e.o = f.o THEN false WHEN coalesce({slot('e.r')} = {slot('f.r')}, false) AND e.o <> f.o THEN true "
+        "WHEN f.r = 'WORKS_AT' AND (e.r IN ('WORKED_AT', 'SWITCHED_FROM', 'SWITCHED_TO') OR (e.r = 'WORKS_AT' AND e.o <> f.o)) THEN true "
+        f"ELSE e.o = f.o AND ({supersedes} OR (e.r <> f.r AND coalesce({FAMILY_SQL.format('e.r')} = {FAMILY_SQL.format('f.r')}, false))) END"
+    )
+    return "WITH RECURSIVE " + CONFLICTING_SQL + f""", f AS (
+  SELECT user_id, relation AS r, object AS o, {retracted} AS gone, row_number() OVER (PARTITION BY user_id ORDER BY valid_at, CASE WHEN relation IN ('WORKS_AT', 'IS', 'HAS_ROLE', 'LIVES_IN') THEN 0 ELSE 3 END, edge_id) AS i FROM edges
+), s AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(r VARCHAR, o VARCHAR)[]) AS open, CAST(NULL AS VARCHAR) AS r, false AS stored FROM f
+  UNION ALL
+  SELECT s.user_id, f.i, CASE WHEN f.gone OR {skip} THEN open ELSE list_append(list_filter(open, lambda e: NOT ({close})), {{'r': f.r, 'o': f.o}}) END, f.r, f.gone OR NOT {skip}
+  FROM s JOIN f ON f.user_id = s.user_id AND f.i = s.i + 1
+), last AS (
+  SELECT user_id, unnest(open).r AS r FROM (SELECT user_id, arg_max(open, i) AS open FROM s GROUP BY user_id)
+), n AS (SELECT user_id, r, count(*) AS n FROM s WHERE stored GROUP BY ALL), o AS (SELECT user_id, r, count(*) AS n_open FROM last GROUP BY ALL)
+"""
+
+
 _FR, _ER = SLOT_SQL.format("fr"), SLOT_SQL.format("er")
 _SUPERSEDES = "((fr = 'LIVES_IN' AND er IN ('BORN_IN', 'LIVED_IN')) OR (fr = 'WORKS_AT' AND er IN ('WORKED_AT', 'SWITCHED_FROM', 'SWITCHED_TO')))"
 _REDUNDANT = f"fo = eo AND fr <> er AND {FAMILY_SQL.format('fr')} = {FAMILY_SQL.format('er')}"
@@ -237,12 +277,22 @@ ORACLE_SQL = {
     "supersession_pairs": _pair_sql(f"{_SUPERSEDES} AND fo = eo"), "slot_conflict_pairs": _pair_sql(f"{_FR} = {_ER} AND fo <> eo"), "redundant_pairs": _pair_sql(_REDUNDANT),
     "invalidation_pairs": _pair_sql(f"CASE WHEN fr = er AND fo = eo THEN false WHEN {_FR} = {_ER} AND fo <> eo THEN true WHEN fr = 'WORKS_AT' AND er IN ('WORKED_AT', 'SWITCHED_FROM', 'SWITCHED_TO') THEN true WHEN {_SUPERSEDES} AND fo = eo THEN true WHEN {_REDUNDANT} THEN true ELSE false END"),
     "legacy_contradictions": _pair_sql("fr IN (" + ", ".join(f"'{r}'" for r in R.SINGULAR) + ") AND fo <> eo"),
-    "exact_duplicate_drop": "WITH " + CONFLICTING_SQL + f" SELECT edge_id, user_id, relation, object FROM edges f WHERE edge_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.edge_id % 2 = 0 AND e.user_id = f.user_id AND e.object = f.object AND (e.relation = f.relation OR {SLOT_SQL.format('e.relation')} = {SLOT_SQL.format('f.relation')}))",
-    "exact_duplicate_first": "WITH " + CONFLICTING_SQL + f" SELECT edge_id, user_id, relation, object FROM edges f WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.edge_id < f.edge_id AND e.user_id = f.user_id AND e.object = f.object AND (e.relation = f.relation OR {SLOT_SQL.format('e.relation')} = {SLOT_SQL.format('f.relation')}))",
+    "exact_duplicate_drop": "WITH " + CONFLICTING_SQL + f" SELECT edge_id, user_id, relation, object FROM edges f WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.edge_id < f.edge_id AND e.user_id = f.user_id AND e.object = f.object AND (e.relation = f.relation OR {SLOT_SQL.format('e.relation')} = {SLOT_SQL.format('f.relation')}))",
     "profile_latest": "WITH " + PROFILE_EDGES_SQL + ", k AS (SELECT *, CASE relation WHEN 'IS' THEN 'role' WHEN 'WORKS_AT' THEN 'company' WHEN 'LIVES_IN' THEN 'location' END AS key FROM edges), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY valid_at DESC, edge_id) AS n FROM k WHERE key IS NOT NULL) SELECT user_id, key, object AS value, epoch_us(valid_at) AS updated_at FROM n WHERE n = 1",
     "profile_list": "WITH " + PROFILE_EDGES_SQL + ", k AS (SELECT *, CASE relation WHEN 'WORKS_ON' THEN 'current_project' WHEN 'USES' THEN 'current_stack' END AS key FROM edges), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, key, object ORDER BY valid_at DESC, edge_id) AS n FROM k WHERE key IS NOT NULL) SELECT user_id, key, '[' || string_agg('\"' || object || '\"', ',' ORDER BY valid_at DESC, edge_id) || ']' AS value FROM n WHERE n = 1 GROUP BY user_id, key",
     "profile_last_updated": "WITH " + PROFILE_EDGES_SQL + " SELECT user_id, CAST(count(DISTINCT relation) AS INT) AS n_keys, arg_max(object, valid_at) FILTER (relation = 'WORKS_AT') AS company, epoch_us(max(valid_at)) AS last_updated FROM edges GROUP BY user_id",
     "profile_upsert_merge": "SELECT user_id, event_type AS key, arg_max(json_extract_string(props, '$.k'), ts) AS value, epoch_us(max(ts)) AS updated_at FROM events WHERE event_type <> 'error' GROUP BY ALL",
+    "resolve_fold": _fold_sql("edge_id % 17 = 0") + "SELECT CAST(user_id AS VARCHAR) AS user_id, r AS relation, n, coalesce(n_open, 0) AS n_open FROM n LEFT JOIN o USING (user_id, r)",
+    "stream_ingest": _fold_sql("false") + "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(coalesce(n_open, 0)) AS BIGINT) AS n_open FROM n LEFT JOIN o USING (user_id, r) GROUP BY user_id",
+    "as_of_transaction": "WITH " + SCD_SQL + " SELECT edge_id, user_id, relation, object FROM hist WHERE valid_at + INTERVAL 2 DAY <= TIMESTAMP '2024-01-11' AND valid_at <= TIMESTAMP '2024-01-10' AND (invalid_at IS NULL OR invalid_at + INTERVAL 5 DAY > TIMESTAMP '2024-01-11' OR invalid_at > TIMESTAMP '2024-01-10')",
+    "ingest_batch": """WITH e AS (
+  SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'LIVES_IN' WHEN 'purchase' THEN 'WORKS_AT' WHEN 'view' THEN 'USES' ELSE 'PREFERS' END AS relation, 'O' || json_extract_string(props, '$.k') AS object,
+    CASE WHEN ts < TIMESTAMP '2024-01-15' THEN TIMESTAMP '2024-01-15' ELSE TIMESTAMP '2024-06-01' END AS told FROM events WHERE event_type <> 'error'
+), c AS (
+  SELECT *, lag(object) OVER w AS b, row_number() OVER (PARTITION BY user_id, relation, object ORDER BY told, event_id) AS n FROM e WINDOW w AS (PARTITION BY user_id, relation ORDER BY told, event_id)
+), k AS (SELECT * FROM c WHERE CASE WHEN relation = 'PREFERS' THEN n = 1 ELSE b IS NULL OR b <> object END
+), l AS (SELECT *, CASE WHEN relation <> 'PREFERS' THEN lead(told) OVER (PARTITION BY user_id, relation ORDER BY told, event_id) END AS nxt FROM k)
+SELECT event_id, user_id, relation, object, epoch_us(told) AS valid_at, epoch_us(CASE WHEN nxt IS NOT NULL THEN greatest(nxt, told + INTERVAL 1 MILLISECOND) END) AS invalid_at FROM l""",
     "resolve_single_slot": "WITH " + SCD_SQL + " SELECT edge_id, user_id, object, epoch_us(invalid_at) AS invalid_at FROM hist WHERE relation = 'LIVES_IN'",
     "event_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }

@@ -1,18 +1,8 @@
-"""Schemas of the stored tables and of a batch of extracted facts."""
+"""Schemas of the stored tables."""
 
 EPISODES = "id string, user_id string, role string, content string, created_at timestamp_ntz, session_id string, metadata string"
 EDGES = (
-    "id string, user_id string, subject string, relation string, object string, fact_string string, relation_raw string, "
-    "relation_match_score double, review_status string, episode_id string, confidence double, source_span string, "
-    "temporal_status string, valid_at timestamp_ntz, invalid_at timestamp_ntz, created_at timestamp_ntz, retracted_at timestamp_ntz"
+    "id string, user_id string, subject string, relation string, object string, fact_string string, review_status string, "
+    "episode_id string, confidence double, valid_at timestamp_ntz, invalid_at timestamp_ntz, created_at timestamp_ntz, retracted_at timestamp_ntz"
 )
 PROFILE = "user_id string, key string, value string, value_type string, updated_at timestamp_ntz"
-UNKNOWN_RELATIONS = "relation string, relation_raw string, count long, avg_confidence double, status string"
-FACTS = (
-    "episode_id string, user_id string, ordinal int, subject string, relation string, object string, fact_string string, "
-    "confidence double, source_span string, temporal_status string, relation_raw string, relation_match_score double, "
-    "review_status string, source string, retraction_signal boolean"
-)
-NEEDS_REVIEW = FACTS + ", rejection_reason string"
-#: What every retrieval operator returns.
-MEMORY = "edge_id, fact, confidence, valid_at, valid_until, retracted_at, episode_id, score"

@@ -23,15 +23,32 @@ def delete(stored: DataFrame, keys: DataFrame) -> DataFrame:
     return stored.join(keys, keys.columns, "left_anti")
 
 
+def _pointers(spark: SparkSession, root: str):
+    """The folder of pointers and the numbers in it, largest last."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+    return files, place, sorted(int(n) for n in names if n.isdigit())
+
+
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write df as the newest snapshot below root; a pointer file names it once it is whole."""
+    """Write df as the newest snapshot below root; a pointer, the next number, names it once it is whole.
+
+    Of two writers the later fails to make its pointer, and may write again over what the other left.
+    """
     spark = df.sparkSession
     path = f"{root}/snapshot-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("append").text(f"{root}/current")
+    files, place, numbers = _pointers(spark, root)
+    out = files.create(spark._jvm.org.apache.hadoop.fs.Path(place, str(numbers[-1] + 1 if numbers else 0)), False)
+    out.write(bytearray(path.encode()))
+    out.close()
     return path
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    newest = spark.read.text(f"{root}/current").select("value", "_metadata.file_modification_time").orderBy(F.desc("file_modification_time")).head()
-    return spark.read.parquet(newest["value"])
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest snapshot; none before the first."""
+    _, _, numbers = _pointers(spark, root)
+    if not numbers:
+        return None
+    return spark.read.parquet(spark.read.text(f"{root}/current/{numbers[-1]}").head()["value"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..schema import EPISODES
 from .snapshots import append
 
 
@@ -18,7 +19,7 @@ def turn_rows(messages: DataFrame) -> DataFrame:
 def store_turn(messages: DataFrame, path: str) -> DataFrame:
     """Append all messages; return the first id of each user's turn."""
     rows = turn_rows(messages)
-    append(rows, path)
+    append(conformed(rows, EPISODES), path)
     return first_ids(rows)
 
 
@@ -30,6 +31,12 @@ def episode(episodes: DataFrame, key) -> DataFrame:
     return episodes.where(F.col("id") == key)
 
 
+def conformed(df: DataFrame, schema: str) -> DataFrame:
+    """df with the columns of a schema, in its order and types; those that it lacks are null."""
+    kinds = [c.strip().split(" ") for c in schema.split(",")]
+    return df.select(*((F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in kinds))
+
+
 def open_edges(edges: DataFrame, user=None, subject: str | None = None, relation: str | None = None) -> DataFrame:
     """Open edges, of a user, and of one subject and relation."""
     out = edges.where("invalid_at IS NULL")
@@ -59,7 +66,8 @@ CLAUSES = "array<struct<clause:string,status:string>>"
 
 def parsed_clauses(raw: Column, sentence: Column) -> Column:
     """A classifier's answer, code fences aside; unless all of it is well formed, the sentence as one unspecified clause."""
-    found = F.from_json(F.regexp_replace(raw, r"^\s*```(?:json)?\s*|\s*```\s*$", ""), CLAUSES)
+    plain = F.regexp_replace(raw, r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    found = F.when(plain.rlike(r"^\s*\["), F.from_json(plain, CLAUSES))
     good = (F.size(found) > 0) & F.forall(found, lambda c: c["clause"].isNotNull() & F.coalesce(c["status"].isin("PAST", "CURRENT", "FUTURE", "UNSPECIFIED"), F.lit(False)))
     whole = F.array(F.struct(sentence.alias("clause"), F.lit("UNSPECIFIED").alias("status")))
     return F.when(good, found).otherwise(whole)

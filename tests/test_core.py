@@ -4,6 +4,7 @@ import datetime as dt
 import difflib
 import random
 
+import numpy as np
 import pandas as pd
 from hypothesis import given
 from hypothesis import strategies as st
@@ -15,7 +16,7 @@ from recollect.functions import text as T
 from recollect.functions import vectors as V
 from recollect.operators import conflict, ontology, profile, resolve, retrieval, routing, temporal
 from recollect.plans import pipeline
-from recollect.sources import snapshots
+from recollect.sources import snapshots, store
 
 DAY = dt.datetime(2026, 7, 21, 7, 0)
 EDGES = "edge_id string, user_id string, subject string, relation string, object string, valid_at timestamp_ntz, invalid_at timestamp_ntz, retracted_at timestamp_ntz"
@@ -225,14 +226,61 @@ def test_snapshots(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
 
 
-def test_classifier_answers():
-    assert P.clauses_of('```json\n[{"clause": "x", "status": "PAST"}]\n```', "s") == [{"clause": "x", "status": "PAST"}]
-    for bad in ("no json", "[]", '[{"clause": "x", "status": "MAYBE"}]', "{}", None):
-        assert P.clauses_of(bad, "s") == [{"clause": "s", "status": "UNSPECIFIED"}]
+def test_classifier_answers(spark):
+    good, whole = [("x", "PAST")], [("s", "UNSPECIFIED")]
+    raw = {'```json\n[{"clause": "x", "status": "PAST"}]\n```': good, '```JSON\n[{"clause": "x", "status": "PAST"}]\n```': good, "no json": whole, "[]": whole, '[{"clause": "x", "status": "MAYBE"}]': whole, "{}": whole, '{"clause": "x", "status": "PAST"}': whole, None: whole}
+    df = spark.createDataFrame([(r,) for r in raw], "raw string").select("raw", store.parsed_clauses(F.col("raw"), F.lit("s")).alias("c"))
+    assert {r["raw"]: [tuple(c) for c in r["c"]] for r in df.collect()} == raw
     p = P.Offline()
     assert p.embed("") == [0.0] * 768 and p.embed("a b") == p.embed("a b")
 
 
+def test_fuzzy_groups_equal_brute_force(spark, monkeypatch):
+    """Small groups of phrases and of keys, with ties, give what comparing all gives."""
+    monkeypatch.setattr(ontology, "PHRASES_A_TASK", 7)
+    monkeypatch.setattr(ontology, "KEYS_A_TASK", 3)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcd ") for _ in range(r.randint(1, 12)))
+    known = [(" ".join(word().split()) or "a", f"R{k}", k) for k in range(60)]
+    keys = sorted({" ".join(word().split()) for _ in range(40)} - {""})
+    got = ontology.match_fuzzy(spark.createDataFrame([(k,) for k in keys], "phrase string"), spark.createDataFrame(known, "phrase string, relation string, place int"))
+    best = lambda k: max((round(T.similarity(k, p), 3), -place, rel) for p, rel, place in known)
+    assert {x["key"]: (x["score"], x["relation"]) for x in got.collect()} == {k: (best(k)[0], best(k)[2]) for k in keys}
+    none = spark.createDataFrame([], "phrase string, relation string, place int")
+    assert ontology.match_fuzzy(spark.createDataFrame([("a",)], "phrase string"), none).head()["score"] == 0.0
+
+
+def test_near_duplicates_lose_no_pair(spark):
+    r = random.Random(5)
+    rows = [(k, k % 2, [r.gauss(0, 1) + (k % 5) * c for c in (3, -2, 1, 0)]) for k in range(80)] + [(80, 0, [0.0] * 4), (81, 0, []), (82, 1, None)]
+    df = spark.createDataFrame(rows, "edge_id int, user int, vector array<double>")
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, _, v in rows if v and any(v)}
+    for t in (0.2, 0.9, 0.99):
+        want = {(a, b) for a, ua, _ in rows for b, ub, _ in rows if ua == ub and a in unit and b in unit and unit[a] @ unit[b] > t and a != b}
+        assert {(x["edge_id"], x["old_id"]) for x in conflict.near_duplicates(df, df, ["user"], t).where("edge_id <> old_id").collect()} == want
+
+
+def test_turns_are_stored_and_followed(spark, tmp_path):
+    root, schema = str(tmp_path), "user_id string, session_id string, pos int, role string, content string, created_at timestamp_ntz, metadata string"
+    for day, place in enumerate(("Delhi", "Paris")):
+        rows = [("u", f"s{day}", 0, "user", f"I live in {place}.", DAY, None), ("u", f"s{day}", 1, "assistant", "I live in Rome.", DAY, None)]
+        edges, review = pipeline.ingest_turn(spark.createDataFrame(rows, schema), root, P.Offline(), DAY + dt.timedelta(days=day))
+    assert {r["object"]: r["invalid_at"] for r in edges.collect()} == {"Delhi": DAY + dt.timedelta(days=1), "Paris": None}
+    assert review.isEmpty() and spark.read.parquet(f"{root}/episodes").count() == 4
+    assert snapshots.read_snapshot(spark, f"{root}/profiles").where("key = 'location'").head()["value"] == "Paris"
+
+
+def test_blank_queries_and_filters(spark):
+    at = lambda k: DAY + dt.timedelta(hours=k)
+    rows = [(k, "u" if k < 5 else "v", "USES", f"fact alpha {k}", 1.0, "confirmed", at(k), at(9) if k == 1 else None, at(9) if k in (1, 2) else None, "e", [1.0, float(k)]) for k in range(8)]
+    schema = "edge_id int, user_id string, relation string, fact_string string, confidence double, review_status string, valid_at timestamp_ntz, invalid_at timestamp_ntz, retracted_at timestamp_ntz, episode_id string, vector array<double>"
+    e = spark.createDataFrame(rows, schema)
+    assert [r["edge_id"] for r in retrieval.hybrid(e, e, " ", [], user="u").orderBy("position").collect()] == [4, 3, 0]
+    assert retrieval.bm25(e, " ").isEmpty() and retrieval.search(e, e, " ", [1.0, 1.0], True).isEmpty()
+    assert {r["edge_id"] for r in retrieval.search(e, e, "x", [1.0, 1.0], True, user="u").collect()} == {0, 3, 4}
+    assert {r["edge_id"] for r in retrieval.hybrid(e, e, "alpha", [1.0, 1.0], user="v").collect()} == {5, 6, 7}
+
+
 def test_ingest_calls_models_and_closes_what_a_list_leaves_out(spark):
     class Model(P.Offline):
         def extract_structured(self, text, candidates):
@@ -261,9 +309,9 @@ def test_stream_restart_stores_once(spark, tmp_path):
 
     rows = [(str(k), f"u{k % 4}", "LIVES_IN", "ab"[k % 2], DAY + dt.timedelta(minutes=k), k, False) for k in range(40)]
     facts = spark.createDataFrame(rows, ingest.FACTS)
-    at = {k: str(tmp_path / k) for k in ("in", "log", "out", "checkpoint")}
+    at = {k: str(tmp_path / k) for k in ("in", "out", "checkpoint")}
     facts.where("ordinal < 20").coalesce(1).write.parquet(at["in"])
-    run = lambda: ingest.ingest_stream(ingest.fact_stream(spark, at["in"], 1), at["log"], at["out"], at["checkpoint"]).awaitTermination()
+    run = lambda: ingest.ingest_stream(ingest.fact_stream(spark, at["in"], 1), at["out"], at["checkpoint"]).awaitTermination()
     run()
     facts.where("ordinal >= 20").coalesce(1).write.mode("append").parquet(at["in"])
     run()
