@@ -64,29 +64,56 @@ def _rows(schema: str, *rows: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
+def _zip(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+#: Numbers below it take a byte; those below LARGE a byte with their highest bits, and two more.
+SMALL, LARGE = 240, 16 << 16
+
+
 def _pack(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, compressed plane by plane: most are small."""
-    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Numbers, most of them small, compressed in lanes of like bytes; larger ones plane by plane."""
+    v = numbers.astype("<u4")
+    if len(v) and int(v.max()) >= LARGE:
+        return b"p" + _zip(v.view(np.uint8).reshape(-1, 4).T.tobytes())
+    wide = v[v >= SMALL]
+    first = np.where(v < SMALL, v, SMALL + (v >> 16)).astype(np.uint8)
+    return b"l" + _zip(len(v).to_bytes(8, "little") + first.tobytes() + (wide & 255).astype(np.uint8).tobytes() + (wide >> 8 & 255).astype(np.uint8).tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8)
+    if raw[:1] == b"p":
+        return np.ascontiguousarray(body.reshape(4, -1).T).view("<u4").ravel()
+    n = int.from_bytes(body[:8].tobytes(), "little")
+    out = body[8 : 8 + n].astype("<u4")
+    wide = np.flatnonzero(out >= SMALL)
+    low, high = body[8 + n : 8 + n + len(wide)], body[8 + n + len(wide) :]
+    out[wide] = (out[wide] - SMALL << 16) | high.astype("<u4") << 8 | low
+    return out
 
 
 @tidy
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to their chunk's distinct words, in the order of their first places, and to places in these."""
+    """A chunk's documents as places in its distinct words, and these, the most frequent first."""
     from pyspark import TaskContext
 
-    def flush() -> pa.RecordBatch:
-        sketch = [h - (1 << 63) for h in map(xxhash.xxh64_intdigest, words) if h % SKETCHED == 0]
-        return _rows(SPLIT, (chunk, [], b"", zstandard.ZstdCompressor(level=3).compress(b"\n".join(words)), sketch, WORDS))
+    def flush() -> Iterator[pa.RecordBatch]:
+        each = np.concatenate(codes)
+        order = np.argsort(-np.bincount(each, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        yield _rows(SPLIT, (chunk, docs, _pack(np.array(sizes, np.int64)), _pack(rank[each]), [], DOCS))
+        if words:
+            known = list(words)
+            sketch = [h - (1 << 63) for h in map(xxhash.xxh64_intdigest, known) if h % SKETCHED == 0]
+            yield _rows(SPLIT, (chunk, [], b"", _zip(b"\n".join([known[i] for i in order.tolist()])), sketch, WORDS))
 
     words: dict[bytes, int] = {}
-    chunk, seen = TaskContext.get().partitionId() << 24, 0
+    docs, sizes, codes, seen = [], [], [], 0
+    chunk = TaskContext.get().partitionId() << 24
     for b in batches:
-        docs, sizes, codes = [], [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             raw = (text.as_py() or "").encode()
             seen += len(raw)
@@ -99,13 +126,11 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(doc)
             sizes.append(len(code))
             codes.append(np.array(code, "<u4"))
-        if docs:
-            yield _rows(SPLIT, (chunk, docs, np.array(sizes, "<u4").tobytes(), _pack(np.concatenate(codes)), [], DOCS))
         if seen >= CHUNK_BYTES:
-            yield flush()
-            chunk, seen, words = chunk + 1, 0, {}
-    if words:
-        yield flush()
+            yield from flush()
+            chunk, seen, words, docs, sizes, codes = chunk + 1, 0, {}, [], [], []
+    if docs:
+        yield from flush()
 
 
 def _deal(buckets: int):
@@ -120,8 +145,8 @@ def _deal(buckets: int):
                 order = np.argsort(of, kind="stable")
                 edges = np.flatnonzero(np.diff(of[order])) + 1
                 for own in np.split(order, edges):
-                    raw = zstandard.ZstdCompressor(level=1).compress(b"\n".join([words[i] for i in own.tolist()]))
-                    yield _rows(DEALT, (chunk, int(of[own[0]]), _pack(own), b"", raw))
+                    raw = _zip(b"\n".join([words[i] for i in own.tolist()]))
+                    yield _rows(DEALT, (chunk, int(of[own[0]]), _pack(np.diff(own, prepend=0)), b"", raw))  # places ascend
 
     return run
 
@@ -145,7 +170,7 @@ def _encode(vocab_path: str, cache_words: int):
                         known[w] = np.array(e.ids, kind).tobytes()
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                yield _rows(DEALT, (r["chunk"], at, r["codes"], _pack(sizes), zstandard.ZstdCompressor(level=1).compress(b"".join(ids))))
+                yield _rows(DEALT, (r["chunk"], at, r["codes"], _pack(sizes), _zip(b"".join(ids))))
 
     return run
 
@@ -157,7 +182,7 @@ def _join(vocab_path: str):
         t = tokenizer(vocab_path)
         kind = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
         pieces = [((t.id_to_token(i) or "") + " ").encode() for i in range(t.get_vocab_size())]
-        lists = [(_unpack(r["codes"]).tolist(), (_unpack(r["sizes"]).astype(np.int64) // kind.itemsize).tolist(), zstandard.ZstdDecompressor().decompress(r["body"])) for r in ids.to_pylist()]
+        lists = [(np.cumsum(_unpack(r["codes"]), dtype=np.int64).tolist(), (_unpack(r["sizes"]).astype(np.int64) // kind.itemsize).tolist(), zstandard.ZstdDecompressor().decompress(r["body"])) for r in ids.to_pylist()]
         n = sum(len(codes) for codes, _, _ in lists)
         ids_of, text_of = [b""] * n, [b""] * n
         for codes, sizes, body in lists:
@@ -171,7 +196,7 @@ def _join(vocab_path: str):
         out: list[tuple] = []
         for r in docs.to_pylist():
             words, s = _unpack(r["body"]).tolist(), 0
-            for doc, size in zip(r["doc_id"], np.frombuffer(r["sizes"], "<u4").tolist(), strict=True):
+            for doc, size in zip(r["doc_id"], _unpack(r["sizes"]).tolist(), strict=True):
                 own = words[s : s + size]
                 s += size
                 raw, text = b"".join(map(ids_of.__getitem__, own)), b"".join(map(text_of.__getitem__, own))[:-1]

@@ -704,3 +704,9 @@ def test_scratch_is_shared_and_goes(spark):
     common.discard(df, None, spark.range(1))
     assert not os.path.exists(path)
     assert common.fresh(spark.range(1).selectExpr("id", "id AS `ID_`"), "id") == "id__"
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(1)
+    for v in (np.zeros(0), np.arange(500), r.integers(0, 1 << 20, 3000), r.integers(0, 1 << 32, 3000), np.array([239, 240, (16 << 16) - 1]), np.array([16 << 16])):
+        assert (bpe._unpack(bpe._pack(v.astype(np.int64))) == v).all()
