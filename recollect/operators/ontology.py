@@ -109,6 +109,13 @@ def learned(normalized: DataFrame, known: DataFrame, col: str = "phrase") -> Dat
     return known.unionByName(new.withColumn("place", after.cast("int")))
 
 
+def learn(known: DataFrame, new: DataFrame) -> DataFrame:
+    """known with aliases told outright (alias, relation), which take the place of equal ones; blank ones are left out."""
+    told = new.select(T.alias_key(F.col("alias")).alias("phrase"), F.upper("relation").alias("relation")).where("phrase <> '' AND relation <> ''")
+    told = told.groupBy("phrase").agg(F.max("relation").alias("relation")).withColumn("place", F.lit(-1))
+    return known.join(told.select("phrase"), "phrase", "left_anti").select("phrase", "relation", "place").unionByName(told)
+
+
 def match_meaning(phrases: DataFrame, described: list[tuple[str, list[float]]], threshold: float = R.SEMANTIC_THRESHOLD) -> DataFrame:
     """phrases (with vector) and their nearest described relation at or over the threshold, the first of equals."""
     scored = F.array(*(F.struct(F.round(V.cosine(F.col("vector"), V.literal(v)), 9).alias("score"), F.lit(-k).alias("p"), F.lit(r).alias("relation")) for k, (r, v) in enumerate(described)))
@@ -141,6 +148,11 @@ def combine_unknown(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("relation").agg(F.sum("count").alias("count"), (F.sum(F.col("avg_confidence") * F.col("count")) / F.sum("count")).alias("avg_confidence"))
 
 
+def pending(stored: DataFrame, promoted: DataFrame) -> DataFrame:
+    """Unknown relations still in the queue: those seen, but for the promoted ones."""
+    return stored.join(promoted.select("relation"), "relation", "left_anti")
+
+
 def promotions(sightings: DataFrame, order: list[str], count: int = R.PROMOTE_COUNT, confidence: float = R.PROMOTE_CONFIDENCE) -> DataFrame:
     """The first sighting of each relation by which it was seen often and surely enough."""
     c = F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0))

@@ -9,6 +9,7 @@ later ones.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from itertools import groupby
 
 import numpy as np
@@ -57,6 +58,33 @@ def similarities(provider: Provider):
     return compare
 
 
+#: Relations whose edges a new fact may close, whatever their objects.
+RIVALS = {
+    r: tuple(dict.fromkeys([*(o for o, slot in R.SLOTS.items() if slot == R.SLOTS.get(r)), *((*R.PAST_EMPLOYMENT, *R.TRANSITIONS, "WORKS_AT") if r in R.CURRENT_EMPLOYMENT else ())]))
+    for r in (*R.SLOTS, *R.CURRENT_EMPLOYMENT)
+}
+
+
+class OpenEdges:
+    """A user's open edges, found by relation and by key, so that a fact meets those it may concern."""
+
+    def __init__(self):
+        self.by_relation: dict[str, dict[int, dict]] = defaultdict(dict)
+        self.by_key: dict[str, dict[int, dict]] = defaultdict(dict)
+
+    def add(self, e: dict) -> None:
+        self.by_relation[e["relation"]][id(e)] = self.by_key[e["key"]][id(e)] = e
+
+    def drop(self, e: dict) -> None:
+        del self.by_relation[e["relation"]][id(e)], self.by_key[e["key"]][id(e)]
+
+    def of(self, relation: str) -> list[dict]:
+        return list(self.by_relation[relation].values()) if relation in self.by_relation else []
+
+    def with_key(self, key: str) -> list[dict]:
+        return list(self.by_key[key].values()) if key in self.by_key else []
+
+
 def fold(facts: list[dict], provider: Provider | None = None) -> list[dict]:
     """Edges of one user's facts (edge_id, relation, object, valid_at, retraction, fact_string), in order of storing.
 
@@ -64,41 +92,41 @@ def fold(facts: list[dict], provider: Provider | None = None) -> list[dict]:
     retract_category closes the open edges of that category (USES alone) which the episode's facts do not name.
     """
     stored: list[dict] = []
-    current: list[dict] = []
+    current = OpenEdges()
     compare = provider and similarities(provider)
 
     def close(e: dict, at: pd.Timestamp) -> None:
         e["invalid_at"], e["retracted_at"] = max(at, e["valid_at"] + pd.Timedelta(milliseconds=1)), at
+        current.drop(e)
 
     def store(f: dict) -> None:
-        nonlocal current
         rel, obj, said = f["relation"].upper(), _key(f["object"]), f.get("fact_string")
         if f.get("stored"):
             ends = {c: None if pd.isna(f[c]) else f[c] for c in ("invalid_at", "retracted_at")}
             stored.append({"edge_id": f["edge_id"], "user_id": f["user_id"], "relation": rel, "object": f["object"], "key": obj, "said": said, "valid_at": f["valid_at"], **ends})
             if ends["invalid_at"] is None:
-                current.append(stored[-1])
+                current.add(stored[-1])
             return
         if not f["retraction"]:
-            if rel in R.PAST_EMPLOYMENT and any(e["relation"] == "WORKS_AT" for e in current):
+            if rel in R.PAST_EMPLOYMENT and current.of("WORKS_AT"):
                 return
-            slot = R.SLOTS.get(rel)
-            if any(e["key"] == obj and (e["relation"] == rel or (slot and R.SLOTS.get(e["relation"]) == slot)) for e in current):
+            slot, same = R.SLOTS.get(rel), current.with_key(obj)
+            if any(e["relation"] == rel or (slot and R.SLOTS.get(e["relation"]) == slot) for e in same):
                 return
-            alike = [e for e in current if e["relation"] == rel] if compare else []
+            alike = current.of(rel) if compare else []
             near = compare(said, [e["said"] for e in alike]) if alike else []
             if any(s > R.DEDUP_THRESHOLD or (s >= R.DEDUP_MODEL_THRESHOLD and provider.same_fact(said, e["said"])) for e, s in zip(alike, near, strict=True)):
                 return
-            conflicting = {id(e) for e, s in zip(alike, near, strict=True) if s >= R.CONFLICT_THRESHOLD and e["key"] != obj}
-            for e in current:
-                if id(e) in conflicting or should_close(rel, obj, e["relation"], e["key"]):
-                    close(e, f["valid_at"])
-            current = [e for e in current if e["invalid_at"] is None]
+            conflicting = [e for e, s in zip(alike, near, strict=True) if s >= R.CONFLICT_THRESHOLD and e["key"] != obj]
+            rivals = [e for r in RIVALS.get(rel, ()) for e in current.of(r)] + same
+            closed = {id(e): e for e in conflicting + [e for e in rivals if should_close(rel, obj, e["relation"], e["key"])]}
+            for e in closed.values():
+                close(e, f["valid_at"])
         row = {"edge_id": f["edge_id"], "user_id": f["user_id"], "relation": rel, "object": f["object"], "key": obj, "said": said, "valid_at": f["valid_at"], "invalid_at": None, "retracted_at": None}
         if f["retraction"]:
             row["invalid_at"], row["retracted_at"] = f["valid_at"] + pd.Timedelta(milliseconds=1), f["valid_at"]
         else:
-            current.append(row)
+            current.add(row)
         stored.append(row)
 
     for (at, _), batch in groupby(facts, lambda f: (f["valid_at"], f.get("episode_id"))):
@@ -107,10 +135,9 @@ def fold(facts: list[dict], provider: Provider | None = None) -> list[dict]:
             store(f)
         if any(str(f.get("retract_category")).upper() == "USES" for f in own):
             keep = {f["object"].strip().lower() for f in own if f["relation"].upper() == "USES" and not f["retraction"]}
-            for e in current:
-                if e["relation"] == "USES" and e["object"].strip().lower() not in keep:
+            for e in current.of("USES"):
+                if e["object"].strip().lower() not in keep:
                     close(e, at)
-            current = [e for e in current if e["invalid_at"] is None]
     return stored
 
 

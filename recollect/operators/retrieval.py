@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +102,11 @@ def fuse(keyword: DataFrame, vector: DataFrame, k: int = R.RRF_K) -> DataFrame:
     return both.withColumn("position", F.row_number().over(order) - 1).drop("a", "b")
 
 
-def fit_budget(ranked: DataFrame, budget: int | None = R.TOKEN_BUDGET, keys: list[str] | None = None, order: str = "position", text: str = "fact") -> DataFrame:
-    """The prefix whose tokens fit; every item counts at least one token, so that no more rows than the budget are summed."""
+def fit_budget(ranked: DataFrame, budget: int | None = R.TOKEN_BUDGET, keys: list[str] | None = None, order: str = "position", text: str = "fact", count: Callable[[Column], Column] = T.token_count) -> DataFrame:
+    """The prefix whose tokens fit; every item counts at least one token, so that no more rows than the budget are counted and summed."""
     budget = budget or R.TOKEN_BUDGET
     own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
-    first = ranked.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= budget).withColumn("tokens", T.token_count(F.col(text)))
+    first = ranked.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= budget).withColumn("tokens", count(F.col(text)))
     total = F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return first.withColumn("total_tokens", total).where(F.col("total_tokens") <= budget).drop("__n")
 

@@ -13,6 +13,11 @@ def judge(confidence: Column, status: Column | None = None, store: float = R.STO
     return F.when(confidence >= store, "store").when(confidence >= review, "review").otherwise("discard")
 
 
+def review_status(tier: Column) -> Column:
+    """What a tier of normalization is stored as; an unnamed tier is pending."""
+    return T.lookup(tier, R.TIER_STATUS, "pending")
+
+
 def judged(facts: DataFrame, **limits: float) -> DataFrame:
     """Facts but the discarded; a fact for review is no longer confirmed."""
     out = facts.withColumn("action", judge(F.col("confidence"), **limits)).where("action <> 'discard'")
@@ -44,10 +49,18 @@ def grounded(span: Column, text: Column) -> Column:
     return (t != "") & F.contains(F.lower(T.strip(text)), F.lower(t))
 
 
+def entity_type(obj: Column) -> Column:
+    """What an object seems to be: an animal or an object by list, a location by its words or as one word with a capital; null if nothing tells."""
+    low = F.lower(T.strip(obj))
+    listed = low.isin(*R.NOT_LOCATIONS) | F.coalesce(T.head(obj).isin(*R.NOT_LOCATIONS), F.lit(False))
+    place = obj.rlike(R.LOCATION_LIKE) | ((T.word_count(obj) == 1) & obj.rlike(r"^\p{Lu}"))
+    return F.when(listed, F.when(low.isin(*R.ANIMALS), "animal").otherwise("object")).when(place, "location")
+
+
 def lives_in_valid(relation: Column, obj: Column, span: Column) -> Column:
     """Residences are places: not animals or things by list, not those one lives with."""
-    low, said = F.lower(T.strip(obj)), F.lower(F.coalesce(span, F.lit("")))
-    bad = low.isin(*R.NOT_LOCATIONS) | F.coalesce(T.head(obj).isin(*R.NOT_LOCATIONS), F.lit(False))
+    said = F.lower(F.coalesce(span, F.lit("")))
+    bad = F.coalesce(entity_type(obj) != "location", F.lit(False))
     return (F.upper(relation) != "LIVES_IN") | ~(bad | F.contains(said, F.lit("live with")) | F.contains(said, F.lit("lives with")))
 
 

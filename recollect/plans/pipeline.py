@@ -88,8 +88,8 @@ def extract_facts(episodes: DataFrame, provider: P.Provider) -> DataFrame:
     facts = candidate_facts(episodes, provider)
     known = ontology.aliases(episodes.sparkSession)
     named = ontology.by_meaning(written(ontology.normalize(facts, known, "relation_raw")), provider, "relation_raw").where("tier IN ('confirmed', 'fuzzy')")
-    named = named.withColumn("relation", routing.pet_relation(F.col("relation"), F.col("source_span"))).withColumn("review_status", F.col("tier"))
-    named = routing.judged(routing.merge(named, ["episode_id"]).withColumn("ordinal", F.col("position")).drop("position"))
+    named = named.withColumn("relation", routing.pet_relation(F.col("relation"), F.col("source_span"))).withColumn("review_status", routing.review_status(F.col("tier")))
+    named = routing.merge(named, ["episode_id"]).withColumn("ordinal", F.col("position")).drop("position")
     named = named.withColumns({
         "fact_string": T.fact_string(F.col("subject"), F.col("relation"), F.col("object")),
         "source_span": routing.inferred_span(F.col("content"), F.col("source_span"), F.col("object")),

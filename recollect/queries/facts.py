@@ -64,6 +64,31 @@ def alias_semantic(spark, sf_dir):
     return ontology.match_meaning(v, described, 0.3).select("edge_id", "relation", "match_score")
 
 
+#: Objects that lists, words and capitals tell.
+OBJECTS = ("cats", "Guitar", "Luna park", "New York city", "Delhi", "Ålesund", "somewhere", "a big town", "", "two Words")
+
+
+def entity_types(spark, sf_dir):
+    """What objects seem to be, of a list and of the customers' names and segments."""
+    own = spark.createDataFrame([(k, o) for k, o in enumerate(OBJECTS)], "id long, object string")
+    c = S.table(spark, sf_dir, "customer").select((F.col("c_custkey") + len(OBJECTS)).alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_name")).alias("object"))
+    return own.unionByName(c).select("id", routing.entity_type(F.col("object")).alias("type"))
+
+
+def aliases_told(spark, sf_dir):
+    """Phrases normalized with two aliases told outright, one of them in the place of another."""
+    told = spark.createDataFrame([("Obsessed-with", "likes_much"), ("prefer", "USES"), (" ", "X")], "alias string, relation string")
+    out = ontology.normalize(_phrases(spark, sf_dir).select("id", "phrase").where("phrase IN ('obsessed with', 'prefer', 'uses')"), ontology.learn(ontology.aliases(spark), told))
+    return out.select("id", "relation", "tier")
+
+
+def pending_unknowns(spark, sf_dir):
+    """Phrases seen, but for those seen often and surely enough."""
+    p = _phrases(spark, sf_dir).select("id", "ts", F.col("phrase").alias("relation"), "confidence")
+    out = ontology.pending(ontology.unknown_statistics(p), ontology.promotions(p, ["ts", "id"], 60, 0.35))
+    return out.select("relation", "count", F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
 def unknown_relation_stats(spark, sf_dir):
     """Statistics of each phrase, the odd half combined with those stored of the even half."""
     p = _phrases(spark, sf_dir).select("id", F.col("phrase").alias("relation"), "confidence")
@@ -240,7 +265,7 @@ def pipeline_scenario(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_token, alias_key, object_trim, alias_exact, alias_fuzzy, learned_aliases, alias_semantic, unknown_relation_stats, auto_promote, judge_routing, gate_routing, review_counts,
+        canonical_token, alias_key, object_trim, alias_exact, alias_fuzzy, learned_aliases, alias_semantic, entity_types, aliases_told, pending_unknowns, unknown_relation_stats, auto_promote, judge_routing, gate_routing, review_counts,
         merge_candidates, prefer_model, engagement_collapse, batch_dedupe, slot_winner_by_position, grounding_check, infer_span, sentence_split, clause_overlap, clause_containment,
         first_message_episode, profile_values, past_tense_signal, exhaustive_signal, technology_filter, lives_in_guard, source_validation, pipeline_scenario,
     )
@@ -286,6 +311,11 @@ ORACLE_SQL = {
     "object_trim": f"SELECT doc_id AS edge_id, array_to_string({_WORDS.format(chr(114) + 'egexp_replace(regexp_replace(text, ' + chr(39) + '^[ ]+|[ ]+$' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '^[.,;:!?]+|[.,;:!?]+$' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}[1:3], ' ') AS object, CAST(len({_WORDS.format('text')}) AS INT) AS n_words FROM documents",
     "alias_exact": f"SELECT id, relation, {_BEHAVIOR} AS behavior FROM {_PHRASE} p JOIN {_EXACT} ON phrase_ = {_KEY.format('phrase')}",
     "alias_semantic": "WITH q AS (SELECT vec_id, embedding, (['" + "', '".join(R.DESCRIPTIONS) + "'])[vec_id] AS name FROM embeddings WHERE vec_id BETWEEN 1 AND 6), s AS (SELECT e.vec_id AS edge_id, q.vec_id AS k, q.name, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings e, q) SELECT edge_id, CASE WHEN score >= 0.3 THEN name END AS relation, round(score, 3) AS match_score FROM s QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY score DESC, k) = 1",
+    "entity_types": f"WITH o AS ({_values(list(enumerate(OBJECTS)), 'id, object')} UNION ALL SELECT c_custkey + {len(OBJECTS)}, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_name END FROM customer) "
+    f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN lower(object) IN {R.NOT_LOCATIONS} OR split_part(lower(object), ' ', 1) IN {R.NOT_LOCATIONS} THEN CASE WHEN lower(object) IN {R.ANIMALS} THEN 'animal' ELSE 'object' END "
+    f"WHEN regexp_matches(object, '{R.LOCATION_LIKE}') OR (object <> '' AND NOT contains(object, ' ') AND regexp_matches(object, '^\\p{{Lu}}')) THEN 'location' END AS type FROM o",
+    "aliases_told": f"SELECT id, CASE phrase WHEN 'prefer' THEN 'USES' ELSE 'LIKES_MUCH' END AS relation, 'confirmed' AS tier FROM {_PHRASE} WHERE phrase IN ('obsessed with', 'prefer')",
+    "pending_unknowns": f"WITH s AS (SELECT phrase, count(*) OVER w AS n, avg(greatest(least(confidence, 1), 0)) OVER w AS m FROM {_PHRASE} WINDOW w AS (PARTITION BY phrase ORDER BY ts, id)) SELECT phrase AS relation, count(*) AS count, round(avg(confidence), 6) AS avg_confidence FROM {_PHRASE} WHERE phrase NOT IN (SELECT phrase FROM s WHERE n >= 60 AND round(m, 9) >= 0.35) GROUP BY phrase",
     "unknown_relation_stats": f"SELECT phrase AS relation, count(*) AS count, round(avg(confidence), 6) AS avg_confidence FROM {_PHRASE} GROUP BY phrase",
     "auto_promote": f"WITH s AS (SELECT phrase AS relation, count(*) OVER w AS count, avg(greatest(least(confidence, 1), 0)) OVER w AS m FROM {_PHRASE} WINDOW w AS (PARTITION BY phrase ORDER BY ts, id)) SELECT relation, count, round(m, 6) AS avg_confidence FROM s WHERE count >= 20 AND round(m, 9) >= 0.1 QUALIFY row_number() OVER (PARTITION BY relation ORDER BY count) = 1",
     "judge_routing": "WITH " + _REVIEWED + " SELECT doc_id, CASE WHEN confidence >= 0.7 THEN 'store' ELSE 'review' END AS action, CASE WHEN confidence < 0.7 AND review_status = 'confirmed' THEN 'pending' ELSE review_status END AS review_status FROM r WHERE confidence >= 0.4",

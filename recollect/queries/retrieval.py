@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from .. import scratch
+from ..functions import tokens
 from ..functions import vectors as V
 from ..operators import conflict, retrieval, temporal
 from ..providers import Offline, embedded
@@ -28,6 +29,15 @@ def token_budget_prefix(spark, sf_dir):
     return out.select("source", "edge_id", "tokens", "total_tokens")
 
 
+def token_budget_bpe(spark, sf_dir):
+    """The same with the tokens of a byte-pair vocabulary."""
+    import public_tokenizers as P
+
+    docs = S.corpus(spark, sf_dir).withColumnRenamed("fact_string", "fact")
+    out = retrieval.fit_budget(docs, 2000, ["source"], "edge_id", count=tokens.bpe_count(P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    return out.select("source", "edge_id", "tokens", "total_tokens")
+
+
 def bm25_topk(spark, sf_dir):
     return retrieval.bm25(S.corpus(spark, sf_dir), QUERY)
 
@@ -144,7 +154,7 @@ def bm25_indexed(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        token_budget_prefix, bm25_topk, bm25_per_tenant, vector_topk, vector_topk_per_tenant, rrf_hybrid, hybrid_retrieve, audit_search, blank_query,
+        token_budget_prefix, token_budget_bpe, bm25_topk, bm25_per_tenant, vector_topk, vector_topk_per_tenant, rrf_hybrid, hybrid_retrieve, audit_search, blank_query,
         paraphrase_conflicts, near_duplicate_skip, missing_vectors, repaired_vectors, hybrid_blank, vector_search_valid, bm25_indexed,
     )
 }

@@ -83,6 +83,9 @@ TECHNOLOGY = (
 COMPANY_LIKE = r"(?i)\b(?:inc|llc|labs|corp|corporation|company|google|deepmind|stripe|slice|microsoft|amazon|meta|apple)\b"
 ENGAGEMENT = {"LEARNING": 60, "HAS_SKILL": 55, "PLAYS": 50, "PLAYED": 45, "USES": 40, "ENJOYS": 30, "INTERESTED_IN": 20, "PREFERS": 10}
 NOT_LOCATIONS = ("cat", "cats", "dog", "dogs", "pet", "pets", "guitar", "piano", "car", "bike", "luna", "milo")
+ANIMALS = ("cat", "cats", "dog", "dogs", "pet", "pets", "luna", "milo")
+LOCATION_LIKE = r"(?i)\b(?:city|town|state|country|street|avenue|delhi|london|paris|san francisco|new york|bangalore|mumbai|berlin|tokyo)\b"
+TIER_STATUS = {"confirmed": "confirmed", "fuzzy": "fuzzy", "unknown": "unknown", "reject": "rejected"}
 BORN = r"(?i)\b(?:born|birth)\b"
 PAST_TENSE = r"(?i)\b(?:used to work(?:\s+at|\s+for)?|previously worked(?:\s+at|\s+for)?|was at|worked at|worked for|had worked(?:\s+at|\s+for)?)\b"
 EXHAUSTIVE = r"(?i)\b(?:mainly use|mostly use|primarily use|only use|just use|work with|working with|I use)\b"

@@ -318,3 +318,20 @@ def test_stream_restart_stores_once(spark, tmp_path):
     run()
     got = ingest.current_edges(spark, at["out"]).select("edge_id", "invalid_at").orderBy("edge_id").collect()
     assert got == resolve.resolve(facts).select("edge_id", "invalid_at").orderBy("edge_id").collect()
+
+
+def test_byte_pair_counts_fill_the_budget(spark):
+    import public_tokenizers
+    import tiktoken
+
+    from recollect.functions import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(k, t) for k, t in enumerate(["I work at Slice.", "", None, "naïve 😀 words", "x" * 50])]
+    df = spark.createDataFrame(rows, "position int, fact string")
+    count = tokens.bpe_count(path, public_tokenizers.PATTERN)
+    encoding = tokens._encoding(path, public_tokenizers.PATTERN)
+    assert isinstance(encoding, tiktoken.Encoding)
+    want = [max(1, len(encoding.encode_ordinary(t or ""))) for _, t in rows]
+    got = retrieval.fit_budget(df, sum(want[:4]), count=count).orderBy("position").collect()
+    assert [r["tokens"] for r in got] == want[:4]
