@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm import packing, passages, pii, rules, simhash
-from recollect.llm.common import materialize
+from recollect.llm.common import discard, materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        kept = materialize(stage(spark, docs, sf_dir))
+        discard(docs)  # a stage's table goes when the next one is written
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
