@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, types
 from pyspark.sql import functions as F
 
 from .. import refdata as R
@@ -82,33 +85,128 @@ def without_earlier_duplicate(edges: DataFrame) -> DataFrame:
     return both.where(~F.coalesce(earlier, F.lit(False))).select(*edges.columns)
 
 
-def _banded(df: DataFrame, threshold: float, around: int, pivots: int = 2) -> DataFrame:
-    """df with its unit vector and the band of its angle to each of some fixed directions; with around, also in the bands beside it.
-
-    Two vectors at an angle have angles to any direction that differ by no more: pairs over the threshold share a band or
-    are in adjacent ones.
+#: Buckets that keys are counted in at most; rows and bytes of a strip's vectors at most.
+BUCKETS, STRIP, STRIP_BYTES = 4096, 32768, 16 << 20
+
+
+def _matrix(vectors: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as rows, shorter ones filled with zeros, and their lengths; norms are summed from left to right."""
+    lists = vectors.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    squares = np.zeros(len(sizes))
+    with np.errstate(all="ignore"):
+        for k in range(width):
+            squares += out[:, k] * out[:, k]
+        return out / np.sqrt(squares)[:, None], sizes
+
+
+def _compared(new: pa.Table, old: pa.Table, on: list[str], threshold: float, earlier: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of new, rows of old, similarities) over the threshold, a few rows of new at a time; a row of new is in one of them."""
+    width = max(pc.max(pc.list_value_length(t["vector"])).as_py() for t in (new, old))
+    (f, f_size), (e, e_size) = _matrix(new["vector"], width), _matrix(old["vector"], width)
+    codes: dict[tuple, int] = {}
+    f_key, e_key = (np.array([codes.setdefault(k, len(codes)) for k in zip(*(t[c].to_pylist() for c in on), strict=True)], np.int64) for t in (new, old))
+    f_order, e_order = np.argsort(f_key, kind="stable"), np.argsort(e_key, kind="stable")
+    at = np.arange(len(codes) + 1)
+    f_at, e_at = np.searchsorted(f_key[f_order], at), np.searchsorted(e_key[e_order], at)
+    for k in np.flatnonzero((np.diff(f_at) > 0) & (np.diff(e_at) > 0)).tolist():
+        right = e_order[e_at[k] : e_at[k + 1]]
+        own, step = e[right].T, max(1, (1 << 22) // len(right))
+        for start in range(f_at[k], f_at[k + 1], step):
+            left = f_order[start : min(start + step, f_at[k + 1])]
+            with np.errstate(all="ignore"):
+                s = f[left] @ own
+                s[f_size[left][:, None] != e_size[right][None, :]] = 0.0
+                i, j = np.nonzero((np.abs(s - threshold) < 1e-12) & (f_size[left][:, None] == e_size[right][None, :]))
+                exact = np.zeros(len(i))  # so near, the order of the sum decides
+                for d in range(width if len(i) else 0):
+                    exact += f[left[i], d] * e[right[j], d]
+                s[i, j] = exact
+                i, j = np.nonzero(~(s <= threshold))
+            a, b, s = left[i], right[j], s[i, j]
+            if earlier and len(a):
+                hit = pc.less(old["old_id"].take(pa.array(b)), new["edge_id"].take(pa.array(a))).to_numpy()
+                a, b, s = a[hit], b[hit], s[hit]
+            if len(a):
+                yield a, b, s
+
+
+def _cells(new: DataFrame, edges: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the number of a cell (__cell): any two rows of equal keys, one of each side, meet in one.
+
+    Keys go to buckets, the rows of a bucket to strips of bounded size, whatever their keys; a cell is a strip of each side.
     """
-    wide = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
-    unit = F.when(V.norm(F.col("vector")) > 0, F.transform("vector", lambda x: x / V.norm(F.col("vector"))))
-    out = df.withColumn("__unit", unit).where("__unit IS NOT NULL")
-    for k in range(pivots):
-        sign = lambda i, k=k: F.pmod(F.xxhash64(F.lit(k), i), F.lit(2)) * 2 - 1
-        along = F.aggregate(F.transform("__unit", lambda x, i: x * sign(i)), F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size("__unit"))
-        band = F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along))) / wide).cast("int")
-        out = out.withColumn(f"__b{k}", F.explode(F.array(*(band + d for d in range(-around, around + 1)))))
-    return out
-
-
-def near_duplicates(new: DataFrame, edges: DataFrame, on: list[str], threshold: float = R.DEDUP_THRESHOLD) -> DataFrame:
+    spark = new.sparkSession
+    keyed = lambda df, k: df.select(*on, k, V.doubles(F.col("vector")).alias("vector")).where(V.norm(F.col("vector")) > 0).dropna(subset=on).withColumn("__hash", F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).cast("int"))
+    f, e = keyed(new, "edge_id"), keyed(edges, "old_id")
+    count = lambda df, side: df.groupBy("__hash").agg(F.lit(side).alias("side"), F.count("*").alias("n"), F.max(F.size("vector")).alias("width"))
+    counted = count(f, 0).unionByName(count(e, 1)).collect()  # at most a row a bucket and side
+    total, width = sum(r["n"] for r in counted), max((r["width"] for r in counted), default=1)
+    most = max(256, min(STRIP, STRIP_BYTES // (8 * width)))
+    buckets = 256
+    while buckets < BUCKETS and buckets * most < total:
+        buckets *= 2
+    sizes: dict[int, list[int]] = {}
+    for r in counted:
+        sizes.setdefault(r["__hash"] % buckets, [0, 0])[r["side"]] += r["n"]
+    strip = min(most, max(4096, max((max(n) for n in sizes.values()), default=0) // 8))
+    rows, first = [], 0
+    for bucket, (a, b) in sorted(sizes.items()):
+        a, b = -(-a // strip), -(-b // strip)
+        if a and b:
+            rows.append((bucket, first, a, b))
+            first += a * b
+    plan = F.broadcast(spark.createDataFrame(rows, "__bucket int, __first long, __new int, __old int"))
+    own = lambda k, n: F.pmod(F.xxhash64(F.lit(7), k), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    n = max(spark.sparkContext.defaultParallelism, min(first, 4096))
+
+    def dealt(df: DataFrame, k: str, a, b) -> DataFrame:
+        df = df.withColumn("__bucket", F.col("__hash") % buckets).join(plan, "__bucket").withColumn("__a", a).withColumn("__b", b)
+        return df.select((F.col("__first") + F.col("__a") * F.col("__old") + F.col("__b")).alias("__cell"), *(F.col(c).alias(c) for c in (*on, k, "vector"))).repartition(n, "__cell")
+
+    return dealt(f, "edge_id", own("edge_id", "__new"), each("__old")), dealt(e, "old_id", each("__new"), own("old_id", "__old"))
+
+
+def _sides(new: DataFrame, edges: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    return new.select(*on, "vector", "edge_id"), edges.select(*on, "vector", F.col("edge_id").alias("old_id"))
+
+
+def near_duplicates(new: DataFrame, edges: DataFrame, on: list[str], threshold: float = R.DEDUP_THRESHOLD, earlier: bool = False) -> DataFrame:
     """New rows (edge_id, vector) for which an edge with equal keys is more similar than the threshold: (edge_id, on, old_id, similarity).
 
-    Vectors are scaled once, and only those in bands that the threshold allows are compared; zero vectors are like none.
+    Strips of vectors are compared by products of matrices; zero vectors are like none. With earlier, only edges of smaller ids count.
     """
-    bands = ["__b0", "__b1"]
-    e = _banded(edges.select(*on, F.col("vector"), F.col("edge_id").alias("old_id")), threshold, 1).select(*on, *bands, "old_id", F.col("__unit").alias("__old"))
-    f = _banded(new.select(*on, "vector", "edge_id"), threshold, 0).select(*on, *bands, "edge_id", "__unit")
-    same = F.when(F.size("__unit") == F.size("__old"), V.dot(F.col("__unit"), F.col("__old"))).otherwise(0.0)
-    return f.join(e, [*on, *bands]).select(*on, "edge_id", "old_id", same.alias("similarity")).where(F.col("similarity") > threshold)
+    f, e = _sides(new, edges, on)
+    schema = types.StructType([*(f.schema[c] for c in on), f.schema["edge_id"], e.schema["old_id"], types.StructField("similarity", types.DoubleType())])
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        own = pa.schema([*(x.schema.field(c) for c in (*on, "edge_id")), y.schema.field("old_id"), pa.field("similarity", pa.float64())])
+        if not x.num_rows or not y.num_rows:
+            return own.empty_table()
+        found = [pa.table([*(x[c].take(pa.array(a)) for c in (*on, "edge_id")), y["old_id"].take(pa.array(b)), pa.array(s)], schema=own) for a, b, s in _compared(x, y, on, threshold, earlier)]
+        return pa.concat_tables([own.empty_table(), *found])
+
+    f, e = _cells(f, e, on)
+    return f.groupBy("__cell").cogroup(e.groupBy("__cell")).applyInArrow(run, schema)
+
+
+def with_near(new: DataFrame, edges: DataFrame, on: list[str], threshold: float = R.DEDUP_THRESHOLD, earlier: bool = False) -> DataFrame:
+    """The edge_id of each new row that has a near duplicate, once; pairs are compared as in ``near_duplicates`` but not listed."""
+    f, e = _sides(new, edges, on)
+    schema = types.StructType([f.schema["edge_id"]])
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        ids = x.select(["edge_id"])
+        if not x.num_rows or not y.num_rows:
+            return ids.slice(0, 0)
+        found = [np.unique(a) for a, _, _ in _compared(x, y, on, threshold, earlier)]
+        return ids.take(pa.array(np.concatenate(found))) if found else ids.slice(0, 0)
+
+    f, e = _cells(f, e, on)
+    return f.groupBy("__cell").cogroup(e.groupBy("__cell")).applyInArrow(run, schema).distinct()
 
 
 def reconcile(edges: DataFrame, now: dt.datetime) -> DataFrame:

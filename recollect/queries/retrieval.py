@@ -93,7 +93,7 @@ def paraphrase_conflicts(spark, sf_dir):
 def near_duplicate_skip(spark, sf_dir):
     """All vectors that none of their tenant with a smaller id is near to."""
     v = S.vectors(spark, sf_dir)
-    near = conflict.near_duplicates(v, v, ["tenant"], NEAR).where("old_id < edge_id").select("edge_id").distinct()
+    near = conflict.with_near(v, v, ["tenant"], NEAR, earlier=True)
     return v.join(near, "edge_id", "left_anti").select("edge_id", "tenant")
 
 

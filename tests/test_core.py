@@ -260,6 +260,25 @@ def test_near_duplicates_lose_no_pair(spark):
         assert {(x["edge_id"], x["old_id"]) for x in conflict.near_duplicates(df, df, ["user"], t).where("edge_id <> old_id").collect()} == want
 
 
+def test_near_duplicates_of_large_groups_by_strips(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    n = 9000
+    v = r.normal(size=(n, 8))
+    v[100:140] = v[7]  # copies
+    key = np.where(np.arange(n) < 8990, "a", "b")
+    df = spark.createDataFrame(pd.DataFrame({"edge_id": np.arange(n), "user": key, "vector": list(v)}), "edge_id long, user string, vector array<double>")
+    df = df.unionByName(spark.createDataFrame([(n, "a", [1.0, 2.0]), (n + 1, "a", [1.0, 2.5]), (n + 2, None, [1.0] * 8), (n + 3, "a", [1.0, None])], df.schema))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    a, b = np.nonzero(np.tril((unit @ unit.T > 0.97) & (key[:, None] == key), -1))
+    want = {*zip(a.tolist(), b.tolist(), strict=True), (n + 1, n)}
+    monkeypatch.setattr(conflict, "STRIP", 2048)
+    plan = conflict.near_duplicates(df, df, ["user"], 0.97, earlier=True)
+    got = [(x["edge_id"], x["old_id"]) for x in plan.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sorted(x["edge_id"] for x in conflict.with_near(df, df, ["user"], 0.97, earlier=True).collect()) == sorted({x for x, _ in want})
+    assert "CartesianProduct" not in (text := plan._jdf.queryExecution().toString()) and "SortMergeJoin" not in text and "FlatMapCoGroupsInArrow" in text  # no pair is made as a row and dropped
+
+
 def test_turns_are_stored_and_followed(spark, tmp_path):
     root, schema = str(tmp_path), "user_id string, session_id string, pos int, role string, content string, created_at timestamp_ntz, metadata string"
     for day, place in enumerate(("Delhi", "Paris")):
