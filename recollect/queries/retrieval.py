@@ -86,7 +86,7 @@ NEAR = 0.25
 def paraphrase_conflicts(spark, sf_dir):
     """Pairs of one tenant's vectors that are similar, the later id new."""
     v = S.vectors(spark, sf_dir)
-    n = conflict.near_duplicates(v, v, ["tenant"], NEAR).where("old_id < edge_id")
+    n = conflict.near_duplicates(v, v, ["tenant"], NEAR, earlier=True)
     return n.select("tenant", "edge_id", "old_id", F.round("similarity", 6).alias("similarity"))
 
 
