@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, types
 from pyspark.sql import functions as F
 
 from .. import refdata as R
@@ -42,12 +44,12 @@ def vocabulary(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def statistics(words: DataFrame, keys: list[str], terms: dict[str, int]) -> DataFrame:
-    """A row a tenant: mean length, mean idf of its vocabulary, and the idf of each term as i0, i1, ...; words is a written vocabulary."""
+    """A row a tenant: mean length, mean idf of its vocabulary, and the idf of each term as i0, i1, ...; words is a vocabulary."""
     heads = words.where("term = ''").select(*keys, F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    own = words.where("term <> ''").join(heads, keys)
-    each = (F.max(F.when(F.col("term") == t, idf)).alias(f"i{k}") for k, t in enumerate(terms))
-    return own.groupBy(*keys).agg(F.max("avgdl").alias("avgdl"), F.avg(idf).alias("mean_idf"), *each)
+    own = words.where("term <> ''").groupBy(*keys, "df").agg(F.count("*").alias("terms"), *(F.max(F.col("term") == t).alias(f"t{k}") for k, t in enumerate(terms)))
+    each = (F.max(F.when(F.col(f"t{k}"), idf)).alias(f"i{k}") for k in range(len(terms)))  # few rows: terms of equal df have equal idf
+    return own.join(heads, keys).groupBy(*keys).agg(F.max("avgdl").alias("avgdl"), (F.sum(idf * F.col("terms")) / F.sum("terms")).alias("mean_idf"), *each)
 
 
 def okapi(counted: DataFrame, terms: dict[str, int], keys: list[str] | None, limit: int) -> DataFrame:
@@ -61,21 +63,74 @@ def okapi(counted: DataFrame, terms: dict[str, int], keys: list[str] | None, lim
     return top(counted.select(*(keys or []), "edge_id", F.round(score, 9).alias("score")).where("score > 0"), limit, keys)
 
 
+#: Terms that a task counts before it hands them on.
+TERMS = 1 << 19
+
+
+def scanned(docs: DataFrame, keys: list[str], terms: dict[str, int]) -> DataFrame:
+    """One pass over texts (lower): partial vocabularies (term, df, length) as of ``vocabulary``, and, without a term, the rows
+    that hold one of the query's: edge_id, length and the counts f0, f1, ..."""
+    wanted = [t.encode() for t in terms]
+    counts = [f"f{k}" for k in range(len(wanted))]
+    names = ["term", "df", "length", *counts]
+    schema = types.StructType([*(docs.schema[c] for c in (*keys, "edge_id")), types.StructField("term", types.StringType()), *(types.StructField(c, types.LongType()) for c in names[1:])])
+    schema = types.StructType([types.StructField(f.name, f.dataType) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, tuple[Counter, list[int]]] = {}
+        own: pa.Schema | None = None
+
+        def vocabularies() -> Iterator[pa.RecordBatch]:
+            for key, (words, (n, total)) in seen.items():
+                found = [*words, b""]
+                size = len(found)
+                heads = [pa.array([x] * size, own.field(c).type) for c, x in zip(keys, key, strict=True)]
+                length = pa.array([None] * (size - 1) + [total], pa.int64())
+                rest = [pa.array(found, pa.binary()).cast(pa.string()), pa.array([*words.values(), n], pa.int64()), length, *(pa.nulls(size, pa.int64()) for _ in counts)]
+                yield pa.RecordBatch.from_arrays([*heads, pa.nulls(size, own.field("edge_id").type), *rest], schema=own)
+            seen.clear()
+
+        for b in batches:
+            if own is None:
+                own = pa.schema([*(pa.field(c, b.schema.field(c).type) for c in (*keys, "edge_id")), pa.field("term", pa.string()), *(pa.field(c, pa.int64()) for c in names[1:])])
+            at, rows = [], []
+            tenants = zip(*(b.column(c).to_pylist() for c in keys), strict=True)
+            for i, (key, text) in enumerate(zip(tenants, b.column("lower").cast(pa.binary()), strict=True)):
+                if (text := text.as_py()) is None:
+                    continue
+                tokens = text.split()  # bytes part at the white space that the expression \s names
+                distinct = set(tokens)
+                words, total = seen.setdefault(key, (Counter(), [0, 0]))
+                words.update(distinct)
+                total[0] += 1
+                total[1] += len(tokens)
+                if any(t in distinct for t in wanted):
+                    at.append(i)
+                    rows.append((len(tokens), *(tokens.count(t) if t in distinct else 0 for t in wanted)))
+            if at:
+                held = b.take(pa.array(at))
+                found = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(held.column(c) for c in (*keys, "edge_id")), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64()), *found], schema=own)
+            if sum(len(words) for words, _ in seen.values()) > TERMS:
+                yield from vocabularies()
+        yield from vocabularies()
+
+    return docs.select(*keys, "edge_id", "lower").mapInArrow(run, schema)
+
+
 def bm25(facts: DataFrame, query: str, tenant: list[str] | None = None, limit: int = R.SEARCH_LIMIT) -> DataFrame:
     """edge_id, score and rank (from 0) of each tenant's best facts; statistics are those of its rows. A blank query finds nothing.
 
-    Texts are read once for the vocabulary, which is written, and once for the rows that hold a term of the query. Where
-    queries are many, ``keyword_index`` keeps both.
+    Texts are read once; their vocabulary and the counts of the rows that hold a term of the query are written. Where queries
+    are many, ``keyword_index`` keeps both.
     """
     keys, terms = tenant or ["__all"], query_terms(query)
     facts = facts if tenant else facts.withColumn("__all", F.lit(1))
-    docs = facts.select(*keys, "edge_id", tokens(F.col("fact_string")).alias("tokens"))
     if not terms:
-        return top(docs.select(*(tenant or []), "edge_id", F.lit(0.0).alias("score")).limit(0), limit, tenant)
-    stats = statistics(written(vocabulary(docs, keys)), keys, terms)
-    count = lambda t: F.size("tokens") - F.size(F.array_remove("tokens", t))
-    counted = docs.where(F.arrays_overlap("tokens", F.array(*map(F.lit, terms)))).select(*keys, "edge_id", F.size("tokens").alias("length"), *(count(t).alias(f"f{k}") for k, t in enumerate(terms)))
-    return okapi(counted.join(stats, keys), terms, tenant, limit)
+        return top(facts.select(*(tenant or []), "edge_id", F.lit(0.0).alias("score")).limit(0), limit, tenant)
+    found = written(scanned(facts.select(*keys, "edge_id", F.lower("fact_string").alias("lower")), keys, terms))
+    words = found.where("term IS NOT NULL").groupBy(*keys, "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+    return okapi(found.where("term IS NULL").drop("term", "df").join(statistics(words, keys, terms), keys), terms, tenant, limit)
 
 
 def top(scored: DataFrame, limit: int, keys: list[str] | None = None) -> DataFrame:
