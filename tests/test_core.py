@@ -260,6 +260,28 @@ def test_near_duplicates_lose_no_pair(spark):
         assert {(x["edge_id"], x["old_id"]) for x in conflict.near_duplicates(df, df, ["user"], t).where("edge_id <> old_id").collect()} == want
 
 
+def test_bm25_reads_texts_once(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [r.choice(["  ", " ", "\t\n", "\x0b"]).join(r.choice(["The", "of", "Été", "rare", f"w{r.randrange(60)}", "\u00a0x"]) for _ in range(r.randrange(30))) for _ in range(120)] + [None, "", " "]
+    rows = [(k, "ab"[k % 2], t) for k, t in enumerate(texts)]
+    monkeypatch.setattr(retrieval, "TERMS", 20)  # vocabularies are handed on in parts
+    df = spark.createDataFrame(rows, "edge_id long, tenant string, fact_string string").repartition(3)
+    found = retrieval.bm25(df, "the rare été rare none", ["tenant"], 7)
+    assert "fact_string" not in found._jdf.queryExecution().toString()
+    want = {}
+    for tenant in "ab":
+        docs = {k: t.lower().encode().split() for k, x, t in rows if x == tenant and t is not None}
+        n, mean = len(docs), np.mean([len(w) for w in docs.values()])
+        df_of = {t: sum(t in w for w in docs.values()) for t in {t for w in docs.values() for t in w}}
+        idf = {t: np.log(n - c + 0.5) - np.log(c + 0.5) for t, c in df_of.items()}
+        own = {t: v if v >= 0 else R.BM25_EPSILON * np.mean([*idf.values()]) for t, v in idf.items()}
+        score = {k: sum(m * own[t] * w.count(t) * (R.BM25_K1 + 1) / (w.count(t) + R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * len(w) / mean)) for t, m in ((b"the", 1), (b"rare", 2), ("été".encode(), 1)) if t in w) for k, w in docs.items()}
+        best = sorted(((-round(x, 9), k) for k, x in score.items() if round(x, 9) > 0))[:7]
+        want |= {(tenant, i): (k, -x) for i, (x, k) in enumerate(best)}
+    got = {(x["tenant"], x["rank"]): (x["edge_id"], x["score"]) for x in found.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+
+
 def test_near_duplicates_of_large_groups_by_strips(spark, monkeypatch):
     r = np.random.default_rng(3)
     n = 9000
