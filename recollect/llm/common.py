@@ -9,11 +9,14 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Serialized bytes up to which a table may be broadcast; beyond it, a shuffle join is used.
 BROADCAST_BYTES = 48 << 20
+#: Bytes of an Arrow batch: the JVM and the worker each hold a batch more than once.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -81,9 +84,17 @@ def small(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(df) if total <= limit else df
 
 
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Bound the session's Arrow batches by bytes; a lower bound stays. By Spark's own they are of 10,000 rows or 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def release() -> None:
     """Give freed memory back: workers are kept for later stages, and would hold the most that any of them used."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (AttributeError, OSError):  # another C library

@@ -10,6 +10,8 @@
    window of a passage holds a whole one. The documents are streamed through it; windows around the phrases found are
    looked up among the passages' and compared word by word. A passage goes to a block once, however many documents hold it;
    where a block's passages are too many for one automaton they are dealt over shards, and its documents stream past each.
+   An anchor that many passages and many documents hold would send all of these passages almost everywhere: its windows
+   are listed instead, and a block gets for each of its windows the first passage that holds it.
 
 Segments and windows are counted under two hashes of 64 bits; matches are compared word by word. Rows are told apart by two
 hashes of 64 bits of their id and text.
@@ -37,6 +39,8 @@ WINDOW, GRAM, PHRASE = 35, 12, 8
 STRIDE = WINDOW - PHRASE + 1
 #: Windows in a segment at most: less than a window has words, so that a segment's first and last window hold its text.
 SEGMENT = WINDOW - GRAM + 1
+#: An anchor of more passages and of more documents than this sends its passages by windows.
+COMMON = 2
 #: Bytes of documents that one automaton is built for.
 BLOCK_BYTES = 4 << 20
 #: Bytes of passages that one automaton holds.
@@ -106,6 +110,7 @@ def _texts(b: pa.RecordBatch, k: int) -> Iterator[tuple]:
 
 ANCHORS = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 HASHES = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+WINDOWS = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("own", pa.int64())])
 PASSAGES = pa.schema([("id", pa.int64()), ("anchors", pa.list_(pa.int64())), ("text", pa.string())])
 FOUND = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("spans", pa.binary())])
 
@@ -210,6 +215,20 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(PASSAGES, *out)
 
 
+@tidy
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's windows under some anchors."""
+    for b in batches:
+        rows = []
+        for own, wanted, text in _texts(b, 1):
+            anchors, windows = window_hashes(split(text.as_py()))
+            hit = np.flatnonzero(np.isin(anchors, np.array(wanted, np.int64)))
+            hit = hit[np.unique(windows[hit], return_index=True)[1]]
+            rows.append((anchors[hit], windows[hit], np.full(len(hit), own)))
+        if rows:
+            yield _batch(WINDOWS, *(np.concatenate(x) for x in zip(*rows, strict=True)))
+
+
 class Automaton:
     """An automaton over the passages' phrases, and their windows; words are numbered, exactly, within it.
 
@@ -325,7 +344,28 @@ def shards(route: DataFrame, passages: DataFrame, shard_bytes: int) -> DataFrame
     return materialize(sizes.where(F.col("bytes") > shard_bytes).select("block", F.ceil(F.col("bytes") / shard_bytes).cast("long").alias("shards")))
 
 
-def locate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def routes(docs: DataFrame, hot: DataFrame, passages: DataFrame, block: Column, common: int) -> DataFrame:
+    """(id, block): passages go where an anchor of theirs is found; under anchors common to many passages and documents, the
+    passage with the least id of those that hold a window goes where the window is found."""
+    of_anchor = passages.select("id", F.explode("anchors").alias("anchor"))
+    several = [t.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > common).select("anchor") for t in (of_anchor, hot)]
+    busy = materialize(several[0].join(several[1], "anchor"))
+    found = hot.select("anchor", block.alias("block")).distinct()
+    if busy.isEmpty():
+        return materialize(found.join(of_anchor, "anchor").select("id", "block").distinct())
+    few = maybe_broadcast(busy, 16)
+    route = found.join(few, "anchor", "left_anti").join(of_anchor, "anchor").select("id", "block")
+    size, kinds = 8 * F.size("anchors") + 64, "anchor long, hash long, own long"
+    of_doc, of_passage = (materialize(t.join(few, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))) for t in (hot, of_anchor.withColumnRenamed("id", "key")))
+    seen = _with(docs, of_doc, size).select(block.alias("own"), "text", "anchors").mapInArrow(_windows, kinds).distinct()
+    held = _with(passages.withColumnRenamed("id", "key").select("key", "text"), of_passage, size).select("key", "text", "anchors").mapInArrow(_windows, kinds)
+    held = held.groupBy("anchor", "hash").agg(F.min("own").alias("id"))
+    route = materialize(route.unionByName(seen.withColumnRenamed("own", "block").join(held, ["anchor", "hash"]).select("id", "block")).distinct())
+    discard(busy, of_doc, of_passage)
+    return route
+
+
+def locate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, common: int = COMMON) -> DataFrame:
     """(key, key2, spans) of documents (key, key2, text) that hold recurring windows: covered words as pairs of 32-bit start and end.
 
     key joins what belongs to a document, so that documents of equal keys only see more than their own; both keys tell rows apart.
@@ -356,8 +396,7 @@ def locate(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = S
     total = streams.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(blocks))
-    of_anchor = passages.select("id", F.explode("anchors").alias("anchor"))
-    route = materialize(hot.select("anchor", block.alias("block")).distinct().join(of_anchor, "anchor").select("id", "block").distinct())
+    route = routes(docs, hot, passages, block, common)
     many = shards(route, passages.select("id", F.octet_length("text").alias("bytes")), shard_bytes)
     held = route.join(passages.select("id", "text"), "id").select("block", "id", "text")
     dealt = streams.withColumn("block", block)

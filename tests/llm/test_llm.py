@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -652,6 +653,45 @@ def test_shards_stay_within_their_bytes(spark):
     assert [tuple(r) for r in passages.shards(route, sizes, 500).collect()] == [(1, 4)]
 
 
+def test_common_anchors_route_few_passages(spark, monkeypatch):
+    """A line that stands in many groups of copies, each in words of its own: passages grow with the groups, and so do routes, not with their square."""
+    r = random.Random(23)
+    line = [f"l{i}" for i in range(40)]
+
+    def held(groups):
+        rows = []
+        for _ in range(groups):
+            w = [f"u{r.randint(0, 99999)}" for _ in range(30)] + line + [f"u{r.randint(0, 99999)}" for _ in range(30)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + ["end"]))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert bag(passages.kept_digests(df, block_bytes=2000).collect()) == bag(brute_kept(rows))
+        return rows, routed[-1]
+
+    routed, shards = [], passages.shards
+    monkeypatch.setattr(passages, "shards", lambda route, *rest: routed.append(route.count()) or shards(route, *rest))
+    (_, small), (rows, large) = held(20), held(80)
+    print(small, large)
+    assert large < 8 * small and large < 4 * len(rows)
+
+
+def test_pipeline_stages_bound_batches(spark, docs):
+    """After a stage is asked for, workers get long texts in batches of a few MB, not of 10,000 rows; a lower bound stays."""
+    import corpus_pipeline
+    from recollect.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda: [r["n"] for r in spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t")).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    spark.conf.unset(key)
+    try:
+        corpus_pipeline.STAGES[1][1](spark, docs.select("doc_id", "text").limit(1), "")
+        assert sum(n := sizes()) >= 200 * 100_000 and max(n) <= common.BATCH_BYTES + 1_000_000
+        spark.conf.set(key, "1000000")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_full_leaves_are_split_again(spark, monkeypatch):
     """A tree fitted on few fingerprints leaves large leaves; after splitting none is, and no link is lost."""
     r = random.Random(14)
