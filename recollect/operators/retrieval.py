@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,54 +64,89 @@ def okapi(counted: DataFrame, terms: dict[str, int], keys: list[str] | None, lim
 
 #: Terms that a task counts before it hands them on.
 TERMS = 1 << 19
+#: Texts that are parted at once.
+ROWS = 1024
 
 
 def scanned(docs: DataFrame, keys: list[str], terms: dict[str, int]) -> DataFrame:
     """One pass over texts (lower): partial vocabularies (term, df, length) as of ``vocabulary``, and, without a term, the rows
     that hold one of the query's: edge_id, length and the counts f0, f1, ..."""
-    wanted = [t.encode() for t in terms]
-    counts = [f"f{k}" for k in range(len(wanted))]
+    counts = [f"f{k}" for k in range(len(terms))]
     names = ["term", "df", "length", *counts]
     schema = types.StructType([*(docs.schema[c] for c in (*keys, "edge_id")), types.StructField("term", types.StringType()), *(types.StructField(c, types.LongType()) for c in names[1:])])
     schema = types.StructType([types.StructField(f.name, f.dataType) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, tuple[Counter, list[int]]] = {}
+        import numpy as np
+        import pyarrow.compute as pc
+
         own: pa.Schema | None = None
+        heads: dict[tuple, list[int]] = {}
+        parts: list[pa.Table] = []
+        size = 0
 
         def vocabularies() -> Iterator[pa.RecordBatch]:
-            for key, (words, (n, total)) in seen.items():
-                found = [*words, b""]
-                size = len(found)
-                heads = [pa.array([x] * size, own.field(c).type) for c, x in zip(keys, key, strict=True)]
-                length = pa.array([None] * (size - 1) + [total], pa.int64())
-                rest = [pa.array(found, pa.binary()).cast(pa.string()), pa.array([*words.values(), n], pa.int64()), length, *(pa.nulls(size, pa.int64()) for _ in counts)]
-                yield pa.RecordBatch.from_arrays([*heads, pa.nulls(size, own.field("edge_id").type), *rest], schema=own)
-            seen.clear()
-
-        for b in batches:
+            n = len(heads)
+            if n:
+                key = [pa.array(x, own.field(c).type) for c, x in zip(keys, zip(*heads, strict=True), strict=True)]
+                rows, total = (pa.array(x, pa.int64()) for x in zip(*heads.values(), strict=True))
+                yield pa.RecordBatch.from_arrays([*key, pa.nulls(n, own.field("edge_id").type), pa.array([""] * n, pa.string()), rows, total, *(pa.nulls(n, pa.int64()) for _ in counts)], schema=own)
+            for t in parts:
+                none = [pa.nulls(t.num_rows, own.field(c).type) for c in ("edge_id", "length", *counts)]
+                yield from pa.table([*(t.column(c) for c in keys), none[0], t.column("term"), t.column("df"), *none[1:]], schema=own).to_batches()
+            heads.clear()
+            parts.clear()
+
+        def merged() -> pa.Table:
+            t = pa.concat_tables(parts).group_by([*keys, "term"]).aggregate([("df", "sum")])
+            return t.rename_columns([{"df_sum": "df"}.get(c, c) for c in t.column_names]).select([*keys, "term", "df"])
+
+        def sliced() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, ROWS):
+                    yield b.slice(at, ROWS).filter(b.column("lower").slice(at, ROWS).is_valid())
+
+        for b in sliced():
             if own is None:
                 own = pa.schema([*(pa.field(c, b.schema.field(c).type) for c in (*keys, "edge_id")), pa.field("term", pa.string()), *(pa.field(c, pa.int64()) for c in names[1:])])
-            at, rows = [], []
-            tenants = zip(*(b.column(c).to_pylist() for c in keys), strict=True)
-            for i, (key, text) in enumerate(zip(tenants, b.column("lower").cast(pa.binary()), strict=True)):
-                if (text := text.as_py()) is None:
-                    continue
-                tokens = text.split()  # bytes part at the white space that the expression \s names
-                distinct = set(tokens)
-                words, total = seen.setdefault(key, (Counter(), [0, 0]))
-                words.update(distinct)
-                total[0] += 1
-                total[1] += len(tokens)
-                if any(t in distinct for t in wanted):
-                    at.append(i)
-                    rows.append((len(tokens), *(tokens.count(t) if t in distinct else 0 for t in wanted)))
-            if at:
+            if not b.num_rows:
+                continue
+            words = pc.ascii_split_whitespace(b.column("lower"))  # parts at the white space that the expression \s names
+            coded = words.flatten().dictionary_encode()
+            row, code, found = pc.list_parent_indices(words).to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
+            if (blank := found.index("").as_py()) >= 0:  # before or after a text's words
+                row, code = row[code != blank], code[code != blank]
+            length = np.bincount(row, minlength=b.num_rows)
+            width = max(1, len(found))
+            pairs, times = np.unique(row * width + code, return_counts=True)
+            row, code = pairs // width, pairs % width
+            f = np.zeros((b.num_rows, len(terms)), np.int64)
+            for k, t in enumerate(terms):
+                if (own_code := found.index(t).as_py()) >= 0:
+                    f[row[code == own_code], k] = times[code == own_code]
+            at = np.flatnonzero(f.any(axis=1))
+            if len(at):
                 held = b.take(pa.array(at))
-                found = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(held.column(c) for c in (*keys, "edge_id")), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64()), *found], schema=own)
-            if sum(len(words) for words, _ in seen.values()) > TERMS:
-                yield from vocabularies()
+                yield pa.RecordBatch.from_arrays([*(held.column(c) for c in (*keys, "edge_id")), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64()), *(pa.array(x, pa.int64()) for x in (length[at], *f[at].T))], schema=own)
+            numbers: dict[tuple, int] = {}
+            tenant = np.array([numbers.setdefault(x, len(numbers)) for x in zip(*(b.column(c).to_pylist() for c in keys), strict=True)], np.int64)
+            for key, n, total in zip(numbers, np.bincount(tenant).tolist(), np.bincount(tenant, length).astype(np.int64).tolist(), strict=True):
+                own_head = heads.setdefault(key, [0, 0])
+                own_head[0] += n
+                own_head[1] += total
+            pairs, df = np.unique(tenant[row] * width + code, return_counts=True)
+            which = pairs // width
+            of_key = [pa.array(x, own.field(c).type).take(pa.array(which)) for c, x in zip(keys, zip(*numbers, strict=True), strict=True)]
+            parts.append(pa.table([*of_key, found.take(pa.array(pairs % width)), pa.array(df, pa.int64())], names=[*keys, "term", "df"]))
+            size += len(df)
+            if size > 2 * TERMS:
+                parts[:] = [merged()]
+                size = parts[0].num_rows
+                if size > TERMS:
+                    yield from vocabularies()
+                    size = 0
+        if parts:
+            parts[:] = [merged()]
         yield from vocabularies()
 
     return docs.select(*keys, "edge_id", "lower").mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 import datetime as dt
 import difflib
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -282,6 +283,29 @@ def test_bm25_reads_texts_once(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
 
 
+def test_keyword_scan_in_slices(spark, monkeypatch):
+    """Slices of few texts, parted at once, give the counts of a plain split: blank texts, null ones and null tenants too."""
+    monkeypatch.setattr(retrieval, "ROWS", 5)
+    monkeypatch.setattr(retrieval, "TERMS", 30)
+    r = random.Random(4)
+    texts = [r.choice(["", " ", "\n\x0b"]) + r.choice(["  ", " ", "\t\r", "\x0c"]).join(r.choice(["the", "été", "rare", f"w{r.randrange(40)}", "\u2003y", "\x1cz"]) for _ in range(r.randrange(20))) + r.choice(["", " "]) for _ in range(90)] + [None, "", " \t "]
+    rows = [(k, r.choice(["a", "b", None]), t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "edge_id long, tenant string, lower string").repartition(3)
+    found = retrieval.scanned(df, ["tenant"], {"rare": 1, "none": 1, "été": 2}).collect()
+    held = {x["edge_id"]: (x["tenant"], x["length"], x["f0"], x["f1"], x["f2"]) for x in found if x["term"] is None}
+    df_of, heads = Counter(), {}
+    for x in found:
+        if x["term"]:
+            df_of[x["tenant"], x["term"]] += x["df"]
+        elif x["term"] == "":
+            n, total = heads.get(x["tenant"], (0, 0))
+            heads[x["tenant"]] = (n + x["df"], total + x["length"])
+    plain = [(k, x, [w.decode() for w in t.encode().split()]) for k, x, t in rows if t is not None]
+    assert held == {k: (x, len(w), w.count("rare"), 0, w.count("été")) for k, x, w in plain if {"rare", "été"} & set(w)}
+    assert df_of == Counter((x, t) for _, x, w in plain for t in set(w))
+    assert heads == {y: (sum(x == y for _, x, _ in plain), sum(len(w) for _, x, w in plain if x == y)) for y in ("a", "b", None)}
+
+
 def test_near_duplicates_of_large_groups_by_strips(spark, monkeypatch):
     r = np.random.default_rng(3)
     n = 9000
