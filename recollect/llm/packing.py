@@ -31,7 +31,7 @@ END_ID = 2
 PIECES_PER_PARTITION = 60_000
 #: Rounds at most, and the share of its pieces that a round must close for another.
 ROUNDS, PROGRESS = 8, 0.1
-#: Words a worker remembers the ids of.
+#: Words a worker remembers the ids of, within a task.
 CACHE_WORDS = 400_000
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -45,7 +45,7 @@ class ByteBpe:
     """Ids of a byte-level BPE file as little-endian unsigned 32-bit bytes.
 
     A text is cut before each single space that a non-space follows. The split pattern always starts a new word
-    there, so that the parts' ids are the text's, and each distinct part is encoded once a worker. Texts that hold
+    there, so that the parts' ids are the text's, and each distinct part is encoded once a task. Texts that hold
     a special token's string, or a space in a run of white space, are encoded whole.
     """
 
@@ -83,6 +83,10 @@ class ByteBpe:
         except KeyError:
             return self._learn(text, parts)
 
+    def forget(self) -> None:
+        """Drop the words remembered: workers are kept for later stages, and would hold them through these."""
+        self.cache.clear()
+
     def _first(self, part: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(part), "<u4").tobytes() if part else b""
 
@@ -111,17 +115,20 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocab_path)
-        for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                at, first = 0, n % capacity or capacity
-                for k in range(-(-n // capacity)):
-                    size = first if k == 0 else capacity
-                    out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                    at += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for b in batches:
+                out: list[tuple] = []
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    ids = encode(text.as_py() or "") + end
+                    n = len(ids) // 4
+                    at, first = 0, n % capacity or capacity
+                    for k in range(-(-n // capacity)):
+                        size = first if k == 0 else capacity
+                        out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                        at += size
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            encode.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 

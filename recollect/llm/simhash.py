@@ -33,7 +33,8 @@ SAMPLE, LEAF, OVERFULL = 20_000, 4096, 4
 LEAF_SAMPLE, SPLITS, SHRINKS, TASK_ROWS = 2000, 5, 0.9, 1_000_000
 #: Leaves of one tree that a number holds.
 CHILDREN = 1 << 9
-BLOCK = 1024
+#: A leaf of more rows than this looks up flipped bits; others compare all, by strips of so many bytes at most.
+COMPARED, STRIP_BYTES = 1 << 14, 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
@@ -126,22 +127,26 @@ def vantage(rows: np.ndarray, rng: np.random.Generator) -> tuple[np.int64, int]:
     return best, int(np.median(distance(rows, best)))
 
 
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """Which b each a is within the radius of, by strips of a: two workers an executor hold one strip each, whatever a leaf holds."""
+    step = max(1, STRIP_BYTES // (8 * max(1, len(b))))
+    for i in range(0, len(a), step):
+        yield distance(a[i : i + step, None], b[None, :]) <= radius
+
+
 def leaf_components(rows: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """The smallest row that each distinct row is linked with, directly or not."""
     rows = np.sort(rows)
-    if len(rows) > 16 * BLOCK and radius <= 2:
+    if len(rows) > COMPARED and radius <= 2:
         return rows, _by_masks(rows, radius)
-    n, linked = len(rows), np.zeros(len(rows), bool)
-    for i in range(0, n, BLOCK):
-        near = distance(rows[i : i + BLOCK, None], rows[None, :]) <= radius
-        linked[i : i + BLOCK] = near.sum(axis=1) > 1
+    linked = np.concatenate([np.zeros(0, bool), *(near.sum(axis=1) > 1 for near in _near(rows, rows, radius))])
     root, todo = rows.copy(), np.flatnonzero(linked)
     while len(todo):
         first, frontier, todo = rows[todo[0]], todo[:1], todo[1:]
         while len(frontier) and len(todo):
             hit = np.zeros(len(todo), bool)
-            for i in range(0, len(frontier), BLOCK):
-                hit |= (distance(rows[frontier[i : i + BLOCK], None], rows[None, todo]) <= radius).any(axis=0)
+            for near in _near(rows[frontier], rows[todo], radius):
+                hit |= near.any(axis=0)
             frontier, todo = todo[hit], todo[~hit]
             root[frontier] = first
     return rows, root

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -125,6 +126,18 @@ def test_byte_encoder_equals_library():
         assert encode(t) == np.array(byte_ids(t)[:-1], "<u4").tobytes(), t
 
 
+def test_words_are_forgotten_after_a_task(docs, monkeypatch):
+    path, taken = public_tokenizers.path("byte_bpe_50k.json"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run))
+    packing.token_pieces(docs, path)
+    packing.encoder(path).cache.clear()
+    held = []
+    for b in taken[0](pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"words of text {k}"])], names=["doc_id", "text"]) for k in range(2)):
+        held.append(len(packing.encoder(path).cache))
+        assert b.num_rows == 1
+    assert held == [3, 4] and not packing.encoder(path).cache
+
+
 # 2, 9
 
 
@@ -459,6 +472,20 @@ def test_tree_loses_no_link(spark):
     assert (simhash._by_masks(np.sort(np.array(signed)), 2) == b).all() and (np.sort(np.array(signed)) == a).all()
 
 
+def test_leaf_is_compared_by_strips():
+    r = np.random.default_rng(4)
+    rows = r.integers(-(2**63), 2**63 - 1, 8000)
+    rows = np.unique(np.r_[rows, rows[:4000] ^ (1 << r.integers(0, 62, 4000))])
+    tracemalloc.start()
+    try:
+        member, root = simhash.leaf_components(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 << 20  # 1,024 rows at once against all took 123 MB
+    assert (member == rows).all() and (root == simhash._by_masks(rows, 2)).all() and (root != rows).sum() >= 3990
+
+
 def test_chains_merge(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     out = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
